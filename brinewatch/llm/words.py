@@ -101,7 +101,7 @@ def word_batches(column: pa.Array, size: int = SEGMENT) -> Iterator[Words]:
         e = min(e, n)
         parts, s, end = [], int(off[d]), int(off[e])
         while s < end:
-            stop = min(end, s + size)
+            stop = min(end, s + SEGMENT)
             while stop < end and not SPACE[data[stop]]:  # a word is never cut
                 stop += 1
             marks = off[d:e]
