@@ -4,21 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from brinewatch.llm import decision
+from brinewatch.llm.lm import text_scores
+from brinewatch.llm.media import media_columns
 from brinewatch.llm.near import near_groups
+from brinewatch.llm.pii import personal_data
 from brinewatch.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data, plain and disguised, in every text."""
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text under the hashed maximum-entropy model and the unigram base."""
+    return text_scores(read(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that 3-word shingles link at 85 % or more."""
     return near_groups(read(spark, sf_dir, "documents"), width=3, threshold=0.85)
 
 
+def op5_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as sound, with digests of what is read back and of its fingerprints."""
+    return media_columns(read(spark, sf_dir, "documents"), digest=True)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every text and the verdict of the base rules and of the learned list."""
+    out = decision.judged(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    s = [F.col(f"_s.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select("doc_id", *s, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii_spans, op2_lm_score, op3_minhash_near, op5_media_features, op8_quality_rules)}
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_minhash_near": op3_minhash_near}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
