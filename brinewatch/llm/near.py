@@ -10,8 +10,7 @@
    links are confirmed by exact Jaccard, and again only a forest leaves. Its components are the result.
 
 Documents without words (null, empty, white space) have an empty set and are linked with nothing. Rows that repeat a
-doc_id are treated by their texts; each row comes back. A null doc_id joins a group but never names it, and its row is kept only
-where the whole group has null ids. Empty tables give empty tables; further columns are left alone.
+doc_id are treated by their texts; each row comes back. A row without doc_id is linked with nothing and kept. Empty tables give empty tables; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -106,8 +105,8 @@ class Forest:
         return x != y
 
 
-def overlaps(flat: np.ndarray, owner: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of n sets in turn, how many values it shares with every set (by an inverted list of the values)."""
+def overlaps(flat: np.ndarray, owner: np.ndarray, n: int, active: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of n sets (of the active ones) in turn, how many values it shares with every set (by an inverted list of the values)."""
     order = np.argsort(flat, kind="stable")
     sorted_owner = owner[order]
     new = np.ones(len(flat), bool)
@@ -118,7 +117,7 @@ def overlaps(flat: np.ndarray, owner: np.ndarray, n: int) -> Iterator[tuple[int,
     group[order] = np.cumsum(new) - 1
     bounds = np.searchsorted(owner, np.arange(n + 1))
     common = ends - starts > 1
-    for a in range(n):
+    for a in range(n) if active is None else np.flatnonzero(active).tolist():
         g = group[bounds[a] : bounds[a + 1]]
         g = g[common[g]]
         if len(g):
@@ -139,7 +138,11 @@ def _ragged(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def estimate_mapper(k: int, least: tuple[int, ...], num: int, den: int) -> Callable:
-    """Within each (list, block pair): a forest of the pairs whose estimate may reach the threshold."""
+    """Within each (list, block pair): a forest of the pairs whose estimate may reach the threshold.
+
+    A pair that shares an earlier list is estimated there. Rows that hold the commonest earlier list need not meet each
+    other, so only the rest go against all; in a large group, whose lists are nearly the same, that is a small part.
+    """
     table = np.array(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +156,17 @@ def estimate_mapper(k: int, least: tuple[int, ...], num: int, den: int) -> Calla
             last = np.cumsum(sizes) - 1
             top[~whole] = flat[last[~whole]]
             bounds = np.append(0, last + 1)
+            active = np.ones(n, bool)
+            before, holder, _ = _ragged(t, "earlier")
+            if len(before):
+                lists, which, times = np.unique(before, return_inverse=True, return_counts=True)
+                active[holder[which == times.argmax()]] = False
+            if not active.any():
+                continue
             forest = Forest(n)
-            for a, c in overlaps(flat, owner, n):
+            for a, c in overlaps(flat, owner, n, active):
                 others = np.flatnonzero(c)
-                others = others[(others > a) & (den * np.minimum(size[others], size[a]) >= num * np.maximum(size[others], size[a]))]
+                others = others[((others > a) | ~active[others]) & (den * np.minimum(size[others], size[a]) >= num * np.maximum(size[others], size[a]))]
                 if not len(others):
                     continue
                 mine = np.searchsorted(flat[bounds[a] : bounds[a + 1]], np.minimum(top[others], top[a]), "right")
@@ -197,7 +207,10 @@ def set_mapper(width: int) -> Callable:
         for b in batches:
             for s in range(0, b.num_rows, 200):
                 part = b.slice(s, 200)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("cluster", "i", "j", "node")] + [_list_array(list(shingle_sets(part.column("text"), width)))], ["cluster", "i", "j", "node", "shingles"])
+                sets = list(shingle_sets(part.column("text"), width))
+                own = [k for k, (x, node) in enumerate(zip(sets, part.column("node").to_pylist(), strict=True)) if _class_of(x) == node]  # a doc_id may come with other texts
+                part = part.take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("cluster", "i", "j", "node")] + [_list_array([sets[k] for k in own])], ["cluster", "i", "j", "node", "shingles"])
 
     return run
 
@@ -219,7 +232,7 @@ def near_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int
     num, den = share.numerator, share.denominator
     s = least_shared(k, threshold)
     sketches = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch_mapper(width, k), "doc_id long, n_shingles long, node long, sketch array<long>"), "sketches")
-    words = sketches.where("n_shingles > 0")
+    words = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = words.groupBy("node").agg(F.min("doc_id").alias("first_doc"))
     # a class's sketch is that of any of its rows: partial aggregates keep one a task, so a hot class stays small
     retained = words.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
@@ -234,19 +247,20 @@ def near_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int
     own = saved(own.where(F.col("at") <= F.col("k") - need + 1).select("value", "node"), "lists")
     lists = own.groupBy("value").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(7), "node").cast("decimal(38,0)")).alias("s2")).where("n > 1")
     lists = lists.groupBy("n", "s1", "s2").agg(F.min("value").alias("value")).select("value", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    members = block_pairs(own.join(lists, "value"), "blocks").join(retained, "node")
+    held = own.join(lists, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("value", "blocks"))).alias("held"))  # k - s + 1 at most
+    members = held.join(retained, "node").select("node", "n_shingles", "sketch", "held", F.posexplode("held").alias("at", "list"))
+    members = members.select("node", "n_shingles", "sketch", F.slice("held.value", F.lit(1), F.col("at")).alias("earlier"), "list.*")
     at = ["value", "i", "j"]
-    members = members.select(*at, "node", "n_shingles", "sketch").repartition(*at).sortWithinPartitions(*at)
+    members = block_pairs(members, "blocks").select(*at, "node", "n_shingles", "sketch", "earlier").repartition(*at).sortWithinPartitions(*at)
     least = tuple(least_shared(m, threshold, 1e-10) for m in range(2 * k + 1))
     loose = members.mapInArrow(estimate_mapper(k, least, num, den), "a long, b long")
     clusters = saved(components(loose, "loose").withColumnRenamed("component", "cluster"), "clusters")
     sizes = clusters.join(retained.select("node", "n_shingles"), "node").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_VALUES)).alias("blocks"))
     at = ["cluster", "i", "j"]
     chosen = clusters.join(classes, "node").join(sizes, "cluster")
-    # one row of each class gives the whole set: a row whose id is the class's smallest, or null where all are
-    rows = sketches.join(chosen, "node").where(F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("doc_id", "node", "cluster", "blocks").dropDuplicates(["node"])
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(rows, F.col("_id").eqNullSafe(F.col("doc_id")))
-    texts = texts.where(F.col("_id").isNotNull())
+    # one doc_id of each class gives the whole set
+    rows = chosen.select(F.col("first_doc").alias("_id"), "node", "cluster", "blocks")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(rows, "_id")
     sets = block_pairs(texts, "blocks").select(*at, "node", "text").mapInArrow(set_mapper(width), "cluster long, i int, j int, node long, shingles array<long>")
     links = sets.repartition(*at).sortWithinPartitions(*at).mapInArrow(confirm_mapper(num, den), "a long, b long")
     linked = components(links, "links")
@@ -254,5 +268,6 @@ def near_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int
     names = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = named.join(names, "component").select("node", "component_id")
     out = sketches.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
