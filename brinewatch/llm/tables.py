@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,3 +49,18 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+SMALL_ROWS = 100_000
+
+
+def attached(df: DataFrame, small: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """df left-joined to small (one row a key, no null keys) on key.
+
+    A small table of at most SMALL_ROWS rows is broadcast, after counting it. A larger one is repeated salts times and
+    joined on key and salt, so one key with a third of df's rows is spread over salts tasks.
+    """
+    if small.count() <= SMALL_ROWS:
+        return df.join(F.broadcast(small), key, "left")
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", (F.rand(11) * salts).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
