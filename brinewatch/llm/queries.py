@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brinewatch.llm import decision
+from brinewatch.llm import decision, urls
+from brinewatch.llm.html import main_texts
+from brinewatch.llm.kneser import perplexities
 from brinewatch.llm.lm import text_scores
 from brinewatch.llm.media import media_columns
+from brinewatch.llm.mixing import mixed
 from brinewatch.llm.near import near_groups
+from brinewatch.llm.pieces import encoded
 from brinewatch.llm.pii import personal_data
 from brinewatch.llm.tables import read
 
+#: The vocabulary file; a parameter, never part of this repository.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: Host and path rules, longest first where several fit.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,11 +40,31 @@ def op3_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read(spark, sf_dir, "documents"), width=3, threshold=0.85)
 
 
+def op4_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under a model of trusted texts, and its language's threshold."""
+    return perplexities(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as sound, with digests of what is read back and of its fingerprints."""
     return media_columns(read(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed rules, then mined ones, on every page's URL. A page's label is that of the document whose number ends its path."""
+    pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
+    number = F.regexp_extract(urls.parts_of(F.col("url"))[1], r"([0-9]+)(?:/|\.html)?$", 1)
+    known = labels.groupBy(F.col("doc_id").cast("string").alias("_number")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    labelled = pages.select("url", number.alias("_number")).join(known, "_number").select("url", "bad")
+    return urls.judged(pages.select("page_id", "url"), URL_RULES, labelled).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by source so that none is dropped and none is drawn more than twice, in mixing order."""
+    out = mixed(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), repetition=2.0)
+    return out.select("doc_id", "source", F.col("_copy").alias("copy"), F.col("_tokens").alias("tokens"), F.col("_offset").alias("offset"), F.round("_weight", 9).alias("weight"), F.round("_position", 9).alias("position"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics of every text and the verdict of the base rules and of the learned list."""
     out = decision.judged(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
@@ -43,7 +72,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *s, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii_spans, op2_lm_score, op3_minhash_near, op5_media_features, op8_quality_rules)}
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as piece ids (their number and digest), decoded again."""
+    return encoded(read(spark, sf_dir, "documents"), PIECES)
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_texts(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_pii_spans, op2_lm_score, op3_minhash_near, op4_kn_quality, op5_media_features, op6_url_rules, op7_mix_sources, op8_quality_rules, op9_sentencepiece, op10_main_text)
+}
 
 
 def queries() -> dict[str, Query]:
