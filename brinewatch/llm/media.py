@@ -1,7 +1,7 @@
 """Texts stored as sound: WAV files of 8-bit samples, short-time Fourier transforms, and fingerprints of spectral-peak pairs.
 
 A payload is the text's UTF-8 (null: empty) with zero bytes up to a positive multiple of 64. Each byte is one sample of a mono
-WAV file, so storage is lossless. Features are computed from the bytes read back: frames of FRAME samples, the loudest
+WAV file, so storage is lossless. Features are computed from the bytes read back: frames of FRAME samples every HOP samples, the loudest
 PEAKS bins of each (ties: the lower bin), and pairs of each peak with the peaks of the next SPAN frames. A pair is one long, its time code first:
 frame << 24 | bin << 16 | later bin << 8 | frames between. Equal texts give equal values. Silence (an empty text) has no peaks
 and no pairs. Very long texts are transformed in pieces. Rows that repeat each come back.
@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-FRAME = 256
+FRAME = 128
+HOP = FRAME // 2  # payloads are multiples of it
 RATE = 8000
 PEAKS = 2
 SPAN = 3
@@ -51,12 +52,14 @@ def from_wav(media: bytes) -> bytes:
 
 def peaks(payload: bytes) -> np.ndarray:
     """(frames, PEAKS) bins of the loudest peaks of each frame, loudest first, -1 for none."""
-    x = np.frombuffer(payload, np.uint8)
-    n = -(-len(x) // FRAME)
+    x = np.frombuffer(payload, np.uint8).reshape(-1, HOP)
+    if len(x) == 1:
+        x = np.concatenate([x, np.full((1, HOP), 0, np.uint8)])
+    n = len(x) - 1
     out = np.full((n, PEAKS), -1, np.int64)
     for s in range(0, n, PIECE):
-        part = x[s * FRAME : (s + PIECE) * FRAME].astype(np.float32)
-        part = np.pad(part, (0, -len(part) % FRAME)).reshape(-1, FRAME)
+        hops = x[s : s + PIECE + 1].astype(np.float32)
+        part = np.concatenate([hops[:-1], hops[1:]], 1)
         part = (part - part.mean(1, keepdims=True)) * WINDOW
         power = np.abs(np.fft.rfft(part, axis=1)[:, 1 : FRAME // 2])
         power = np.round(power, 2)
