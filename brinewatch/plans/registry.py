@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from brinewatch.operators import detectors, intake, windows
+
+MODULES: list = [windows, intake, detectors]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
