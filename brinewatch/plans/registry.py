@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewatch.operators import detectors, intake, windows
+from brinewatch.operators import detectors, graphs, intake, windows
 
-MODULES: list = [windows, intake, detectors]
+MODULES: list = [windows, intake, detectors, graphs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
