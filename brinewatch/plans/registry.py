@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewatch.operators import detectors, graphs, intake, windows
+from brinewatch.operators import baselines, detectors, graphs, intake, ledger, windows
 
-MODULES: list = [windows, intake, detectors, graphs]
+MODULES: list = [windows, intake, detectors, graphs, baselines, ledger]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
