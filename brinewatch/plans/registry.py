@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewatch.operators import baselines, detectors, graphs, intake, ledger, series, windows
+from brinewatch.operators import baselines, detectors, exposure, graphs, intake, ledger, series, windows
 from brinewatch.streaming import flows
 
-MODULES: list = [windows, intake, detectors, graphs, baselines, ledger, series, flows]
+MODULES: list = [windows, intake, detectors, graphs, baselines, ledger, series, flows, exposure]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
