@@ -75,14 +75,14 @@ def statistics(text: Column) -> Column:
 
 
 def measures(s: Column) -> dict[str, Column]:
-    """What rules may set thresholds on."""
+    """What rules may set thresholds on. Of equally good thresholds the first measure's is taken, so signs of junk come before mere shape."""
     words = F.greatest(s["n_words"], F.lit(1)).cast("double")
     return {
-        "words": s["n_words"].cast("double"),
-        "word_length": s["word_chars"] / words,
         "symbols_a_word": s["n_symbols"] / words,
         "dup_lines": s["n_dup_lines"].cast("double"),
         "repeated_share": s["n_repeat_words"] / words,
+        "words": s["n_words"].cast("double"),
+        "word_length": s["word_chars"] / words,
         "capitals_a_word": s["n_capitals"] / words,
         "stops_a_word": s["n_stops"] / words,
     }
@@ -121,9 +121,9 @@ def _best(counts: list, rule: Rule, limits: dict[str, list[float]]) -> Literal |
     """The literal of the largest information gain: positives covered times the gain of their log precision."""
     import math
 
-    by: dict[str, dict[int, list[int]]] = {}
+    by: dict[str, dict[int, list[int]]] = {name: {} for name in limits}  # in a fixed order, so that ties do not hang on how rows arrive
     for r in counts:
-        by.setdefault(r.measure, {}).setdefault(r.bin, [0, 0])[r.bad] += r.n
+        by[r.measure].setdefault(r.bin, [0, 0])[r.bad] += r.n
     best, gain = None, 0.0
     for name, bins in by.items():
         good, bad = (sum(b[k] for b in bins.values()) for k in (0, 1))
@@ -149,7 +149,7 @@ def learn(labelled: DataFrame) -> list[Rule]:
     names = list(measures(F.col("s")))
     table = saved(labelled.select("bad", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0).alias("grow"), *(c.alias(n) for n, c in measures(F.col("s")).items())), "labelled")
     shares = [i / STEPS for i in range(1, STEPS)]
-    marks = table.agg(*(F.percentile_approx(n, shares, 10_000).alias(n) for n in names)).first()
+    marks = table.agg(*(F.percentile(n, F.array(*map(F.lit, shares))).alias(n) for n in names)).first()
     if marks[names[0]] is None:
         return []
     limits = {n: sorted({float(x) for x in marks[n]} | {float(x) * 1.0000001 + 1e-9 for x in marks[n]}) for n in names}
