@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from brinewatch.llm.tables import saved, sorted_groups
 
 BLANK = "▁"
 CHUNK = 32_768
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 KEPT_PAIRS = 1_000_000
 LONGEST_KEPT = 48
 START = ""  # the state before the first piece
@@ -54,6 +55,11 @@ class Pieces:
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
         self.longest = max(map(len, self.id))
+        by_end: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 2:
+                by_end.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {e: (*sorted(n, reverse=True), 2, 1) for e, n in by_end.items()}  # of the pieces that end so, longest first
         joined = {c for p in self.id if len(p) > 1 for c in p} - {BLANK}
         if any(BLANK in p.lstrip(BLANK) for p in self.id):
             raise ValueError("a piece spans the start of a word")
@@ -62,15 +68,25 @@ class Pieces:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known = Known(self)
 
-    def merged(self, s: str) -> list[str]:
-        """BPE by definition: the best-scored neighbours join first, the leftmost of equals. For two pieces at most."""
-        parts = list(s)
-        while len(parts) > 1:
-            best = max(((self.score[p], -i) for i, p in enumerate(map("".join, zip(parts[:-1], parts[1:], strict=True))) if p in self.score), default=None)
-            if best is None:
+    def merged(self, s: str, cut: int = 0) -> list[str] | None:
+        """BPE by definition: the best-scored neighbours join first, the leftmost of equals. None as soon as a join crosses cut."""
+        parts, score, none = list(s), self.score, float("-inf")
+        gains = [score.get(x + y, none) for x, y in zip(parts[:-1], parts[1:], strict=True)]
+        border = cut - 1 if cut else len(parts)  # the neighbours that must not join
+        while gains:
+            best = max(gains)
+            if best == none:
                 break
-            i = -best[1]
+            i = gains.index(best)
+            if i == border:
+                return None
+            border -= i < border
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del gains[i]
+            if i:
+                gains[i - 1] = score.get(parts[i - 1] + parts[i], none)
+            if i < len(gains):
+                gains[i] = score.get(parts[i] + parts[i + 1], none)
         return parts
 
     def follows(self, a: str, b: str) -> bool:
@@ -79,21 +95,26 @@ class Pieces:
         if ok is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            ok = self.pairs[a, b] = self.merged(a + b, len(a)) == ([a, b] if a else [b])
         return ok
 
     def scan(self, s: str, at: int, state: str) -> list[str | None]:
         """For every place after at, the piece that ends there on the one path of finite weight from state, or None."""
         best: list[str | None] = [None] * (len(s) + 1)
         best[at] = state
-        pieces, follows, longest = self.id, self.follows, self.longest
+        pieces, pairs, follows, lengths, short = self.id, self.pairs, self.follows, self.lengths, (2, 1)
         for j in range(at + 1, len(s) + 1):
-            for i in range(max(at, j - longest), j):
-                if best[i] is not None:
-                    t = s[i:j]
-                    if (t in pieces or j - i == 1) and follows(best[i], t):
-                        best[j] = t
-                        break
+            for n in lengths.get(s[j - 3 : j], short) if j > 3 else range(j, 0, -1):
+                i = j - n
+                if i < at or (came := best[i]) is None:
+                    continue
+                t = s[i:j]
+                if n > 1 and t not in pieces:
+                    continue
+                ok = pairs.get((came, t))
+                if follows(came, t) if ok is None else ok:
+                    best[j] = t
+                    break
         return best
 
     @staticmethod
@@ -112,7 +133,7 @@ class Pieces:
         for t in parts:
             i = self.id.get(t)
             out += [self.byte[b] for b in t.encode()] if i is None else [i]
-        return np.array(out, "<i4").tobytes()
+        return struct.pack(f"<{len(out)}i", *out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
