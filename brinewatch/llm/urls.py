@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brinewatch.llm.tables import attached, saved
+
 SUPPORT = 0.005
 CONFIDENCE = 0.8
 LONGEST = 3
@@ -62,12 +64,13 @@ def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CON
 
 
 def judged(pages: DataFrame, rules: dict[str, str], labelled: DataFrame) -> DataFrame:
-    """pages(url, ...) with host, path, rule and verdict; labelled is (url, bad boolean)."""
+    """pages(url, ...) with host, path, rule and verdict; labelled is (url, bad boolean). Token sets that a rule hits are joined back
+    by attached: one token set may hold a third of the pages."""
     host, path = parts_of(F.col("url"))
     known = labelled.select("bad", tokens(*parts_of(F.col("url"))).alias("tokens"))
     index = mined(known)
     distinct = pages.select(tokens(host, path).alias("tokens")).distinct()  # pages of one host share most
-    hits = distinct.select("tokens", F.explode("tokens").alias("key")).join(index, "key").where(F.size(F.array_except("rule", "tokens")) == 0).select("tokens").distinct().withColumn("_hit", F.lit(True))
+    hits = saved(distinct.select("tokens", F.explode("tokens").alias("key")).join(index, "key").where(F.size(F.array_except("rule", "tokens")) == 0).select("tokens").distinct().withColumn("_hit", F.lit(True)), "url-hits")
     rule, verdict = listed(rules, F.col("host"), F.col("path"))
-    out = pages.withColumn("host", host).withColumn("path", path).withColumn("tokens", tokens(F.col("host"), F.col("path"))).join(hits, "tokens", "left")
+    out = attached(pages.withColumn("host", host).withColumn("path", path).withColumn("tokens", tokens(F.col("host"), F.col("path"))), hits, "tokens")
     return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("_hit"), "block").otherwise("allow"))).drop("tokens", "_hit")
