@@ -120,15 +120,14 @@ def markov(edges: DataFrame, rounds: int = 10) -> DataFrame:
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     n = nodes.count()
     mass = nodes.join(edges.groupBy("src").agg(F.sum(0.8 * F.col("weight")).alias("w"), F.count("*").alias("k")), nodes.node == F.col("src"), "left").select("node", (F.lit(0.1) + F.coalesce("w", F.lit(0.0)) + 0.01 * (n - 1 - F.coalesce("k", F.lit(0)))).alias("z"))
-    p = nodes.select("node", F.lit(1.0 / n).alias("p"))
-    for k in range(rounds):
+    mass, edges = cut(mass), cut(edges.select("src", "dst", "weight"))
+    p = mass.select("node", F.lit(1.0 / n).alias("p"))
+    for _ in range(rounds):  # a round reads p three times, so each is cut: without that the plan triples a round
         q = p.join(mass, "node").select("node", (F.col("p") / F.col("z")).alias("q"))
         everywhere = q.agg(F.sum("q").alias("t"))
         own = q.select("node", (F.col("q") * 0.09).alias("x"))
         along = q.join(edges, q.node == edges.src).select(F.col("dst").alias("node"), (F.col("q") * (0.8 * F.col("weight") - 0.01)).alias("x"))
-        p = own.unionAll(along).groupBy("node").agg(F.sum("x").alias("x")).crossJoin(F.broadcast(everywhere)).select("node", (F.col("x") + 0.01 * F.col("t")).alias("p"))
-        if k % 5 == 4:
-            p = cut(p)
+        p = cut(own.unionAll(along).groupBy("node").agg(F.sum("x").alias("x")).crossJoin(F.broadcast(everywhere)).select("node", (F.col("x") + 0.01 * F.col("t")).alias("p")))
     return p.select("node", F.round("p", 6).alias("p"))
 
 
