@@ -163,7 +163,7 @@ def _e(f, *a):
 QUERIES = {
     "identity_risk": _e(identity_risk),
     "bl1_baseline": _e(baseline), "bl3_merged": _e(merged_halves), "bl5_drift": _e(drift), "bl7_vector_drift": lambda s, d: vector_drift(read(s, d, "embeddings")), "bl8_envelope": _e(envelope), "bl10_versions": _e(versions),
-    "r4_graph_risk": lambda s, d: graph_risk(graphs.trade(s, d)), "r7_calibrated": _e(calibrated), "r8_trend": _e(trend), "r9_decayed": _e(decayed), "r15_system_risk": _e(system_risk), "r16_mitigation": _e(mitigation),
+    **graphs.on_trade({"r4_graph_risk": (graph_risk,)}), "r7_calibrated": _e(calibrated), "r8_trend": _e(trend), "r9_decayed": _e(decayed), "r15_system_risk": _e(system_risk), "r16_mitigation": _e(mitigation),
 }
 
 _LONG = EV + ", lf AS (SELECT actor, event_id, us, 'value' AS feature, value AS x FROM ev UNION ALL SELECT actor, event_id, us, 'hour', CAST(hour(ts) AS DOUBLE) FROM ev UNION ALL SELECT actor, event_id, us, 'k', CAST(k AS DOUBLE) FROM ev)"

@@ -138,18 +138,14 @@ def jewel_access(ev: DataFrame) -> DataFrame:
     return a.select("resource", "actors", "n", F.round(score, 6).alias("exposure"))
 
 
-def _t(f, *a):
-    return lambda s, d: f(g.trade(s, d), *a)
-
-
 def _e(f, *a):
     return lambda s, d: f(events(s, d), *a)
 
 
-QUERIES = {
-    "t2_ancestors": _t(ancestors), "t3_first_paths": _t(first_paths), "t7_highest_risk": _t(highest_risk), "g8_merged_edges": _t(merged_edges), "g11_neighbours": _t(neighbours), "g13_subgraph": _t(subgraph), "t16_betweenness": _t(betweenness),
-    "t19_attack_surface": _t(attack_surface), "t20_longest_chains": _t(longest_chains), "t21_gini": _t(gini), "a5_converging": _e(converging), "a9_relays": _t(relays), "r6_node_risk": _t(node_risk), "r12_markov": _t(markov), "a12_jewel_access": _e(jewel_access),
-}
+QUERIES = {"a5_converging": _e(converging), "a12_jewel_access": _e(jewel_access)} | g.on_trade({
+    "t2_ancestors": (ancestors,), "t3_first_paths": (first_paths,), "t7_highest_risk": (highest_risk,), "g8_merged_edges": (merged_edges,), "g11_neighbours": (neighbours,), "g13_subgraph": (subgraph,), "t16_betweenness": (betweenness,),
+    "t19_attack_surface": (attack_surface,), "t20_longest_chains": (longest_chains,), "t21_gini": (gini,), "a9_relays": (relays,), "r6_node_risk": (node_risk,), "r12_markov": (markov,),
+})
 
 _T = g._TRADE
 _BEST = _T + g._paths(3) + ", bp AS (SELECT src, dst, path, hops, risk FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY risk DESC, path) AS r FROM pa) WHERE r = 1)"

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from brinewatch.sources.tables import DAY, EV, cut, events, read
 
 
-def trade(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
-    """src, dst, weight: for each customer nation the k supplier nations with most trade for their number of suppliers."""
+def trade(spark: SparkSession, sf_dir: str, k: int | None = 3) -> DataFrame:
+    """src, dst, weight: for each customer nation the k supplier nations (None: all) with most trade for their number of suppliers."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cust = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
@@ -24,7 +24,8 @@ def trade(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
     t = t.groupBy("src", "dst").agg(F.sum(F.col("l_extendedprice").cast("decimal(20,2)")).alias("s")).join(n, "dst").where("src != dst")
     t = t.withColumn("w", F.round(F.col("s").cast("double") / F.col("n"), 2))
     place = F.row_number().over(W.partitionBy("src").orderBy(F.desc("w"), "dst"))
-    return t.withColumn("place", place).where(F.col("place") <= k).select("src", "dst", F.round(1.0 / F.col("place"), 6).alias("weight"))
+    t = t.withColumn("place", place)
+    return (t if k is None else t.where(F.col("place") <= k)).select("src", "dst", F.round(1.0 / F.col("place"), 6).alias("weight"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -187,8 +188,9 @@ def inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach(e, 6).select(F.col("root").alias("role"), F.col("node").alias("inherits"), "hops")
 
 
-def _t(f, *a, **kw):
-    return lambda s, d: f(trade(s, d), *a, **kw)
+def on_trade(found: dict[str, tuple]) -> dict:
+    """Queries from (function, arguments): NAME on each nation's three strongest edges, as its SQL has it, and NAME_whole on all pairs."""
+    return {f"{name}{end}": lambda s, d, f=f, k=k, a=a: f(trade(s, d, k), *a) for name, (f, *a) in found.items() for end, k in (("", 3), ("_whole", None))}
 
 
 QUERIES = {
@@ -196,21 +198,22 @@ QUERIES = {
     "g2_lifecycle": lambda s, d: lifecycle(events(s, d)),
     "g3_inherited": inherited,
     "g4_privileges": lambda s, d: privileges(events(s, d)),
-    "g9_degrees": _t(degrees),
-    "g10_density": _t(density),
-    "t1_reach": _t(reach, 3),
-    "t5_paths": _t(paths, 3),
-    "t9_distances": _t(distances, 0),
-    "t10_scored_paths": _t(scored_paths),
-    "t11_riskiest": _t(riskiest),
-    "t12_choke_points": _t(choke_points),
-    "t13_blast_radius": _t(blast_radius),
-    "t15_containment": _t(containment, 0),
-    "t17_cycles": _t(cycles),
-    "t18_exposure": _t(exposure, 3),
-    "r11_propagated": _t(propagated),
-    "r14_noisy_or": _t(noisy_or),
-}
+} | on_trade({
+    "g9_degrees": (degrees,),
+    "g10_density": (density,),
+    "t1_reach": (reach, 3),
+    "t5_paths": (paths, 3),
+    "t9_distances": (distances, 0),
+    "t10_scored_paths": (scored_paths,),
+    "t11_riskiest": (riskiest,),
+    "t12_choke_points": (choke_points,),
+    "t13_blast_radius": (blast_radius,),
+    "t15_containment": (containment, 0),
+    "t17_cycles": (cycles,),
+    "t18_exposure": (exposure, 3),
+    "r11_propagated": (propagated,),
+    "r14_noisy_or": (noisy_or,),
+})
 
 _TRADE = """WITH RECURSIVE tr AS (SELECT src, dst, round(1.0 / place, 6)::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS place FROM (SELECT c_nationkey AS src, s_nationkey AS dst,
  round(CAST(sum(CAST(l_extendedprice AS DECIMAL(20, 2))) AS DOUBLE) / any_value(n), 2) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) ON k = s_nationkey

@@ -88,11 +88,15 @@ def cidr_misses(ev: DataFrame) -> DataFrame:
     return ev.where(~P.in_cidr(F.col("ip"), net, F.lit(16))).groupBy("actor").agg(F.count("*").alias("n_outside"))
 
 
-def dead_letters(ev: DataFrame) -> DataFrame:
-    """The newest two rejected rows of each reason."""
+def rejected(ev: DataFrame) -> DataFrame:
+    """Every rejected row with its reason and what a replay needs."""
     now = ev.agg(F.max("us").alias("now"))
-    bad = validated(ev.crossJoin(F.broadcast(now)), F.col("now")).where("reason is not null")
-    return bad.withColumn("place", F.row_number().over(W.partitionBy("reason").orderBy(F.desc("us"), F.desc("event_id"))).cast("bigint")).where("place <= 2").select("reason", "place", "event_id")
+    return validated(ev.crossJoin(F.broadcast(now)), F.col("now")).where("reason is not null").select("reason", "event_id", "us", "actor", "action", "resource", "value", "ip")
+
+
+def dead_letters(ev: DataFrame) -> DataFrame:
+    """A look at the newest two rejected rows of each reason."""
+    return rejected(ev).withColumn("place", F.row_number().over(W.partitionBy("reason").orderBy(F.desc("us"), F.desc("event_id"))).cast("bigint")).where("place <= 2").select("reason", "place", "event_id")
 
 
 def _p(f):
@@ -104,6 +108,7 @@ QUERIES = {
     "p11_parsed_methods": lambda s, d: parsed_methods(events(s, d)),
     "f1_validation": _p(split_validity),
     "s18_dead_letters": _p(dead_letters),
+    "s18_rejected": _p(rejected),
     "f3_injections": lambda s, d: injections(read(s, d, "conversations"), ["conv_id", "turn"]),
     "f3_nonces": lambda s, d: nonces(events(s, d)),
     "f5_suppressed": lambda s, d: suppressed(events(s, d), events(s, d).where("action = 'error' and value > 30").select("actor").distinct()).groupBy("actor").agg(F.count("*").alias("n")),

@@ -33,6 +33,14 @@ def with_previous(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(ends, "_part", "left").withColumn(name, F.coalesce(F.lag(column).over(w), F.when(F.row_number().over(w) == 1, F.col("_end")))).drop("_part", "_end")
 
 
+def numbered(df: DataFrame, *ties: str) -> DataFrame:
+    """Each record's place i from 0 in the order of seq (equal ones by ties): places within ranges, and the sizes of the ranges before."""
+    df = df.withColumn("_part", F.floor(F.col("seq") / RANGE))
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = df.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # one row a range
+    return df.join(sizes, "_part").withColumn("i", F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy("seq", *ties)) - 1).drop("_part", "_before")
+
+
 def verified(ledger: DataFrame) -> DataFrame:
     """Sequence gaps and hashes that don't fit, by record."""
     x = with_previous(ledger, "seq", "before")
@@ -54,10 +62,16 @@ def merkle_root(leaves: DataFrame) -> DataFrame:
 
 
 def daily_roots(ev: DataFrame) -> DataFrame:
-    """The Merkle root of the first 64 records of the ledger."""
+    """The Merkle root of the first 64 events, as its SQL has it; ledger_root covers all records."""
     return merkle_root(ev.where("event_id < 64").select(F.col("event_id").alias("i"), F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "action"), 256).alias("h")))
 
 
+def ledger_root(ledger: DataFrame) -> DataFrame:
+    """The Merkle root of all records; a leaf covers all that is stored of a record."""
+    leaf = F.sha2(F.to_json(F.struct("seq", "us", "actor", "action", "resource", "value", "content", "record_hash")), 256)
+    return merkle_root(cut(numbered(ledger.select("seq", leaf.alias("h")), "h").select("i", "h")))
+
+
 def state_at(ledger: DataFrame, until: int | None = None) -> DataFrame:
     """The state that replaying up to a sequence number gives: counts, last action, set sizes of each actor."""
     x = ledger if until is None else ledger.where(F.col("seq") <= until)
@@ -163,7 +177,7 @@ def _e(f, *a):
 
 
 QUERIES = {
-    "l2_verified": _l(verified), "l3_merkle_root": _e(daily_roots), "l7_state_at": _l(state_at, 700), "l9_gaps": _l(gaps), "l11_divergence": _l(divergence), "l13_transitions": _l(transitions), "l14_nearest_snapshots": _l(nearest_snapshots),
+    "l2_verified": _l(verified), "l3_merkle_root": _e(daily_roots), "l3_ledger_root": _l(ledger_root), "l7_state_at": _l(state_at, 700), "l9_gaps": _l(gaps), "l11_divergence": _l(divergence), "l13_transitions": _l(transitions), "l14_nearest_snapshots": _l(nearest_snapshots),
     "l16_consensus": _l(consensus), "q4_decided": _e(decided), "q5_plans": _e(plans), "q7_streaks": _e(streaks),
 }
 
