@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from brinewatch.functions import predicates as P
+from brinewatch.operators.ledger import with_previous
 from brinewatch.operators.windows import PLACED, placed
 from brinewatch.sources.tables import DAY, EV, HOUR, events, read
 
@@ -70,7 +71,7 @@ def nonces(ev: DataFrame, us: int = 10 * DAY) -> DataFrame:
 
 def invariants(ev: DataFrame) -> DataFrame:
     """Violations of: ids unique, times not falling with ids, at most a share of purchases, no value below 0."""
-    back = ev.withColumn("before", F.lag("us").over(W.partitionBy(F.floor(F.col("event_id") / 10_000)).orderBy("event_id"))).where("us < before")
+    back = with_previous(ev.select(F.col("event_id").alias("seq"), "us"), "us", "before").where("us < before")
     a = ev.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("d"), F.count(F.when(F.col("action") == "purchase", 1)).alias("p"), F.count(F.when(F.col("value") < 0, 1)).alias("neg"))
     rows = a.select(F.explode(F.array(F.struct(F.lit("unique_ids").alias("invariant"), (F.col("n") - F.col("d")).alias("violations")), F.struct(F.lit("few_purchases").alias("invariant"), F.greatest(F.col("p") * 10 - F.col("n"), F.lit(0).cast("bigint")).alias("violations")), F.struct(F.lit("no_negative").alias("invariant"), F.col("neg").alias("violations")))).alias("x")).select("x.*")
     return rows.unionAll(back.agg(F.lit("monotonic").alias("invariant"), F.count("*").alias("violations")))

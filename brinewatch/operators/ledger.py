@@ -1,7 +1,7 @@
 """Event ledgers: chain verification, Merkle roots, replayed state, gaps, snapshots, votes; and policies over events.
 
 Verification needs no sequential pass: each record is checked against its predecessor by lag within ranges of sequence numbers, whose
-first rows look at the range before through one more join-free window over the ranges' ends.
+first rows look at the last range before that has records, through one more window over the ranges' ends.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ def with_previous(df: DataFrame, column: str, name: str) -> DataFrame:
     part = F.floor(F.col("seq") / RANGE)
     w = W.partitionBy("_part").orderBy("seq")
     df = df.withColumn("_part", part)
-    ends = df.groupBy("_part").agg(F.max_by(column, "seq").alias("_end"))  # one row a range
-    ends = ends.select((F.col("_part") + 1).alias("_part"), "_end")
+    ends = df.groupBy("_part").agg(F.max_by(column, "seq").alias("_last"))  # one row a range that has records
+    ends = ends.select("_part", F.lag("_last").over(W.orderBy("_part")).alias("_end"))  # ranges without any are passed over
     return df.join(ends, "_part", "left").withColumn(name, F.coalesce(F.lag(column).over(w), F.when(F.row_number().over(w) == 1, F.col("_end")))).drop("_part", "_end")
 
 

@@ -57,3 +57,19 @@ def test_the_whole_graph_has_all_pairs(spark):
 def test_every_trade_query_is_there_for_the_whole_graph():
     q = registry.queries()
     assert all(f"{n}_whole" in q for n, sql in registry.oracle_sql().items() if sql.startswith(graphs._TRADE))
+
+
+def chain(spark, seqs):
+    return ledger.records(spark.createDataFrame([(s, s, 1, "view", "r", 1, 1.0) for s in seqs], "event_id long, us long, actor long, action string, resource string, k long, value double"))
+
+
+def test_gaps_of_whole_ranges_are_found(spark):
+    df = chain(spark, [9_998, 9_999, 35_000, 35_001, 70_000])
+    assert sorted(map(tuple, ledger.gaps(df).collect())) == [(10_000, 34_999), (35_002, 69_999)]
+    assert sorted(r.seq for r in ledger.verified(df).where("error = 'SEQUENCE_GAP'").collect()) == [35_000, 70_000]
+
+
+def test_falls_in_time_between_ranges_are_found(spark):
+    rows = [(i, u, 1, "view", 1.0) for i, u in ((9_998, 5), (9_999, 9), (10_000, 7), (10_001, 8), (40_000, 3))]
+    got = {r.invariant: r.violations for r in intake.invariants(spark.createDataFrame(rows, "event_id long, us long, actor long, action string, value double")).collect()}
+    assert got["monotonic"] == 2
