@@ -1,7 +1,7 @@
 """The same operators over streams: intake with dead letters, windowed counts under a watermark, deduplication, drift with state.
 
-Each flow takes a streaming DataFrame of raw events (event_id, ts, user_id, event_type, value, props) and returns one. run_now drains what is there into
-a table and stops, for batch use and tests.
+Each flow takes a streaming DataFrame of raw events (event_id, ts, user_id, event_type, value, props) and returns one. run_now and drained drain
+what is there into a table or the shared folder and stop, for batch use and tests.
 """
 
 from __future__ import annotations
@@ -62,6 +62,26 @@ def run_now(flow: DataFrame, mode: str = "append") -> DataFrame:
     return flow.sparkSession.table(name)
 
 
+def drained(flow: DataFrame, mode: str = "append") -> DataFrame:
+    """Drains what is there into the shared folder and returns its rows with the epoch of each. For results of any size."""
+    folder = flow.sparkSession.conf.get("spark.checkpoint.dir", None) or flow.sparkSession.sparkContext.getCheckpointDir() or "/tmp/brinewatch-checkpoints"
+    path, epochs = f"{folder}/flow-{uuid.uuid4().hex}", []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")  # a batch that runs again replaces itself
+        epochs.append(epoch)
+
+    flow.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    schema = flow.schema.add("epoch", "long")
+    return flow.sparkSession.read.schema(schema).parquet(f"{path}/rows") if epochs else flow.sparkSession.createDataFrame([], schema)
+
+
+def latest(flow: DataFrame, key: str) -> DataFrame:
+    """The last update of each key."""
+    rows = drained(flow, "update")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in flow.columns if c != key)), "epoch").alias("_x")).select(key, "_x.*")
+
+
 def fan_out(flow: DataFrame, folder: str, checkpoint: str, valid: str = "event_type != 'error'") -> None:
     """Each micro-batch is split into accepted rows and dead letters, written to two folders; drains and stops."""
 
@@ -75,8 +95,8 @@ def fan_out(flow: DataFrame, folder: str, checkpoint: str, valid: str = "event_t
 
 QUERIES = {
     "k5_windowed_counts": lambda s, d: run_now(counts(source(s, d)), "complete"),
-    "k6_unique_events": lambda s, d: run_now(unique(source(s, d)).select("event_id", "user_id")).groupBy("user_id").agg(F.count("*").alias("n")),
-    "s9_drift": lambda s, d: run_now(drift(source(s, d)), "update").select("user_id", "n", F.round("mean", 5).alias("mean"), F.round("deviation", 5).alias("deviation"), F.round("worst", 4).alias("worst")),
+    "k6_unique_events": lambda s, d: drained(unique(source(s, d)).select("event_id", "user_id")).groupBy("user_id").agg(F.count("*").alias("n")),
+    "s9_drift": lambda s, d: latest(drift(source(s, d)), "user_id").select("user_id", "n", F.round("mean", 5).alias("mean"), F.round("deviation", 5).alias("deviation"), F.round("worst", 4).alias("worst")),
 }
 ORACLE = {
     "k5_windowed_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
