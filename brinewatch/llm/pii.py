@@ -226,8 +226,7 @@ def may_hide(text: str) -> tuple[bool, bool, bool]:
     """Whether look-alikes, spelled digits or disguised signs can be there at all (cheap; never misses one)."""
     low = text.lower()
     spelled = spelled_digit(low) or DIGITS.search(text) is not None and INNER.search(text) is not None
-    signs = "dot" in low or "@" in low or any(b in low for b in ("(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at", "_at_", "-at-", "(.)", "[.]", "{.}"))
-    return folds(text), spelled, signs
+    return folds(text), spelled, SIGN.search(text) is not None
 
 
 def hidden_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
