@@ -1,8 +1,8 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the text they hold themselves, without links. A page votes for the generalised
-tag-class path of its best one; Spark counts votes by host and path, and every page is read again at its host's winning path
-(at its own best container where it has no such path, at the whole body where it has no container). Menus, headers,
+tag-class path of the smallest one around its best that holds nearly all its text; Spark counts votes by host and path, and every page is read again at its host's winning path
+(at its own best container where it has no such path or no text there, at the whole body where it has no container). Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, dialogs and reader comments are left out wherever they stand, by tag, role, class or id.
 
 Character references are decoded, white space is one space, blocks are joined by one space in page order. Null or empty html gives "".
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +37,8 @@ MARKS = re.compile(
 )
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 NUMBERS = re.compile(r"[0-9]+")
+#: The share of a page's text without links that its main container holds at least.
+NEARLY = 0.95
 
 
 def left_out(tag: str, attributes: dict[str, str]) -> bool:
@@ -114,7 +117,10 @@ def blocks(page: str) -> tuple[list[str], list[Block]]:
 
 
 def best_path(paths: list[str], found: list[Block]) -> str:
-    """The path of the container with the most text of its own; lists and tables don't stand alone."""
+    """The path of the smallest container around the one with the most text of its own (lists and tables don't stand alone) that holds NEARLY all text without links.
+
+    Within an article or main only such ones are taken, and the outermost one's text is all there is to hold. Containers of one path count together.
+    """
     score = [0.0] * len(paths)
     for inside, text, link in found:
         k = len(inside) - 1
@@ -125,15 +131,29 @@ def best_path(paths: list[str], found: list[Block]) -> str:
         if k > 1:
             score[inside[k - 1]] += 0.5 * (-size if link else size)
     best = max(range(len(paths)), key=lambda i: (score[i] * (1.2 if re.search(r"/(?:article|main)\b[^/]*$", paths[i]) else 1), -i))
-    return paths[best] if score[best] > 0 else ""
+    if score[best] <= 0:
+        return ""
+    sizes: Counter[tuple[int, ...]] = Counter()
+    for inside, text, link in found:
+        if not link:
+            sizes[inside] += len(text.strip())
+    held: Counter[str] = Counter()
+    for inside, size in sizes.items():
+        for path in {paths[i] for i in inside}:
+            held[path] += size
+    way = next(inside[: inside.index(best) + 1] for inside, _, _ in found if best in inside)
+    way = [i for i in way if re.search(r"/(?:article|main)\b[^/]*$", paths[i])] or way
+    return next(paths[i] for i in reversed(way) if held[paths[i]] >= NEARLY * held[paths[way[0]]])
 
 
 def text_at(paths: list[str], found: list[Block], path: str | None) -> str:
-    """The text in all containers of a path; without it, in the page's own best."""
-    if path is None or path not in paths:
-        path = best_path(paths, found)
-    chosen = {i for i, p in enumerate(paths) if p == path}
-    return " ".join(references.unescape("".join(t for inside, t, _ in found if not chosen.isdisjoint(inside))).split())
+    """The text in all containers of a path; without it, or if there is none, in the page's own best."""
+
+    def inner(path: str) -> str:
+        chosen = {i for i, p in enumerate(paths) if p == path}
+        return " ".join(references.unescape("".join(t for inside, t, _ in found if not chosen.isdisjoint(inside))).split())
+
+    return (inner(path) if path is not None and path in paths else "") or inner(best_path(paths, found))
 
 
 def host_of(url: Column) -> Column:
