@@ -3,24 +3,28 @@
 Plain spans are leftmost non-overlapping matches per kind, checked afterwards (address parts, Luhn, digit counts);
 what fails is dropped. A second pass rewrites the text: look-alike characters and invisible ones (characters), then
 spelled digits, disguised dots and at signs (tokens). Each rewrite keeps a map of pieces, so a match in the rewritten
-text maps back to source characters. Only matches that touch a rewritten piece and overlap no plain span of their kind
-are added. Null text is empty and has no spans; any length works, in memory proportional to the text.
+text maps back to source characters. Matches that touch a rewritten piece are added if they overlap no plain span of their kind, or hold
+those that they overlap and more (the plain ones stay). Null text is empty and has no spans; a text of any length and make-up takes time and
+memory in proportion to it. Rows that repeat, and rows without doc_id, each come back by their own texts. An empty table gives an empty table;
+further columns are left alone by personal_data and kept by redacted.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import string
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+LOCAL = string.ascii_letters + string.digits + "._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # one that fails at a run's first digit fails at all of them
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
@@ -57,15 +61,20 @@ LATIN_FOLDS = tuple(c for c in FOLDS if c < "\u0100")
 INNER = re.compile(r"(?<=[0-9])[OoIl]+(?=[ -]?[0-9])")
 INNER_TABLE = str.maketrans("OoIl", "0011")
 _DIGIT = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_DOT = r"(?:[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+|(?<=[a-z0-9])[_-]dot[_-])"
-_AT = r"(?:[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*|[ \t]+at[ \t]+|(?<=[a-z0-9])[_-]at[_-]|[ \t]+@[ \t]*|[ \t]*@[ \t]+)"
+# a sign's blanks are taken from their first one on, so a long run of them is read once
+_DOT = r"(?:(?<![ \t])[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*|(?<![ \t])[ \t]+dot[ \t]+|(?<=[a-z0-9])[_-]dot[_-])"
+_AT = r"(?:(?<![ \t])[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*|(?<![ \t])[ \t]+at[ \t]+|(?<=[a-z0-9])[_-]at[_-]|(?<![ \t])[ \t]+@[ \t]*|(?<![ \t])[ \t]*@[ \t]+)"
 #: Runs of at least three spelled digits or digits, parted as numbers are; one spelled digit at least is checked later.
 SPELLED_RUN = re.compile(rf"(?i)(?<![A-Za-z])(?:\+[ \t]*|plus[ \t]+)?(?:{_DIGIT}(?![A-Za-z])|[0-9])(?:(?:[ \t.()-]{{0,3}}|[ \t]*,[ \t]*|[ \t]+(?:dot|dash|point|hyphen)[ \t]+)(?:{_DIGIT}(?![A-Za-z])|[0-9])){{2,}}")
 SPELLED_TOKEN = re.compile(rf"(?i)(?P<digit>{_DIGIT})|(?P<plus>plus[ \t]+|\+[ \t]+)|(?P<dot>[ \t]*(?:\b(?:dot|point)\b)[ \t]*)|(?P<dash>[ \t]*\b(?:dash|hyphen)\b[ \t]*)|(?P<comma>[ \t]*,[ \t]*)")
-#: What may be an address whose signs are written out: a disguised at sign and a domain, or a plain one with disguised dots.
-ADDRESS_RUN = re.compile(rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]+(?:{_DOT}[a-z0-9_%+-]+){{0,3}}(?:{_AT}|@)[a-z0-9-]+(?:(?:{_DOT}|\.)[a-z0-9-]+)+")
-ADDRESS_TOKEN = re.compile(rf"(?i)(?P<dot>{_DOT})|(?P<at>{_AT})")
+#: What addresses with written-out signs are made of. Words end before a sign of underscores or hyphens.
+ADDRESS_TOKEN = re.compile(rf"(?i)(?P<dot>{_DOT})|(?P<at>{_AT}|@)|(?P<word>(?:(?!(?<=[a-z0-9])[_-](?:dot|at)[_-])[a-z0-9._%+-])++)")
+LABELS = re.compile(r"(?i)[a-z0-9-]++(?:\.[a-z0-9-]++)*+")
 BRACKETED_AT = re.compile(r"(?i)[\[({<][ \t]*(?:at|@)|[_-]at[_-]|@")
+# Last labels that make a bare "at ... dot ..." an address.
+LAST_LABELS = frozenset(
+    "com org net edu gov mil int info biz name pro dev app io co me tv ai uk us ca au nz ie de at ch fr be nl lu es pt it gr pl cz sk hu ro bg se no dk fi ee lv lt ru ua tr il in cn jp kr tw hk sg br mx ar cl za eu example test".split()
+)
 #: What a written-out sign holds, and how far from it the rest of an address may be.
 SIGN = re.compile(r"(?i)dot|@|[\[({<_-][ \t]*at[ \t]*[\])}>_-]|[\[({<][ \t]*\.[ \t]*[\])}>]")
 REACH = 320
@@ -79,14 +88,31 @@ def luhn(digits: str) -> bool:
     return (total + sum(d * 2 - 9 * (d > 4) for d in map(int, digits[-2::-2]))) % 10 == 0
 
 
+def emails(text: str) -> Iterator[Span]:
+    """Leftmost non-overlapping addresses, found from their at signs outwards, so that each character is read a bounded number of times."""
+    at, end = text.find("@"), 0
+    while at >= 0:
+        s, width = at, 64
+        while s > end:
+            low = max(end, s - width)
+            kept = len(text[low:s].rstrip(LOCAL))
+            s, width = low + kept, 2 * width
+            if kept:
+                break
+        if s < at and (m := DOMAIN.match(text, at + 1)):
+            end = m.end()
+            yield s, end
+        at = text.find("@", max(at + 1, end))
+
+
 def plain_spans(text: str) -> dict[str, list[Span]]:
-    """Leftmost non-overlapping matches of each kind that pass its check."""
+    """Leftmost non-overlapping matches of each kind that pass its check, in time proportional to the text."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     if "@" in text:
-        out["email"] = [m.span() for m in EMAIL.finditer(text)]
+        out["email"] = list(emails(text))
     if DIGITS.search(text):
         if "." in text:
-            out["ip"] = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            out["ip"] = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 d = m[0].replace(" ", "").replace("-", "")
@@ -178,16 +204,38 @@ def _windows(text: str) -> Iterator[tuple[int, int]]:
         yield at, end
 
 
+def _addresses(text: str, at: int, end: int) -> Iterator[list[re.Match]]:
+    """The written-out signs of each address in a stretch: up to four words parted by dots, an at sign, and words parted by dots."""
+    run: list[re.Match] = []
+    for m in [*ADDRESS_TOKEN.finditer(text, at, end), None]:
+        if m is not None and (not run or m.start() == run[-1].end()):
+            run.append(m)
+            continue
+        kinds = [x.lastgroup for x in run]
+        for k in (i for i, kind in enumerate(kinds) if kind == "at"):
+            if kinds[k - 1 : k] != ["word"] or kinds[k + 1 : k + 2] != ["word"]:
+                continue
+            s, e = k - 1, k + 1
+            while s >= 2 and k - s < 7 and kinds[s - 2 : s] == ["word", "dot"]:
+                s -= 2
+            labels = LABELS.match(run[e][0])
+            while labels and labels.end() == len(run[e][0]) and kinds[e + 1 : e + 3] == ["dot", "word"] and (more := LABELS.match(run[e + 2][0])):
+                e, labels = e + 2, more
+            signs = [x for x in run[s:e] if x.lastgroup != "word" and x[0] != "@"]
+            if e == k + 1 and not (labels and "." in labels[0]):
+                continue  # no dot in the domain
+            # a bare " at " is a common word: it needs a dot that is written out, and a known last label
+            if not BRACKETED_AT.search(run[k][0]) and not (any(x.lastgroup == "dot" for x in signs) and labels[0].rsplit(".", 1)[-1].lower() in LAST_LABELS):
+                continue
+            yield signs
+        run = [] if m is None else [m]
+
+
 def _address_pieces(text: str) -> list[tuple[int, int, str]]:
     found = {}
     for at, end in _windows(text):
-        for run in ADDRESS_RUN.finditer(text, at, end):
-            tokens = list(ADDRESS_TOKEN.finditer(text, *run.span()))
-            ats = [m for m in tokens if m.lastgroup == "at"]
-            # a bare " at " is a common word: it needs a dot that is written out
-            if ats and not BRACKETED_AT.search(ats[0][0]) and not any(m.lastgroup == "dot" for m in tokens):
-                continue
-            for m in tokens:
+        for signs in _addresses(text, at, end):
+            for m in signs:
                 found[m.start()] = (m.start(), m.end(), "@" if m.lastgroup == "at" else ".")
         for run in DOTTED_IP.finditer(text, at, end):
             for m in ADDRESS_TOKEN.finditer(text, *run.span()):
@@ -229,6 +277,17 @@ def may_hide(text: str) -> tuple[bool, bool, bool]:
     return folds(text), spelled, SIGN.search(text) is not None
 
 
+def _adds(spans: list[Span], a: int, b: int, wider: bool) -> bool:
+    """Whether (a, b) overlaps none of the spans (ascending, none overlapping), or, if wider, holds all that it overlaps and more."""
+    k = bisect_left(spans, a, key=lambda x: x[1])
+    k += k < len(spans) and spans[k][1] <= a
+    over = []
+    while k < len(spans) and spans[k][0] < b:
+        over.append(spans[k])
+        k += 1
+    return not over or wider and all(a <= x and y <= b for x, y in over) and over != [(a, b)]
+
+
 def hidden_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans of the source that show only in the rewritten text."""
     fold, spelled, signs = may_hide(text)
@@ -242,8 +301,8 @@ def hidden_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span
         for kind, spans in plain_spans(r.text).items():
             for s, e in spans:
                 a, b, touched = r.source(s, e)
-                if touched and not any(x < b and a < y for x, y in plain[kind] + out.get(kind, [])):
-                    out.setdefault(kind, []).append((a, b))
+                if touched and _adds(plain[kind], a, b, wider=True) and _adds(out.get(kind, []), a, b, wider=False):
+                    insort(out.setdefault(kind, []), (a, b))
 
     r = Rewritten(text)
     if fold:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -89,3 +90,39 @@ def test_redacted_keeps_columns(awkward):
     by = {r.doc_id: r for r in out.collect()}
     assert by[4].text is None and by[5].text == ""
     assert by[12].text == "mail <EMAIL> or <EMAIL>, <PHONE>, <IP>"
+
+
+@pytest.mark.parametrize("piece", ["a", "1", "1.", "a@", "@", "a_dot_", "_at_", " at ", "( ", "one ", "1 ", "a@b.c ", "+1(", "о"])
+def test_time_is_proportional_to_the_text(piece):
+    def seconds(n):
+        began = time.process_time()
+        pii.find_spans(piece * n + " x@y.z 1.2 dot")
+        return time.process_time() - began
+
+    small, large = seconds(40_000), seconds(160_000)
+    assert large < 8 * small + 0.2  # 16 times where it is quadratic
+
+
+def test_five_megabytes_of_one_word():
+    text = "a" * 5_000_000 + "@example.com"
+    assert pii.plain_spans(text)["email"] == [(0, len(text))]
+
+
+@pytest.mark.parametrize(("text", "plain"), [("jоhn@example.com", (2, 16)), ("jo​hn@example.com", (3, 17)), ("jane (dot) doe@corp.org", (11, 23))])
+def test_a_disguise_that_widens_a_plain_span_is_added(text, plain):
+    base, hidden = pii.find_spans(text)
+    assert base["email"] == [plain] and hidden["email"] == [(0, len(text))]
+    assert pii.redact(f"x {text} y") == "x <EMAIL> y"
+
+
+def test_a_bare_at_needs_a_known_last_label():
+    assert not pii.find_spans("meet at noon dot the")[1] and not pii.find_spans("we sat at home dot so there")[1]
+
+
+def test_awkward_rows_and_clashing_columns(spark, awkward, nothing):
+    docs = awkward.withColumn("spans", pii.F.lit("mine")).withColumn("n_email", pii.F.lit(5))
+    rows = docs.collect()
+    got = pii.personal_data(docs).collect()
+    assert sorted((r.doc_id or -1, r.spans) for r in got) == sorted((r.doc_id or -1, pii.joined({k: p[k] + h.get(k, []) for k in pii.KINDS})) for r in rows for p, h in [pii.find_spans(r.text or "")])
+    assert pii.redacted(docs).columns == docs.columns and pii.redacted(docs).count() == len(rows)
+    assert pii.personal_data(nothing).collect() == [] and pii.redacted(nothing).collect() == []
