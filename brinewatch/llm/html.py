@@ -6,8 +6,9 @@ tag-class path of the smallest one around its best that holds nearly all its tex
 footers, sidebars, notices, adverts, forms, scripts, styles, dialogs and reader comments are left out wherever they stand, by tag, role, class or id.
 
 Character references are decoded, white space is one space, blocks are joined by one space in page order. Null or empty html gives "".
-Pages without tags are one block. Unclosed and stray tags are tolerated. A null url is a host of its own, like any other without one. Rows that
-repeat each come back; one host may have a third of all pages (votes are partial sums, winners are attached, not grouped).
+Pages without tags are one block. Unclosed and stray tags are tolerated; a page of any length and depth takes time and memory in proportion to it.
+A null url is a host of its own, like any other without one. Rows that repeat, and rows without page_id, each come back; an empty table gives an empty one;
+further columns are left alone. One host may have a third of all pages (votes are partial sums, winners are attached, not grouped).
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from brinewatch.llm.tables import attached, saved
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: The rest of a tag: a quoted value may hold ">"; a quote that is never closed is a character. No part is read twice.
+REST = re.compile(r"(?:[^\"'>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
+WANTED = {"class", "id", "role", "hidden", "aria-hidden"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -35,125 +39,192 @@ MARKS = re.compile(
     r"ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|sidebars?|menus?|nav|navs|navbar|navigation|breadcrumbs?|headers?|masthead|footers?|notices?|"
     r"cookies?|consent|gdpr|popups?|modals?|overlay|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widgets?|pagination|pager|toolbar|skip"
 )
+HEADS = {"header", "headers"}
+#: Words beside which a header is the article's own.
+TITLED = {"article", "entry", "post", "story", "content", "main", "title", "section"}
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 NUMBERS = re.compile(r"[0-9]+")
 #: The share of a page's text without links that its main container holds at least.
 NEARLY = 0.95
 
 
+def marked(name: str, whole: bool) -> bool:
+    """Whether a class or id marks what is left out: by one of its words, or by all of them; an article's own header does not count."""
+    words = [w.lower() for w in PARTS.findall(name)]
+    marks = [bool(MARKS.fullmatch(w)) and not (w in HEADS and not TITLED.isdisjoint(words)) for w in words]
+    return any(marks) and (all(marks) or not whole)
+
+
 def left_out(tag: str, attributes: dict[str, str]) -> bool:
+    """Paragraphs, headings and parts of lines are left out only where all words of a class or id say so."""
     if tag in LEFT_OUT or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
     if tag in ("body", "html", "article", "main"):
         return False
-    return any(MARKS.fullmatch(w.lower()) for name in ("class", "id") for w in PARTS.findall(attributes.get(name, "")))
+    return any(marked(name, tag not in CONTAINERS) for of in ("class", "id") for name in attributes.get(of, "").split())
 
 
 def attributes_of(text: str) -> dict[str, str]:
-    return {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text and not text.isspace() else {}
+    """The attributes that matter, of each name the first."""
+    out: dict[str, str] = {}
+    if text and not text.isspace():
+        for m in ATTRIBUTE.finditer(text):
+            if (name := m[1].lower()) in WANTED:
+                out.setdefault(name, references.unescape(m[2] or m[3] or m[4] or ""))
+    return out
 
 
 def step(tag: str, attributes: dict[str, str]) -> str:
     """A path's step: the tag and its first class, numbers generalised."""
     first = attributes.get("class", "").split()
-    return tag + ("." + NUMBERS.sub("#", first[0]) if first else "")
+    return tag + ("." + NUMBERS.sub("#", first[0]).replace("/", "_") if first else "")
 
 
-Block = tuple[tuple[int, ...], str, bool]
+class Page:
+    """A page's containers, each with its parent (0 is the page itself) and path, and its kept text in order.
 
+    found holds (container, text, whether in a link); a text of one blank parts blocks. Paths are numbers, so that deep pages stay small.
+    """
 
-def blocks(page: str) -> tuple[list[str], list[Block]]:
-    """Paths of all containers, and the page's kept text in order: (containers it is in, text, whether in a link); a text of one blank parts blocks."""
-    paths: list[str] = [""]
-    out: list[Block] = []
+    def __init__(self) -> None:
+        self.parent = [0]
+        self.path = [0]
+        self.steps: list[tuple[int, str]] = [(0, "")]  # of each path: the path before it and the last step
+        self.known: dict[tuple[int, str], int] = {}
+        self.found: list[tuple[int, str, bool]] = []
+
+    def opened(self, inside: int, name: str) -> int:
+        key = (self.path[inside], name)
+        if key not in self.known:
+            self.known[key] = len(self.steps)
+            self.steps.append(key)
+        self.parent.append(inside)
+        self.path.append(self.known[key])
+        return len(self.parent) - 1
+
+    def tag(self, container: int) -> str:
+        return self.steps[self.path[container]][1].split(".")[0]
+
+    def text_of(self, path: int) -> str:
+        names = []
+        while path:
+            path, name = self.steps[path]
+            names.append(name)
+        return "".join(f"/{n}" for n in reversed(names))
+
+    def number_of(self, text: str) -> int | None:
+        path: int | None = 0
+        for name in text.split("/")[1:]:
+            path = self.known.get((path, name)) if path is not None else None
+        return path
+
+
+def blocks(page: str) -> Page:
+    """Reads a page once, from left to right."""
+    out = Page()
     stack: list[tuple[str, bool, bool]] = []  # tag, left out, container
-    inside: list[int] = [0]
-    hidden = links = at = 0
+    open_tags: Counter[str] = Counter()
+    inside = hidden = links = at = 0
     n = len(page)
     while at < n:
-        m = TOKEN.search(page, at)
-        end = m.start() if m else n
+        end = page.find("<", at)
+        m = None
+        while end >= 0 and not (m := TAG.match(page, end)) and not page.startswith(("<!", "<?"), end):
+            end = page.find("<", end + 1)  # a sign, not a tag
+        end = n if end < 0 else end
         if end > at and not hidden:
-            out.append((tuple(inside), page[at:end], links > 0))
-        if not m:
+            out.found.append((inside, page[at:end], links > 0))
+        if end == n:
             break
-        at = max(m.end(), end + 1)
-        if not m[2]:
+        if m is None:
+            close = page.find("-->", end + 4) if page.startswith("<!--", end) else page.find(">", end)
+            at = n if close < 0 else close + (3 if page.startswith("-->", close) else 1)
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        rest = REST.match(page, m.end())
+        at = rest.end() + 1
+        tag, closing, inner = m[2].lower(), bool(m[1]), rest[0]
         if tag not in INLINE and not hidden:
-            out.append((tuple(inside), " ", False))
+            out.found.append((inside, " ", False))
         if tag == "a":
             links = max(0, links - 1) if closing else links + 1
             continue
-        if not closing and tag in RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+        if not closing and tag in RAW and not inner.endswith("/"):
+            close = re.compile(rf"</{tag}(?![a-z0-9:-])", re.I).search(page, at)
+            close = page.find(">", close.end()) if close else -1
+            at = close + 1 if close >= 0 else n
             continue
-        if tag in VOID or (not closing and m[3].endswith("/") and tag not in CONTAINERS):
+        if tag in VOID or (not closing and inner.endswith("/") and tag not in CONTAINERS):
             continue
         if closing:
-            if not any(t == tag for t, _, _ in stack):
-                continue
-            while stack:
+            while open_tags[tag]:
                 t, out_of, box = stack.pop()
+                open_tags[t] -= 1
                 hidden -= out_of
                 if box:
-                    inside.pop()
+                    inside = out.parent[inside]
                 if t == tag:
                     break
             continue
-        attributes = attributes_of(m[3])
+        attributes = attributes_of(inner)
         drop = left_out(tag, attributes)
         if not drop and tag not in CONTAINERS:
             continue  # paragraphs and inline tags need no closing
-        box = tag in CONTAINERS and not drop
         hidden += drop
-        stack.append((tag, drop, box))
-        if box:
-            paths.append(f"{paths[inside[-1]]}/{step(tag, attributes)}")
-            inside.append(len(paths) - 1)
-    return paths, out
+        stack.append((tag, drop, not drop))
+        open_tags[tag] += 1
+        if not drop:
+            inside = out.opened(inside, step(tag, attributes))
+    return out
+
+
+#: Containers that don't stand alone as the main one.
+PARTIAL = {"ul", "ol", "dl", "td", "table", "blockquote", "figure", "details"}
 
 
-def best_path(paths: list[str], found: list[Block]) -> str:
+def best_path(page: Page) -> str:
     """The path of the smallest container around the one with the most text of its own (lists and tables don't stand alone) that holds NEARLY all text without links.
 
     Within an article or main only such ones are taken, and the outermost one's text is all there is to hold. Containers of one path count together.
     """
-    score = [0.0] * len(paths)
-    for inside, text, link in found:
-        k = len(inside) - 1
-        while k > 0 and paths[inside[k]].rsplit("/", 1)[1].split(".")[0] in ("ul", "ol", "dl", "td", "table", "blockquote", "figure", "details"):
-            k -= 1
-        size = len(text.strip())
-        score[inside[k]] += -size if link else size
-        if k > 1:
-            score[inside[k - 1]] += 0.5 * (-size if link else size)
-    best = max(range(len(paths)), key=lambda i: (score[i] * (1.2 if re.search(r"/(?:article|main)\b[^/]*$", paths[i]) else 1), -i))
+    n = len(page.parent)
+    tags = [page.tag(i) for i in range(n)]
+    whole, score, size = [0] * n, [0.0] * n, [0] * n  # whole: the container itself, or the first around it that may stand alone
+    for i in range(1, n):
+        whole[i] = whole[page.parent[i]] if tags[i] in PARTIAL else i
+    for inside, text, link in page.found:
+        k, long = whole[inside], len(text.strip())
+        score[k] += -long if link else long
+        if page.parent[k]:
+            score[page.parent[k]] += 0.5 * (-long if link else long)
+        size[inside] += 0 if link else long
+    best = max(range(n), key=lambda i: (score[i] * (1.2 if tags[i] in ("article", "main") else 1), -i))
     if score[best] <= 0:
         return ""
-    sizes: Counter[tuple[int, ...]] = Counter()
-    for inside, text, link in found:
-        if not link:
-            sizes[inside] += len(text.strip())
-    held: Counter[str] = Counter()
-    for inside, size in sizes.items():
-        for path in {paths[i] for i in inside}:
-            held[path] += size
-    way = next(inside[: inside.index(best) + 1] for inside, _, _ in found if best in inside)
-    way = [i for i in way if re.search(r"/(?:article|main)\b[^/]*$", paths[i])] or way
-    return next(paths[i] for i in reversed(way) if held[paths[i]] >= NEARLY * held[paths[way[0]]])
-
-
-def text_at(paths: list[str], found: list[Block], path: str | None) -> str:
+    for i in range(n - 1, 0, -1):  # a container stands behind its parent
+        size[page.parent[i]] += size[i]
+    held = [0] * len(page.steps)
+    for i in range(n):
+        held[page.path[i]] += size[i]
+    way = [best]
+    while way[-1]:
+        way.append(page.parent[way[-1]])
+    way = [i for i in way if tags[i] in ("article", "main")] or way
+    return page.text_of(page.path[next(i for i in way if held[page.path[i]] >= NEARLY * held[page.path[way[-1]]])])
+
+
+def text_at(page: Page, path: str | None) -> str:
     """The text in all containers of a path; without it, or if there is none, in the page's own best."""
 
     def inner(path: str) -> str:
-        chosen = {i for i, p in enumerate(paths) if p == path}
-        return " ".join(references.unescape("".join(t for inside, t, _ in found if not chosen.isdisjoint(inside))).split())
+        number = page.number_of(path)
+        if number is None:
+            return ""
+        chosen = [p == number for p in page.path]
+        for i in range(1, len(chosen)):
+            chosen[i] = chosen[i] or chosen[page.parent[i]]
+        return " ".join(references.unescape("".join(t for inside, t, _ in page.found if chosen[inside])).split())
 
-    return (inner(path) if path is not None and path in paths else "") or inner(best_path(paths, found))
+    return (inner(path) if path else "") or inner(best_path(page))
 
 
 def host_of(url: Column) -> Column:
@@ -168,14 +239,14 @@ def main_texts(pages: DataFrame) -> DataFrame:
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 part = b.slice(s, 500)
-                best = [best_path(*blocks(h or "")) for h in part.column("html").to_pylist()]
+                best = [best_path(blocks(h or "")) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("_host"), pa.array(best, pa.string())], ["_host", "path"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 part = b.slice(s, 500)
-                text = [text_at(*blocks(h or ""), p) for h, p in zip(part.column("html").to_pylist(), part.column("path").to_pylist(), strict=True)]
+                text = [text_at(blocks(h or ""), p) for h, p in zip(part.column("html").to_pylist(), part.column("path").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), part.column("path")], ["page_id", "url", "text", "n_chars", "path"])
 
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("_host"))
