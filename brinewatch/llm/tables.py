@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -16,8 +17,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none (tests), one of our own."""
+    """The folder that driver and executors share, as the session names it. Where it names none: our own on one machine, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or "/tmp/brinewatch-checkpoints"
 
 
@@ -25,7 +28,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what saved wrote for df, once nothing that is still to run reads it."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -58,9 +70,34 @@ def attached(df: DataFrame, small: DataFrame, key: str, salts: int = 16) -> Data
     """df left-joined to small (one row a key, no null keys) on key.
 
     A small table of at most SMALL_ROWS rows is broadcast, after counting it. A larger one is repeated salts times and
-    joined on key and salt, so one key with a third of df's rows is spread over salts tasks.
+    joined on key and salt, so one key with a third of df's rows is spread over salts tasks. The salt is a hash of the row,
+    so a task that runs again deals alike (equal rows share one).
     """
     if small.count() <= SMALL_ROWS:
         return df.join(F.broadcast(small), key, "left")
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", (F.rand(11) * salts).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
+    salt = unused("salt", df, small)
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    salted = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)).cast("int")).join(salted, [key, salt], "left").drop(salt)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has (names don't differ by case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def hub_joined(df: DataFrame, table: DataFrame, key: str, rows: int) -> DataFrame:
+    """df left-joined to table (one row a key) on key; rows is what df has, and no less than what table has.
+
+    Up to SMALL_ROWS rows, table is broadcast. Beyond, keys with more than a share of df's rows, of which there can't be more than SMALL_ROWS,
+    are joined by broadcast and all others by a plain join: no task gets all rows of a key that many share.
+    """
+    if rows <= SMALL_ROWS:
+        return df.join(F.broadcast(table), key, "left")
+    hubs = df.groupBy(key).agg(F.count("*").alias("_hub_rows")).where(F.col("_hub_rows") > rows // SMALL_ROWS + 1000).select(key)
+    rest = df.join(F.broadcast(hubs), key, "left_anti").join(table, key, "left")
+    theirs = hubs.join(F.broadcast(table.join(F.broadcast(hubs), key, "left_semi")), key, "left")
+    return rest.unionByName(df.join(F.broadcast(theirs), key))
