@@ -1,17 +1,19 @@
 """Quality rules as learned decision lists: threshold conjunctions over text statistics, emitted as ordered Spark conditions.
 
 All in DataFrame functions. Statistics are expressions on one row's text. Rules are learned by sequential covering from labelled
-rows: candidate thresholds are quantiles of each statistic; each step counts all candidates in one grouping and adds the
-threshold of best precision gain; a rule is pruned on held-back rows and kept if it is precise there; what it covers is set aside
+rows: candidate thresholds are quantiles of each statistic; one grouping counts the rows that fall between the same ones; from these counts
+each step adds the threshold of best precision gain; a rule is pruned on held-back rows and kept if it is precise there; what it covers is set aside
 and the next one is grown. At most SAMPLE labelled rows are used (those of smallest hashed doc_id); statistics and
 verdicts cover all rows.
 
 Null text has no words and fails the base rules. Rows that repeat are judged alike, each comes back. Without labelled
-rows (or without both labels) the list is empty and only the base rules decide. Null labels are no labels. Further columns pass through.
+rows (or with too few bad ones for a rule to be trusted) the list is empty and only the base rules decide. Null labels are no labels. Further columns pass
+through. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,11 +22,12 @@ from brinewatch.llm.tables import saved
 
 SAMPLE = 20_000
 WINDOW = 5
-STEPS = 24
+SHARES = [0.005, 0.01, 0.02, *(i / 24 for i in range(1, 24)), 0.98, 0.99, 0.995]
 MOST_RULES = 6
 MOST_LITERALS = 3
 PRECISION = 0.99  # a rule grows until it is this precise
-TRUST = 0.95  # of bad rows among those a rule covers and one more, on rows it wasn't grown on
+TRUST = 0.95  # of bad rows among those a rule covers on rows it wasn't grown on, and of all it covers and one more
+LEAST = 5  # bad rows that it covers there
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -117,67 +120,109 @@ def _all(rule: Rule, of: dict[str, Column]) -> Column:
     return out
 
 
-def _best(counts: list, rule: Rule, limits: dict[str, list[float]]) -> Literal | None:
-    """The literal of the largest information gain: positives covered times the gain of their log precision."""
-    import math
+@dataclass(frozen=True)
+class Trial:
+    """A rule, and what it covers of the rows that no earlier rule covers, of those it wasn't grown on: bad ones, good ones, and its share of all bad ones."""
+
+    rule: Rule
+    bad: int
+    good: int
+    recall: float
+
+
+#: Labelled rows that fall in the same bins of all measures: (number, bad, grown on, bin of each measure).
+Cell = tuple[int, bool, bool, tuple[int, ...]]
+
+
+def _covered(cells: list[Cell], rule: Rule, place: dict[str, int], limits: dict[str, list[float]]) -> list[Cell]:
+    """Bin k of a measure holds values from its k-th limit (counted from 1) up to below the next."""
+    bounds = [(place[x.measure], x.above, limits[x.measure].index(x.threshold)) for x in rule]
+    return [c for c in cells if all((c[3][m] > k) == above for m, above, k in bounds)]
+
+
+def _counted(cells: list[Cell]) -> tuple[int, int]:
+    """How many are good, and how many are bad."""
+    bad = sum(n for n, b, _, _ in cells if b)
+    return sum(n for n, *_ in cells) - bad, bad
 
-    by: dict[str, dict[int, list[int]]] = {name: {} for name in limits}  # in a fixed order, so that ties do not hang on how rows arrive
-    for r in counts:
-        by[r.measure].setdefault(r.bin, [0, 0])[r.bad] += r.n
+
+def _best(cells: list[Cell], limits: dict[str, list[float]]) -> Literal | None:
+    """The literal of the largest information gain: positives covered times the gain of their log precision. Ties go to the first measure and limit."""
+    good, bad = _counted(cells)
     best, gain = None, 0.0
-    for name, bins in by.items():
-        good, bad = (sum(b[k] for b in bins.values()) for k in (0, 1))
-        if not bad:
-            continue
-        now = math.log2(bad / (good + bad))
+    if not bad:
+        return None
+    now = math.log2(bad / (good + bad))
+    for m, (name, marks) in enumerate(limits.items()):
+        bins = [[0, 0] for _ in range(len(marks) + 1)]
+        for n, b, _, at in cells:
+            bins[at[m]][b] += n
         below = [0, 0]
-        for k, t in enumerate(limits[name]):  # bin k holds values below the k-th limit and not below the one before
-            below = [x + y for x, y in zip(below, bins.get(k, [0, 0]), strict=True)]
+        for k, t in enumerate(marks):
+            below = [below[0] + bins[k][0], below[1] + bins[k][1]]
             for above, (g, b) in ((False, below), (True, [good - below[0], bad - below[1]])):
                 if b and (x := b * (math.log2(b / (g + b)) - now)) > gain + 1e-9:
                     best, gain = Literal(name, above, t), x
     return best
 
 
-def _below(limits: list[float], name: str) -> Column:
-    """How many limits a measure reaches."""
-    return F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= F.col(name)))
+def _trusted(good: int, bad: int) -> bool:
+    """Whether that many good and bad rows, and one more good one, leave a rule precise enough."""
+    return bad >= TRUST * (bad + good + 1)
 
 
-def learn(labelled: DataFrame) -> list[Rule]:
-    """Rules for bad rows from (doc_id, bad int, s struct), in the order they apply."""
-    names = list(measures(F.col("s")))
-    table = saved(labelled.select("bad", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0).alias("grow"), *(c.alias(n) for n, c in measures(F.col("s")).items())), "labelled")
-    shares = [i / STEPS for i in range(1, STEPS)]
-    marks = table.agg(*(F.percentile(n, F.array(*map(F.lit, shares))).alias(n) for n in names)).first()
-    if marks[names[0]] is None:
-        return []
-    limits = {n: sorted({float(x) for x in marks[n]} | {float(x) * 1.0000001 + 1e-9 for x in marks[n]}) for n in names}
-    of = {n: F.col(n) for n in names}
-    rules: list[Rule] = []
-    left = table
+def covering(cells: list[Cell], limits: dict[str, list[float]]) -> list[Trial]:
+    """Sequential covering: a rule is grown literal by literal on two thirds of the rows; on the last third its literals go one by one as long as that
+    doesn't make it less precise there; it is kept if it covers at least LEAST bad rows there at a precision of TRUST, and is trusted over all rows."""
+    place = {name: m for m, name in enumerate(limits)}
+    every = sum(n for n, b, grown, _ in cells if b and not grown)
+    trials: list[Trial] = []
     for _ in range(MOST_RULES):
         rule: Rule = ()
-        while len(rule) < MOST_LITERALS:
-            bins = F.array(*(F.struct(F.lit(n).alias("measure"), _below(limits[n], n).alias("bin")) for n in names))
-            counts = left.where("grow").where(_all(rule, of)).select("bad", F.explode(bins).alias("b")).groupBy("b.measure", "b.bin", "bad").agg(F.count("*").alias("n")).collect()  # measures * limits * 2 rows at most
-            x = _best(counts, rule, limits)
-            if x is None or x in rule:
-                break
+        inside = grown = [c for c in cells if c[2]]
+        while len(rule) < MOST_LITERALS and (x := _best(inside, limits)) is not None:
             rule = (*rule, x)
-            bad = [sum(r.n for r in counts if r.measure == x.measure and r.bad == k and (r.bin > limits[x.measure].index(x.threshold)) == x.above) for k in (0, 1)]
-            if bad[1] >= PRECISION * sum(bad):
+            inside = _covered(grown, rule, place, limits)
+            good, bad = _counted(inside)
+            if bad >= PRECISION * (good + bad):
+                break
+        held = [c for c in cells if not c[2]]
+        worth = lambda r: (lambda g, b: (b - g) / (b + g) if b + g else -1.0)(*_counted(_covered(held, r, place, limits)))
+        while len(rule) > 1:
+            shorter = max((rule[:k] + rule[k + 1 :] for k in range(len(rule) - 1, -1, -1)), key=worth)
+            if worth(shorter) < worth(rule):
                 break
+            rule = shorter
         if not rule:
             break
-        found = left.where(~F.col("grow")).agg(*(F.coalesce(F.sum(F.when(_all(rule[:k], of) & (F.col("bad") == b), 1)), F.lit(0)).alias(f"n{k}_{b}") for k in range(1, len(rule) + 1) for b in (0, 1))).first()
-        ok = [k for k in range(1, len(rule) + 1) if (hit := found[f"n{k}_1"]) >= TRUST * (hit + found[f"n{k}_0"] + 1)]
-        if not ok:
+        good, bad = _counted(_covered(held, rule, place, limits))
+        if bad < LEAST or bad < TRUST * (good + bad) or not _trusted(*_counted(_covered(cells, rule, place, limits))):
             break
-        rule = rule[: ok[0]]  # the shortest that is precise on rows it wasn't grown on
-        rules.append(rule)
-        left = left.where(~_all(rule, of))
-    return rules
+        trials.append(Trial(rule, bad, good, bad / every))
+        gone = set(map(id, _covered(cells, rule, place, limits)))
+        cells = [c for c in cells if id(c) not in gone]
+    return trials
+
+
+def _reached(limits: list[float], name: str) -> Column:
+    """How many limits a measure reaches."""
+    return F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= F.col(name)))
+
+
+def learn(labelled: DataFrame) -> list[Trial]:
+    """Rules for bad rows from (doc_id, bad int, s struct), in the order they apply.
+
+    Spark bins the rows' measures at their quantiles and counts equal rows, in one grouping; no more than SAMPLE counts come back, whatever the table's size.
+    """
+    names = list(measures(F.col("s")))
+    table = saved(labelled.select("bad", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0).alias("grown"), *(c.alias(n) for n, c in measures(F.col("s")).items())), "labelled")
+    marks = table.agg(*(F.percentile(n, F.array(*map(F.lit, SHARES))).alias(n) for n in names)).first()
+    if marks[names[0]] is None:
+        return []
+    limits = {n: sorted({float(x) for x in marks[n]} | {float(x) * 1.0000001 + 1e-9 for x in marks[n]}) for n in names}
+    rows = table.groupBy("bad", "grown", *(_reached(limits[n], n).alias(f"{n}_bin") for n in names)).agg(F.count("*").alias("n")).collect()
+    cells = sorted((r.n, bool(r.bad), r.grown, tuple(r[f"{n}_bin"] for n in names)) for r in rows)  # in an order of their own, so two runs learn the same
+    return covering(cells, limits)
 
 
 def decision(rules: list[Rule], s: Column) -> Column:
@@ -189,16 +234,20 @@ def decision(rules: list[Rule], s: Column) -> Column:
     return out
 
 
-def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Rules from docs(doc_id, text) and labels(doc_id, quality: 0 is bad), over at most sample labelled rows."""
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Trial]:
+    """Rules, with what they are worth on rows they weren't grown on, from docs(doc_id, text) and labels(doc_id, quality: 0 is bad), over at most sample labelled rows."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
     return learn(rows.select("doc_id", (F.col("quality") == 0).cast("int").alias("bad"), statistics(F.col("text")).alias("s")))
 
 
+#: The columns that judged adds.
+ADDED = ("_s", "_rule", "_base_failed", "_kept")
+
+
 def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with _s (statistics), _rule (the rule that rejects, or null), _base_failed and _kept added."""
-    rules = learned(docs, labels, sample)
-    out = docs.withColumn("_s", statistics(F.col("text")))
+    """docs with _s (statistics), _rule (the rule that rejects, or null), _base_failed and _kept added; columns of docs of these names are replaced."""
+    rules = [t.rule for t in learned(docs, labels, sample)]
+    out = docs.drop(*ADDED).withColumn("_s", statistics(F.col("text")))
     out = out.withColumn("_base_failed", base_failed(F.col("_s"))).withColumn("_rule", decision(rules, F.col("_s")))
     return out.withColumn("_kept", ~F.col("_base_failed") & F.col("_rule").isNull())

@@ -109,7 +109,7 @@ def test_rules_are_learned_and_keep_good_rows(spark):
     docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(g)) for i, g, _ in rows if i % 2] + [(None, 0), (1, None)], "doc_id long, quality int")
     rules = decision.learned(docs, labels)
-    assert rules and "symbols" in str(rules[0][0])
+    assert rules and "symbols" in str(rules[0].rule[0]) and rules[0].bad >= decision.LEAST and not rules[0].good
     got = decision.judged(docs, labels).collect()
     assert {(r.doc_id % 3 > 0) for r in got if r._rule is None} == {True} and len(got) == 900
 
