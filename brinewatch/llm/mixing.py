@@ -4,11 +4,12 @@ All in DataFrame functions. Source s of T_s tokens gets weight w_s = p_s**a / su
 found by repeated section, so that the weights' entropy or the most repeated source meets a target. Under a budget of B
 tokens a source is passed through w_s * B / T_s times: whole passes, then a part of one. Without a budget, B is the
 least that uses every document once (nothing is dropped). Documents are dealt to blocks of about BLOCK_ROWS by a hash; blocks of a
-source are permuted by a seeded hash, and documents within a block. A part of a pass takes blocks in that order up to its
-budget; only the last block is cut. Token offsets are block offsets plus running sums within a block, so no source is ever ordered in one task.
+source are permuted by a seeded hash (heaps of blocks, then blocks within a heap), and documents within a block. A part of a pass takes blocks in that order up to its
+budget; only the last block is cut. Token offsets are heap and block offsets plus running sums within a block, so no source is ever ordered in one task.
 
 A document has its words and one more as tokens, so empty and null texts weigh one. A null source is a source of its
-own. Rows that repeat are mixed as rows. An empty table gives an empty table. Further columns pass through.
+own. Rows that repeat are mixed as rows; rows without doc_id are dealt to blocks by their place in the input, which should be a stored table.
+An empty table gives an empty table. Further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from brinewatch.llm.tables import attached, saved
 
 BLOCK_ROWS = 2048
+HEAP = 2048
 SECTIONS = 16
 NONE = "\x00none"
 
@@ -55,15 +57,37 @@ def exponent(shares: DataFrame, entropy: float | None = None, repetition: float
     return lo if entropy is not None else hi
 
 
+#: The columns that mixed adds.
+ADDED = ("_copy", "_weight", "_tokens", "_offset", "_position")
+
+
+def _starts(sizes: DataFrame, seed: int) -> DataFrame:
+    """(_source, _block, _start): how many tokens stand before each block in its source's permutation.
+
+    Blocks are permuted within heaps of about HEAP of them, and the heaps of a source among each other, so no task orders all blocks of a source.
+    """
+    heap = F.pmod(F.xxhash64(F.lit(seed + 3), "_block"), F.ceil(F.col("_blocks") / HEAP))
+    sizes = sizes.withColumn("_heap", heap)
+    before = lambda keys, at: F.coalesce(F.sum("_size").over(W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed + 1), at, "_source"), at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    heaps = sizes.groupBy("_source", "_heap").agg(F.sum("_size").alias("_size"))
+    heaps = heaps.select("_source", "_heap", before(["_source"], "_heap").alias("_before"))
+    inner = sizes.withColumn("_inner", before(["_source", "_heap"], "_block"))
+    return inner.join(heaps, ["_source", "_heap"]).select("_source", "_block", (F.col("_before") + F.col("_inner")).alias("_start"))
+
+
 def mixed(docs: DataFrame, entropy: float | None = None, repetition: float | None = 2.0, budget: int | None = None, source: str = "source", seed: int = 17) -> DataFrame:
     """docs, each row as often as it is drawn, with _copy (from 0), _weight (its source's), _tokens, _offset (of the token at
-    which it begins among its source's) and _position (0 to 1: rows in its order are the mixture).
+    which it begins among its source's) and _position (0 to 1: rows in its order are the mixture). Columns of docs of these names are replaced.
 
     Give a target entropy in bits, or else a repetition limit.
     """
+    docs = docs.drop(*ADDED)
     key = F.coalesce(F.col(source).cast("string"), F.lit(NONE))
     identity = F.xxhash64(F.lit(seed), *[c for c in ("doc_id", "text") if c in docs.columns])
-    rows = docs.withColumn("_source", key).withColumn("_tokens", tokens(F.col("text"))).withColumn("_deal", identity)
+    if "doc_id" in docs.columns:  # rows without one may be equal in all they have: they are dealt by where they stand
+        identity = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.monotonically_increasing_id())).otherwise(identity)
+    # the row itself is one column, so that its names can't clash with ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_source"), tokens(F.col("text")).alias("_tokens"), identity.alias("_deal"))
     totals = saved(rows.groupBy("_source").agg(F.count("*").alias("_rows"), F.sum("_tokens").alias("_total")), "sources")
     whole = totals.agg(F.sum("_total")).first()[0]
     lp = F.log(F.col("_total") / F.lit(float(whole or 1)))
@@ -74,13 +98,11 @@ def mixed(docs: DataFrame, entropy: float | None = None, repetition: float | Non
     weighed = totals.withColumn("_weight", F.exp(a * lp) / F.lit(z.z or 1.0)).withColumn("_passes", F.round(F.col("_weight") * F.lit(float(budget)) / F.col("_total"), 9))
     weighed = weighed.withColumn("_blocks", F.ceil(F.col("_rows") / BLOCK_ROWS)).drop("_rows")
     rows = attached(rows, weighed, "_source").withColumn("_block", F.pmod("_deal", F.col("_blocks")))
-    sizes = rows.groupBy("_source", "_block").agg(F.sum("_tokens").alias("_size"))
-    order = W.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed + 1), "_block", "_source"), "_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_source", "_block", F.coalesce(F.sum("_size").over(order), F.lit(0)).alias("_start"))
+    sizes = rows.groupBy("_source", "_block", "_blocks").agg(F.sum("_tokens").alias("_size"))
     inner = W.partitionBy("_source", "_block").orderBy(F.xxhash64("_deal", F.lit(seed + 2)), "_deal").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.join(starts, ["_source", "_block"]).withColumn("_offset", F.col("_start") + F.coalesce(F.sum("_tokens").over(inner), F.lit(0)))
+    placed = rows.join(_starts(sizes, seed), ["_source", "_block"]).withColumn("_offset", F.col("_start") + F.coalesce(F.sum("_tokens").over(inner), F.lit(0)))
     part = (F.col("_passes") - F.floor("_passes")) * F.col("_total")
     copies = F.floor("_passes") + F.when(F.col("_offset") < part, 1).otherwise(0)
     drawn = placed.withColumn("_n", copies.cast("bigint")).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
     position = (F.col("_copy") * F.col("_total") + F.col("_offset")) / (F.col("_passes") * F.col("_total"))
-    return drawn.withColumn("_position", position).select(*docs.columns, "_copy", "_weight", "_tokens", "_offset", "_position")
+    return drawn.withColumn("_position", position).select("_row.*", *ADDED)
