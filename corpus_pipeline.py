@@ -25,11 +25,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five-word shingles, similarity 0.8): the one of the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays; rows without doc_id all stay.
+    Of rows of the same doc_id and text the one of the least other columns stays; rows of that doc_id with other texts, and rows
+    without doc_id, all stay.
     """
     kept = near_groups(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionAll(docs.where("doc_id is null").select(*docs.columns))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others, F.lit(0).alias("_"))).alias("_others"))
+    named = named.select(*(F.col(f"`{c}`") if c in ("doc_id", "text") else F.col(f"_others.`{c}`") for c in docs.columns))
+    return named.unionAll(docs.where("doc_id is null").select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
