@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from brinewatch.llm.tables import dropped, hub_joined, saved
 
 
+FILE_ROWS = 100_000  # edges in a file, about: a round of few edges writes few files
+
+
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b); the component is its smallest node.
 
@@ -16,9 +19,9 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     one is written. At the end each node has one edge, to its component.
     """
 
-    def written(df: DataFrame, step: str) -> tuple[DataFrame, dict]:
-        seen = Observation()
-        out = saved(df.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), f"{name}-{step}")
+    def written(df: DataFrame, step: str, files: int | None = None) -> tuple[DataFrame, dict]:
+        seen, df = Observation(), df.distinct()
+        out = saved((df.coalesce(files) if files else df).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), f"{name}-{step}")
         return out, seen.get
 
     e, before = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
@@ -27,7 +30,7 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         above = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
         large = hub_joined(e, above, "v", before["n"]).select("u", F.coalesce("m", "v").alias("v"))
         small = hub_joined(large, large.groupBy("u").agg(F.min("v").alias("m")), "u", before["n"])
-        hung, now = written(small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u >= v"), str(k))
+        hung, now = written(small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u >= v"), str(k), 8 + before["n"] // FILE_ROWS)
         dropped(e)
         e = hung
         if now == before:
