@@ -4,14 +4,15 @@ For a BPE model a sequence of pieces is a text's encoding exactly if every two n
 two strings. So a lattice of pieces in which such neighbours weigh 0 and all others -inf has one best path: that encoding.
 Short texts are solved from their start. Giant ones are split into chunks at any character. A chunk's transfer matrix says, for each state at its left
 end (the piece that crosses or ends there and how many of its characters lie before) and each at its right end, the
-weight of the best path between. Only finite entries are stored. Matrices combine associatively (max, +); a pass over a text's
-small matrices fixes the state at every cut, then each chunk is traced by itself, wherever it lies.
+weight of the best path between. Only finite entries are stored. Matrices combine associatively (max, +): in a tree of Spark stages upwards, and
+down it again, which fixes the state at every cut; then each chunk is traced by itself, wherever it lies.
 
 No piece holds a blank sign after another sign, and some characters are in no longer piece: paths there are independent,
 so words repeat and their paths are kept (a bounded number of them) within a task.
 
 Null and empty texts have no pieces. Characters that the model lacks become byte pieces. The blank sign itself (U+2581) decodes to a
-blank, as in the library. Texts of any length work: memory is bounded by one text. Rows that repeat each come back.
+blank, as in the library. Texts of any length work: memory is bounded by one text, which is in one row of the input and of the result. Rows that repeat,
+and rows without doc_id, each come back; an empty table gives an empty table; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from brinewatch.llm.tables import saved, sorted_groups
 
 BLANK = "▁"
 CHUNK = 32_768
+FAN = 32  # matrices that a task combines
 KEPT_WORDS = 1_000_000
 KEPT_PAIRS = 1_000_000
 LONGEST_KEPT = 48
@@ -248,21 +251,19 @@ def combine(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def cuts(matrices: list[Matrix]) -> list[str]:
-    """The states at all cuts on the best path, from the first chunk's left end to the last one's right end."""
-    begin = key(START, 0)
-    prefix = [matrices[0]]
+def cuts(matrices: list[Matrix], begin: str = f"0:{START}", end: str = f"0:{START}") -> list[str]:
+    """The states at all cuts on the best path between two states, from the first chunk's left end to the last one's right end."""
+    prefix = [{k: w for k, w in matrices[0].items() if k[0] == begin}]
     for m in matrices[1:]:
-        prefix.append(combine({k: w for k, w in prefix[-1].items() if k[0] == begin}, m))
-    states = [begin]
-    for k in range(len(matrices) - 1, -1, -1):
-        end = states[0]
-        if k == 0:
-            if (begin, end) not in matrices[0]:
-                raise ValueError("no path")
-            break
-        ways = [(prefix[k - 1][begin, x] + w, x) for (x, y), w in matrices[k].items() if y == end and (begin, x) in prefix[k - 1]]
+        prefix.append(combine(prefix[-1], m))
+    states = [end]
+    for k in range(len(matrices) - 1, 0, -1):
+        ways = [(prefix[k - 1][begin, x] + w, x) for (x, y), w in matrices[k].items() if y == states[0] and (begin, x) in prefix[k - 1]]
+        if not ways:
+            raise ValueError("no path")
         states.insert(0, max(ways)[1])
+    if (begin, states[0]) not in matrices[0]:
+        raise ValueError("no path")
     return [begin, *states]
 
 
@@ -317,18 +318,59 @@ def transfer_mapper(model) -> Callable:
         p = pieces(model)
         for b in batches:
             for r in b.to_pylist():
-                m = p.transfer(r["left"], r["core"], r["right"], r["part"] == 0, r["part"] == r["parts"] - 1)
-                yield pa.RecordBatch.from_pydict({"row": pa.array([r["row"]], pa.int64()), "part": pa.array([r["part"]], pa.int32()), "enter": [[x for x, _ in m]], "leave": [[y for _, y in m]], "weight": [list(m.values())]})
+                yield _matrix_batch(r["row"], r["part"], p.transfer(r["left"], r["core"], r["right"], r["part"] == 0, r["part"] == r["parts"] - 1))
 
     return run
 
 
+def _matrix(r: dict) -> Matrix:
+    return dict(zip(zip(r["enter"], r["leave"], strict=True), r["weight"], strict=True))
+
+
+def _matrix_batch(row: int, part: int, m: Matrix) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int64()), "part": pa.array([part], pa.int32()), "enter": [[x for x, _ in m]], "leave": [[y for _, y in m]], "weight": [list(m.values())]})
+
+
+def _combined_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One matrix for each group of neighbouring ones."""
+    for t in sorted_groups(batches, ["row", "group"]):
+        rows = sorted(t.to_pylist(), key=lambda r: r["part"])
+        yield _matrix_batch(rows[0]["row"], rows[0]["group"], reduce(combine, map(_matrix, rows)))
+
+
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in sorted_groups(batches, ["row"]):
+    """The states at both ends of each matrix of a group, from those at the group's ends."""
+    for t in sorted_groups(batches, ["row", "group"]):
         rows = sorted(t.to_pylist(), key=lambda r: r["part"])
-        states = cuts([dict(zip(zip(r["enter"], r["leave"], strict=True), r["weight"], strict=True)) for r in rows])
+        states = cuts(list(map(_matrix, rows)), rows[0]["begin"], rows[0]["end"])
         n = len(rows)
-        yield pa.RecordBatch.from_pydict({"row": pa.array([rows[0]["row"]] * n, pa.int64()), "part": pa.array(range(n), pa.int32()), "entry": states[:-1], "exit": states[1:]})
+        yield pa.RecordBatch.from_pydict({"row": pa.array([rows[0]["row"]] * n, pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int32()), "entry": states[:-1], "exit": states[1:]})
+
+
+MATRIX = "row long, part int, enter array<string>, leave array<string>, weight array<double>"
+
+
+def states_at_cuts(matrices: DataFrame, parts: int, fan: int) -> DataFrame:
+    """(row, part, entry, exit) from each row's matrices, of which a row has at most so many parts: a scan in Spark.
+
+    Upwards, fan neighbouring matrices become one, level by level, until a row has at most fan. Downwards, the states at a combined matrix's ends
+    give those at the ends of the ones it is made of. So a task never holds more than fan matrices of a text, however long the text is.
+    """
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.repartition("row", "group").sortWithinPartitions("row", "group", "part")
+
+    group = F.floor(F.col("part") / fan).cast("int").alias("group")
+    levels = [matrices]
+    while parts > fan:
+        parts = -(-parts // fan)
+        levels.append(saved(grouped(levels[-1].select("*", group)).mapInArrow(_combined_rows, MATRIX), f"matrices-{len(levels)}"))
+    schema, ends = "row long, part int, entry string, exit string", [F.lit(key(START, 0)).alias(c) for c in ("begin", "end")]
+    states = grouped(levels.pop().select("*", F.lit(0).alias("group"), *ends)).mapInArrow(_cut_rows, schema)
+    while levels:
+        above = states.select("row", F.col("part").alias("group"), F.col("entry").alias("begin"), F.col("exit").alias("end"))
+        states = grouped(levels.pop().select("*", group).join(above, ["row", "group"])).mapInArrow(_cut_rows, schema)
+    return states
 
 
 def trace_mapper(model) -> Callable:
@@ -370,8 +412,9 @@ def encoded(docs: DataFrame, model_path: str, chunk: int = CHUNK, ids: bool = Fa
     small = docs.where(~giant).mapInArrow(encode_mapper(model, ids), schema)
     rows = docs.where(giant).withColumn("row", F.monotonically_increasing_id())
     chunks = saved(rows.mapInArrow(chunk_mapper(chunk, halo), "row long, doc_id long, part int, parts int, left string, core string, right string"), "chunks")
-    matrices = chunks.repartition("row", "part").mapInArrow(transfer_mapper(model), "row long, part int, enter array<string>, leave array<string>, weight array<double>")
-    states = matrices.repartition("row").sortWithinPartitions("row", "part").mapInArrow(_cut_rows, "row long, part int, entry string, exit string")
+    parts = chunks.agg(F.max("parts")).first()[0] or 0
+    matrices = chunks.repartition("row", "part").mapInArrow(transfer_mapper(model), MATRIX)
+    states = states_at_cuts(saved(matrices, "matrices") if parts > FAN else matrices, parts, FAN)
     traced = chunks.join(states, ["row", "part"]).select("row", "doc_id", "part", "left", "core", "right", "entry", "exit").mapInArrow(trace_mapper(model), "row long, doc_id long, part int, core string, ids binary")
     giants = traced.repartition("row").sortWithinPartitions("row", "part").mapInArrow(gather_mapper(model, ids), schema)
     return small.unionAll(giants)
