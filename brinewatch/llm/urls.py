@@ -1,12 +1,13 @@
 """URL filters: a list of host and path rules, and association rules that FP-growth mines from labelled URLs.
 
 All in DataFrame functions. A URL's tokens are its host's labels and its path's parts without numbers. FP-growth over labelled URLs, with the label as one
-more item, gives token combinations; those that imply "bad" with enough support and confidence are rules. A rule is
+more item, gives token combinations; those that imply "bad" with enough support and confidence, also on URLs they weren't mined from, are rules. A rule is
 indexed under its rarest token; URLs that have this token are checked for the rest. Support must be at least SUPPORT of
-the labelled rows, so there are at most a few thousand rules, whatever the data.
+the labelled rows and LEAST rows, so there are at most a few thousand rules, whatever the data.
 
-Null URLs and those without "://" have empty host and path, no tokens, and are allowed. Rows that repeat are judged alike. Without labels there are no
-mined rules. Further columns pass through.
+Null URLs and those without "://" have empty host and path, no tokens, and are allowed. Rows that repeat are judged alike. Where no rule is mined (without labels,
+with few, or with labels that URLs don't tell), the verdict of URLs that no listed rule fits is allow. Null labels are no labels. URLs of any length work. An
+empty table gives an empty table. Further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from brinewatch.llm.tables import attached, saved
 
 SUPPORT = 0.005
+LEAST = 10
 CONFIDENCE = 0.8
 LONGEST = 3
 BAD = "label:bad"
@@ -47,30 +49,52 @@ def listed(rules: dict[str, str], host: Column, path: Column) -> tuple[Column, C
     return rule, verdict
 
 
+def holding(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each of rows (tokens, ...) with every rule it holds; rules is (key, rule). Rows meet a rule under its key only."""
+    return rows.withColumn("key", F.explode("tokens")).join(rules, "key").where(F.size(F.array_except("rule", "tokens")) == 0).drop("key")
+
+
 def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(key, rule) from (tokens, bad boolean): token sets that imply bad, each under its rarest token. A rule is dropped where a part of it is one."""
-    items = labelled.where("bad is not null").select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")).where("size(items) > 0")
-    spark = labelled.sparkSession
-    if items.isEmpty():
+    """(key, rule) from (tokens, bad boolean, held boolean): token sets that imply bad, each under its rarest token.
+
+    Mined from rows that aren't held back, of which at least LEAST and a share of support must be bad and hold the set. A rule must reach the confidence
+    on the held-back rows that it hits, one of them bad at least, and over all rows with one more good one. A rule is dropped where a part of it is one.
+    """
+    known = labelled.where("bad is not null and size(tokens) > 0")
+    train = known.where("not held")
+    spark, n = labelled.sparkSession, train.count()
+    if n < LEAST:
         return spark.createDataFrame([], "key string, rule array<string>")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    items = train.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=max(support, (LEAST - 0.5) / n), minConfidence=confidence).fit(items)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= LONGEST)).select(F.array_sort("antecedent").alias("rule"))
     single = model.freqItemsets.where("size(items) = 1").select(F.element_at("items", 1).alias("key"), "freq")
-    held = found.select("rule", F.explode("rule").alias("key"))
+    indexed = lambda rules: rules.select("rule", F.explode("rule").alias("key")).join(single, "key").groupBy("rule").agg(F.min_by("key", F.struct("freq", "key")).alias("key"))
+    hit = holding(known.groupBy("tokens", "bad", "held").agg(F.count("*").alias("n")), indexed(found))
+    bad, held = F.when(F.col("bad"), F.col("n")).otherwise(0), F.when(F.col("held"), F.col("n")).otherwise(0)
+    held_bad = F.when(F.col("bad"), held).otherwise(0)
+    sure = hit.groupBy("rule").agg(F.sum("n").alias("n"), F.sum(bad).alias("b"), F.sum(held).alias("hn"), F.sum(held_bad).alias("hb"))
+    sure = saved(sure.where((F.col("hb") >= 1) & (F.col("hb") >= confidence * F.col("hn")) & (F.col("b") >= confidence * (F.col("n") + 1))).select("rule"), "url-rules")
     # a rule that holds a shorter one adds nothing; they meet under a shared token
-    shorter = held.select(F.col("rule").alias("part"), "key")
-    beaten = held.join(shorter, "key").where((F.size("part") < F.size("rule")) & (F.size(F.array_except("part", "rule")) == 0)).select("rule").distinct()
-    return held.join(beaten, "rule", "left_anti").join(single, "key").groupBy("rule").agg(F.min_by("key", F.struct("freq", "key")).alias("key"))
+    part = sure.select(F.col("rule").alias("part"), F.explode("rule").alias("key"))
+    beaten = sure.select("rule", F.explode("rule").alias("key")).join(part, "key").where((F.size("part") < F.size("rule")) & (F.size(F.array_except("part", "rule")) == 0)).select("rule").distinct()
+    return indexed(sure.join(beaten, "rule", "left_anti"))
+
+
+#: The columns that judged adds.
+ADDED = ("host", "path", "rule", "verdict")
 
 
 def judged(pages: DataFrame, rules: dict[str, str], labelled: DataFrame) -> DataFrame:
-    """pages(url, ...) with host, path, rule and verdict; labelled is (url, bad boolean). Token sets that a rule hits are joined back
-    by attached: one token set may hold a third of the pages."""
+    """pages(url, ...) with host, path, rule and verdict; columns of pages of these names are replaced. labelled is (url, bad boolean); about a third
+    of the URLs, by their hash, is held back. Token sets that a rule hits are joined back by attached: one token set may hold a third of the pages."""
+    held = F.substring(F.md5("url"), 1, 1) < "5"
+    index = mined(labelled.select("bad", tokens(*parts_of(F.col("url"))).alias("tokens"), F.coalesce(held, F.lit(False)).alias("held")))
     host, path = parts_of(F.col("url"))
-    known = labelled.select("bad", tokens(*parts_of(F.col("url"))).alias("tokens"))
-    index = mined(known)
-    distinct = pages.select(tokens(host, path).alias("tokens")).distinct()  # pages of one host share most
-    hits = saved(distinct.select("tokens", F.explode("tokens").alias("key")).join(index, "key").where(F.size(F.array_except("rule", "tokens")) == 0).select("tokens").distinct().withColumn("_hit", F.lit(True)), "url-hits")
+    # the page itself is one column, so that its names can't clash with ours
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"), host.alias("host"), path.alias("path")).withColumn("tokens", tokens(F.col("host"), F.col("path")))
+    distinct = rows.select("tokens").distinct()  # pages of one host share most
+    hits = saved(holding(distinct.where("size(tokens) > 0"), index).select("tokens").distinct().withColumn("_hit", F.lit(True)), "url-hits")
     rule, verdict = listed(rules, F.col("host"), F.col("path"))
-    out = attached(pages.withColumn("host", host).withColumn("path", path).withColumn("tokens", tokens(F.col("host"), F.col("path"))), hits, "tokens")
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("_hit"), "block").otherwise("allow"))).drop("tokens", "_hit")
+    out = attached(rows, hits, "tokens").withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("_hit"), "block").otherwise("allow")))
+    return out.select(*[F.col(f"_row.`{c}`") for c in pages.columns if c not in ADDED], *ADDED)
