@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 ACTION_NAMES = {"view": "read", "click": "invoke", "purchase": "assume_role", "signup": "create_user", "error": "access_denied"}
 HIGH_IMPACT = ("assume_role", "create_user", "delete_user", "attach_policy", "detach_policy", "create_access_key", "deactivate_mfa", "delete_trail")
 # What injected text looks like.
-INJECTIONS = ("ignore previous", "disregard", "<script", "drop table", "union select", "../", "$(", "system prompt", "the and of", "to the")
+INJECTIONS = ("ignore previous", "disregard", "<script", "drop table", "union select", "../", "$(", "system prompt")
 
 
 def first_valid(*fields: Column, least: int = 2, default: str = "unknown") -> Column:

@@ -16,9 +16,10 @@ def long_form(ev: DataFrame) -> DataFrame:
     return ev.select("actor", "event_id", "us", F.explode(pairs).alias("p")).select("actor", "event_id", "us", "p.*")
 
 
-def baseline(ev: DataFrame, digits: int = 6) -> DataFrame:
-    """Mean and population variance of each actor's features."""
-    return long_form(ev).groupBy("actor", "feature").agg(F.count("*").alias("n"), F.round(F.avg("x"), digits).alias("mean"), F.round(F.var_pop("x"), digits).alias("variance"))
+def baseline(ev: DataFrame, digits: int | None = 6) -> DataFrame:
+    """Mean and population variance of each actor's features, unrounded where digits is None."""
+    kept = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
+    return long_form(ev).groupBy("actor", "feature").agg(F.count("*").alias("n"), kept(F.avg("x")).alias("mean"), kept(F.var_pop("x")).alias("variance"))
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -29,12 +30,12 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     n = F.col("n1") + F.col("n2")
     mean = (F.col("n1") * F.col("m1") + F.col("n2") * F.col("m2")) / n
     var = (F.col("n1") * F.col("v1") + F.col("n2") * F.col("v2") + F.pow(F.col("m2") - F.col("m1"), 2) * F.col("n1") * F.col("n2") / n) / n
-    return j.select("actor", "feature", n.alias("n"), F.round(mean, 4).alias("mean"), F.round(var, 4).alias("variance"))
+    return j.select("actor", "feature", n.alias("n"), F.round(mean, 9).alias("mean"), F.round(var, 7).alias("variance"))
 
 
 def merged_halves(ev: DataFrame) -> DataFrame:
     """A baseline updated: of even events, then of odd ones."""
-    return merged(baseline(ev.where("event_id % 2 = 0"), 12), baseline(ev.where("event_id % 2 = 1"), 12))
+    return merged(baseline(ev.where("event_id % 2 = 0"), None), baseline(ev.where("event_id % 2 = 1"), None))
 
 
 def zscore(x: Column, mean: Column, std: Column) -> Column:
@@ -140,18 +141,24 @@ def decayed(ev: DataFrame, half: int = 5 * DAY) -> DataFrame:
 
 
 def system_risk(ev: DataFrame) -> DataFrame:
-    """Over actors' scores: weighted mean, the 80th percentile, how many are above it, and five half-open bins."""
+    """Over actors' scores: weighted mean, the 80th percentile, how many are above it, and five half-open bins, the last one closed."""
     r = identity_risk(ev).select("actor", (F.col("score") / 100).alias("r"))
     p = r.agg(F.percentile("r", 0.8).alias("p80"))
     wt = F.when(F.col("actor") % 10 == 0, 10.0).otherwise(2.0)
-    return r.crossJoin(F.broadcast(p)).agg(F.round(F.sum(F.col("r") * wt) / F.sum(wt), 5).alias("mean"), F.round(F.first("p80"), 5).alias("p80"), F.count(F.when(F.col("r") > F.col("p80"), 1)).alias("n_high"), *(F.count(F.when((F.col("r") >= i / 5) & (F.col("r") < (i + 1) / 5), 1)).alias(f"bin{i}") for i in range(5)))
+    return r.crossJoin(F.broadcast(p)).agg(F.round(F.sum(F.col("r") * wt) / F.sum(wt), 5).alias("mean"), F.round(F.first("p80"), 5).alias("p80"), F.count(F.when(F.col("r") > F.col("p80"), 1)).alias("n_high"), *(F.count(F.when((F.col("r") >= i / 5) & (F.col("r") < ((i + 1) / 5 if i < 4 else 1.1)), 1)).alias(f"bin{i}") for i in range(5)))
 
 
 def mitigation(ev: DataFrame, budget: float = 2.0) -> DataFrame:
-    """Greedy plan: actors of risk over .3 by risk, cost .3 of it or what is left, reduction twice the cost."""
-    r = identity_risk(ev).select("actor", (F.col("score") / 100).alias("risk")).where("risk > 0.3").orderBy(F.desc("risk"), "actor").limit(200)  # a plan is a report of at most 200 lines
-    w = W.partitionBy(F.lit(1)).orderBy(F.desc("risk"), "actor").rowsBetween(W.unboundedPreceding, -1)
-    left = F.lit(budget) - F.coalesce(F.sum(0.3 * F.col("risk")).over(w), F.lit(0.0))
+    """Greedy plan: actors of risk over .3 by risk, cost .3 of it or what is left, reduction twice the cost.
+
+    Costs are summed within bands of a hundredth of risk, each on top of what the riskier bands cost, so no task orders all actors.
+    """
+    r = identity_risk(ev).select("actor", (F.col("score") / 100).alias("risk")).where("risk > 0.3").withColumn("band", F.floor(F.col("risk") * 100))
+    above = F.sum("c").over(W.orderBy(F.desc("band")).rowsBetween(W.unboundedPreceding, -1))
+    bands = r.groupBy("band").agg(F.sum(0.3 * F.col("risk")).alias("c")).select("band", F.coalesce(above, F.lit(0.0)).alias("before"))  # 70 rows at most
+    w = W.partitionBy("band").orderBy(F.desc("risk"), "actor").rowsBetween(W.unboundedPreceding, -1)
+    r = r.join(F.broadcast(bands), "band")
+    left = F.lit(budget) - F.col("before") - F.coalesce(F.sum(0.3 * F.col("risk")).over(w), F.lit(0.0))
     x = r.withColumn("left", left).where("left > 1e-9").withColumn("cost", F.least(0.3 * F.col("risk"), F.col("left")))
     return x.select("actor", F.round("cost", 5).alias("cost"), F.round(2 * F.col("cost"), 5).alias("reduction"))
 
@@ -175,7 +182,7 @@ _PRIOR = "OVER (PARTITION BY actor, feature ORDER BY us, event_id ROWS BETWEEN U
 ORACLE = {
     "identity_risk": _RISK + " SELECT * FROM rs",
     "bl1_baseline": _LONG + " SELECT actor, feature, count(*) AS n, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance FROM lf GROUP BY ALL",
-    "bl3_merged": _LONG + " SELECT actor, feature, count(*) AS n, round(avg(x), 4) AS mean, round(var_pop(x), 4) AS variance FROM lf GROUP BY ALL",
+    "bl3_merged": _LONG + " SELECT actor, feature, count(*) AS n, round(avg(x), 9) AS mean, round(var_pop(x), 7) AS variance FROM lf GROUP BY ALL",
     "bl5_drift": _LONG + f""", p AS (SELECT actor, event_id, x, count(x) {_PRIOR} AS n, avg(x) {_PRIOR} AS m, stddev_pop(x) {_PRIOR} AS s FROM lf), z AS (SELECT actor, event_id, min(n) AS n, round(sqrt(sum(pow(CASE WHEN s < 1e-9 THEN 0 ELSE (x - m) / s END, 2))), 5) AS score FROM p WHERE n > 0 GROUP BY ALL)
  SELECT actor, event_id, score, n < 10 AS unsure, CASE WHEN score <= 1.25 THEN 'none' WHEN score <= 2 THEN 'low' WHEN score <= 2.5 THEN 'medium' WHEN score <= 3.75 THEN 'high' ELSE 'critical' END AS severity FROM z""",
     "bl7_vector_drift": """WITH d AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM d GROUP BY ALL),
@@ -190,7 +197,7 @@ ORACLE = {
  SELECT actor, round(d, 5) AS change, CASE WHEN d > 0.05 THEN 'rising' WHEN d < -0.05 THEN 'falling' ELSE 'stable' END AS trend FROM z""",
     "r9_decayed": EV + f", x AS (SELECT actor, value, exp(-ln(2) * (max(us) OVER (PARTITION BY actor) - us) / {5 * DAY}) AS w FROM ev) SELECT actor, round(sum(value * w) / sum(w), 5) AS mean FROM x GROUP BY actor",
     "r15_system_risk": _RISK + """, r AS (SELECT actor, score / 100 AS r, CASE WHEN actor % 10 = 0 THEN 10.0 ELSE 2.0 END AS w FROM rs), p AS (SELECT quantile_cont(r, 0.8) AS p80 FROM r)
- SELECT round(sum(r * w) / sum(w), 5) AS mean, round(any_value(p80), 5) AS p80, count(*) FILTER (r > p80) AS n_high, """ + ", ".join(f"count(*) FILTER (r >= {i / 5} AND r < {(i + 1) / 5}) AS bin{i}" for i in range(5)) + " FROM r, p",
-    "r16_mitigation": _RISK + """, r AS (SELECT actor, score / 100 AS risk FROM rs WHERE score / 100 > 0.3 ORDER BY risk DESC, actor LIMIT 200), l AS (SELECT *, 2.0 - coalesce(sum(0.3 * risk) OVER (ORDER BY risk DESC, actor ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft FROM r)
+ SELECT round(sum(r * w) / sum(w), 5) AS mean, round(any_value(p80), 5) AS p80, count(*) FILTER (r > p80) AS n_high, """ + ", ".join(f"count(*) FILTER (r >= {i / 5} AND r < {(i + 1) / 5 if i < 4 else 1.1}) AS bin{i}" for i in range(5)) + " FROM r, p",
+    "r16_mitigation": _RISK + """, r AS (SELECT actor, score / 100 AS risk FROM rs WHERE score / 100 > 0.3), l AS (SELECT *, 2.0 - coalesce(sum(0.3 * risk) OVER (ORDER BY risk DESC, actor ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft FROM r)
  SELECT actor, round(least(0.3 * risk, lft), 5) AS cost, round(2 * least(0.3 * risk, lft), 5) AS reduction FROM l WHERE lft > 1e-9""",
 }

@@ -18,9 +18,21 @@ def ancestors(edges: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def first_paths(edges: DataFrame, depth: int = 3) -> DataFrame:
-    """One shortest path from each node to each it reaches: the least in text of those of fewest hops."""
-    p = g.paths(edges, depth)
-    return p.groupBy("src", "dst").agg(F.min(F.struct("hops", "path")).alias("b")).select("src", "dst", F.col("b.hops").alias("hops"), F.col("b.path").alias("path"))
+    """One shortest path from each node to each it reaches: the least in text of those of fewest hops.
+
+    Level by level one path a pair is kept. Of two paths of one pair with the same number of hops the lesser stays the lesser when both are
+    continued by ">" and the same node, except where one is the beginning of the other, which two paths to one node can't be.
+    """
+    step = edges.where("src != dst").select("src", "dst").distinct()
+    seen = front = step.select("src", "dst", F.lit(1).cast("bigint").alias("hops"), F.concat_ws(">", F.col("src").cast("string"), F.col("dst").cast("string")).alias("path"))
+    hop = step.select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    for k in range(2, depth + 1):
+        new = front.join(hop, F.col("dst") == F.col("at")).where("next != src").groupBy("src", F.col("next").alias("dst")).agg(F.min(F.concat_ws(">", "path", F.col("next").cast("string"))).alias("path"))
+        front = cut(new.join(seen, ["src", "dst"], "left_anti").select("src", "dst", F.lit(k).cast("bigint").alias("hops"), "path"))
+        if front.isEmpty():
+            break
+        seen = seen.unionAll(front)
+    return seen
 
 
 def highest_risk(edges: DataFrame, depth: int = 3) -> DataFrame:
@@ -46,13 +58,13 @@ def subgraph(edges: DataFrame) -> DataFrame:
     return edges.join(keep, edges.src == keep.node, "left_semi").join(keep, F.col("dst") == keep.node, "left_semi")
 
 
-def betweenness(edges: DataFrame, depth: int = 25) -> DataFrame:
+def betweenness(edges: DataFrame) -> DataFrame:
     """Share of shortest paths between others that pass each node (exact): counts of shortest paths forward by level, dependencies back."""
-    step = edges.select("src", "dst").distinct()
+    step = cut(edges.select("src", "dst").distinct())
     nodes = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()
     level = nodes.select(F.col("node").alias("root"), "node", F.lit(1.0).alias("sigma"))
     seen, k = level.withColumn("d", F.lit(0)), 0
-    while k < depth:
+    while True:  # a level is empty at last: no pair is seen twice
         new = level.join(step, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma")).join(seen.select("root", "node"), ["root", "node"], "left_anti")
         new = cut(new)
         if new.isEmpty():
@@ -173,7 +185,7 @@ ORACLE = {
     "t21_gini": _T + g._DEG + g._paths(3) + """, rn AS (SELECT *, row_number() OVER (ORDER BY in_degree, node) AS r FROM dg) SELECT round(2 * sum(r * in_degree) / (count(*) * sum(in_degree)) - (count(*) + 1.0) / count(*), 6)::DOUBLE AS gini, (SELECT round(avg(n), 6) FROM (SELECT count(*) AS n FROM pa GROUP BY src, dst)) AS multiplicity FROM rn""",
     "a5_converging": g._ACCESS + ", e AS (SELECT DISTINCT src, dst FROM ac) SELECT b.dst, count(DISTINCT a.src) AS actors, count(DISTINCT b.src) AS roles FROM e a JOIN e b ON a.dst = b.src WHERE a.src LIKE 'u%' AND b.src LIKE 'role%' GROUP BY b.dst HAVING count(DISTINCT a.src) >= 3",
     "a9_relays": _T + g._DEG + " SELECT node, in_degree, out_degree FROM dg WHERE in_degree >= 2 AND out_degree >= 2",
-    "r6_node_risk": _BEST + g._DEG + g._reach(3) + """, rd AS (SELECT root, count(*) AS reached FROM rc GROUP BY root), r2 AS (SELECT src AS root, dst AS node, 1 AS h FROM tr UNION SELECT r2.root, e.dst, h + 1 FROM r2 JOIN tr e ON r2.node = e.src WHERE h < 12), cy AS (SELECT DISTINCT a.root AS node FROM r2 a JOIN r2 b ON a.root = b.node AND a.node = b.root WHERE a.root <> a.node)
+    "r6_node_risk": _BEST + g._DEG + g._reach(3) + """, rd AS (SELECT root, count(*) AS reached FROM rc GROUP BY root), r2 AS (SELECT src AS root, dst AS node FROM tr UNION SELECT r2.root, e.dst FROM r2 JOIN tr e ON r2.node = e.src), cy AS (SELECT DISTINCT a.root AS node FROM r2 a JOIN r2 b ON a.root = b.node AND a.node = b.root WHERE a.root <> a.node)
  SELECT dg.node, coalesce(reached, 0) AS reached, round(least(1.0, 0.25 * least(coalesce(reached, 0) / 20.0, 1) + 0.25 * least(coalesce(risk, 0) / 3.0, 1) + 0.2 * round((out_degree + in_degree) / (2.0 * greatest((SELECT count(*) FROM dg) - 1, 1)), 6) + 0.25 * (dg.node IN (SELECT node FROM cy))::INT), 6)::DOUBLE AS score FROM dg LEFT JOIN rd ON root = dg.node LEFT JOIN bp ON bp.src = dg.node""",
     "r12_markov": _markov(10),
     "t16_betweenness": _T + _N + g._paths(8) + """, sh AS (SELECT src, dst, p FROM (SELECT *, min(len(p)) OVER (PARTITION BY src, dst) AS m FROM ps) WHERE len(p) = m), ct AS (SELECT src, dst, count(*) AS c FROM sh GROUP BY ALL), ii AS (SELECT src, dst, unnest(p[2:len(p) - 1]) AS node FROM sh WHERE len(p) > 2),

@@ -91,18 +91,17 @@ def choke_points(edges: DataFrame, depth: int = 3, share: float = 0.05) -> DataF
     return inner.crossJoin(F.broadcast(total)).where(F.col("n") >= share * F.col("total")).select("node", "n", F.round(100.0 * F.col("n") / F.col("total"), 1).alias("pct"))
 
 
-def distances(edges: DataFrame, source: int, rounds: int = 30) -> DataFrame:
-    """(node, cost) of the cheapest way from a node, an edge costing 1 / weight; parallel edges count by the cheapest. Relaxed until nothing falls."""
+def distances(edges: DataFrame, source: int) -> DataFrame:
+    """(node, cost) of the cheapest way from a node, an edge costing 1 / weight; parallel edges count by the cheapest.
+
+    Only nodes whose cost fell in a round are relaxed in the next, until none falls (costs are positive, so that ends).
+    """
     e = edges.groupBy("src", "dst").agg(F.min(F.round(1.0 / F.col("weight"), 6)).alias("c"))
-    best = edges.sparkSession.createDataFrame([(source, 0.0)], "node int, cost double")
-    before = None
-    for _ in range(rounds):
-        step = best.join(e, best.node == e.src).select(F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
-        best = cut(best.unionAll(step).groupBy("node").agg(F.min("cost").alias("cost")))
-        now = best.agg(F.count("*"), F.round(F.sum("cost"), 6)).first()
-        if now == before:
-            break
-        before = now
+    best = fallen = edges.sparkSession.createDataFrame([(source, 0.0)], "node int, cost double")
+    while not fallen.isEmpty():
+        step = fallen.join(e, fallen.node == e.src).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("c")).alias("new"))
+        both = cut(best.join(step, "node", "full").select("node", F.least("cost", "new").alias("cost"), (F.col("cost").isNull() | (F.col("new") < F.col("cost"))).alias("fell")))
+        best, fallen = both.select("node", "cost"), both.where("fell").select("node", "cost")
     return best.select("node", F.round("cost", 6).alias("cost"))
 
 
@@ -120,11 +119,41 @@ def containment(edges: DataFrame, root: int, depth: int = 3, k: int = 5) -> Data
     return degrees(edges).join(reach(edges, depth, roots).select("node"), "node", "left_semi").orderBy(F.desc("out_degree"), "node").limit(k).select("node", "out_degree")
 
 
-def cycles(edges: DataFrame, depth: int = 12) -> DataFrame:
-    """Strong components of more than one node: forward and backward reach meet."""
-    r = reach(edges, depth).select("root", "node")
-    back = r.select(F.col("node").alias("root"), F.col("root").alias("node"))
-    return r.join(back, ["root", "node"]).groupBy(F.col("root").alias("node")).agg(F.min(F.least("root", "node")).alias("component"), (F.count("*") + 1).alias("size"))
+def _spread(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """(node, label) with every node's smallest label among those of all nodes that reach it over step (src, dst); only fallen labels travel on."""
+    fallen = labels
+    while not fallen.isEmpty():
+        got = fallen.join(step, fallen.node == step.src).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
+        both = cut(labels.join(got, "node", "left").select("node", F.least("label", "new").alias("label"), F.coalesce(F.col("new") < F.col("label"), F.lit(False)).alias("fell")))
+        labels, fallen = both.select("node", "label"), both.where("fell").select("node", "label")
+    return labels
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """Strong components of more than one node, of any width: (node, component: its least node, size).
+
+    Colouring: every node takes the smallest node that reaches it as its colour; going backwards within a colour from that node
+    gives that node's component. What is found goes, and edges between colours, which no component crosses; the rest is coloured again.
+    No closure of all pairs is ever written.
+    """
+    step = cut(edges.where("src != dst").select("src", "dst").distinct())
+    found: list[DataFrame] = []
+    while not step.isEmpty():
+        nodes = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()
+        colour = _spread(nodes.withColumn("label", F.col("node")), step)
+        of = lambda end: colour.select(F.col("node").alias(end), F.col("label").alias(f"{end}_colour"))
+        within = cut(step.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")))
+        back = within.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        start = within.select(F.col("src").alias("node"), "colour").union(within.select("dst", "colour")).distinct()
+        seen = _spread(start.select("node", F.when(F.col("node") == F.col("colour"), 0).otherwise(1).alias("label")), back)
+        part = cut(seen.where("label = 0").join(start, "node").select("node", F.col("colour").alias("component")))
+        found.append(part)
+        gone = part.select("node")
+        step = cut(within.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if not found:
+        return edges.where("false").select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("bigint").alias("size"))
+    all_found = reduce(DataFrame.unionAll, found)
+    return all_found.join(all_found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "component").select("node", "component", "size")
 
 
 def exposure(edges: DataFrame, jewel: int, depth: int = 8) -> DataFrame:
@@ -134,27 +163,45 @@ def exposure(edges: DataFrame, jewel: int, depth: int = 8) -> DataFrame:
     return reach(back, depth, roots).select("node", "hops", F.round(F.greatest(F.lit(0.0), 1 - 0.15 * F.col("hops")), 6).alias("risk"))
 
 
-def propagated(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(1 - d) * base + d * sum of parents' risk by their weights' shares, clamped to 1, a fixed number of rounds; base is (node mod 7) / 10."""
-    nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct().withColumn("base", (F.col("node") % 7) / 10.0)
-    share = edges.withColumn("p", F.col("weight") / F.sum("weight").over(W.partitionBy("src"))).select("src", "dst", "p")
-    risk = nodes.select("node", F.col("base").alias("risk"))
-    for k in range(rounds):
-        flow = risk.join(share, risk.node == share.src).groupBy("dst").agg(F.sum(F.col("risk") * F.col("p")).alias("x"))
-        risk = nodes.join(flow, nodes.node == flow.dst, "left").select("node", F.least(F.lit(1.0), (1 - damping) * F.col("base") + damping * F.coalesce("x", F.lit(0.0))).alias("risk"))
-        if k % 5 == 4:
-            risk = cut(risk)
+def _settled(risk: DataFrame, turn, rounds: int, every: int = 5, least: float = 1e-6) -> DataFrame:
+    """risk (node, base, risk) after turns, until the largest change of a turn that ends a run of `every` is below least, or rounds are done."""
+    for _ in range(0, rounds, every):
+        for _ in range(every):
+            risk = turn(risk)
+        risk = cut(risk)
+        if (risk.agg(F.max(F.abs(F.col("risk") - F.col("old")))).first()[0] or 0.0) < least:
+            break
     return risk.select("node", F.round("risk", 6).alias("risk"))
 
 
-def noisy_or(edges: DataFrame, damping: float = 0.8, rounds: int = 3) -> DataFrame:
-    """Each round a node's risk becomes 1 - (1 - base) * product of (1 - damping * parent * weight / 2)."""
-    nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct().withColumn("base", (F.col("node") % 7) / 10.0)
-    risk = nodes.select("node", F.col("base").alias("risk"))
-    for _ in range(rounds):
-        flow = risk.join(edges, risk.node == edges.src).groupBy("dst").agg(F.sum(F.log(1 - damping * F.col("risk") * F.col("weight") / 2)).alias("x"))
-        risk = nodes.join(flow, nodes.node == flow.dst, "left").select("node", (1 - (1 - F.col("base")) * F.exp(F.coalesce("x", F.lit(0.0)))).alias("risk"))
-    return risk.select("node", F.round("risk", 6).alias("risk"))
+def _based(edges: DataFrame) -> DataFrame:
+    base = (F.col("node") % 7) / 10.0
+    return cut(edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct().select("node", base.alias("base"), base.alias("risk")))
+
+
+def propagated(edges: DataFrame, damping: float = 0.85, rounds: int = 100) -> DataFrame:
+    """(1 - d) * base + d * sum of parents' risk by their weights' shares, clamped to 1, until it changes by less than 1e-6 (looked at
+    every fifth round), at most rounds; base is (node mod 7) / 10."""
+    share = cut(edges.withColumn("p", F.col("weight") / F.sum("weight").over(W.partitionBy("src"))).select("src", "dst", "p"))
+
+    def turn(risk: DataFrame) -> DataFrame:
+        flow = risk.select(F.col("node").alias("src"), F.col("risk").alias("r")).join(share, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("p")).alias("x"))
+        new = F.least(F.lit(1.0), (1 - damping) * F.col("base") + damping * F.coalesce("x", F.lit(0.0)))
+        return risk.join(flow, "node", "left").select("node", "base", new.alias("risk"), F.col("risk").alias("old"))
+
+    return _settled(_based(edges), turn, rounds)
+
+
+def noisy_or(edges: DataFrame, damping: float = 0.8, rounds: int = 10) -> DataFrame:
+    """Each round a node's risk becomes 1 - (1 - base) * product of (1 - damping * parent * weight / 2), until it changes by less than 1e-6
+    (looked at every fifth round), at most rounds."""
+
+    def turn(risk: DataFrame) -> DataFrame:
+        flow = risk.select(F.col("node").alias("src"), F.col("risk").alias("r")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.log(1 - damping * F.col("r") * F.col("weight") / 2)).alias("x"))
+        new = 1 - (1 - F.col("base")) * F.exp(F.coalesce("x", F.lit(0.0)))
+        return risk.join(flow, "node", "left").select("node", "base", new.alias("risk"), F.col("risk").alias("old"))
+
+    return _settled(_based(edges), turn, rounds)
 
 
 def access_edges(ev: DataFrame) -> DataFrame:
@@ -189,8 +236,8 @@ def inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def on_trade(found: dict[str, tuple]) -> dict:
-    """Queries from (function, arguments): NAME on each nation's three strongest edges, as its SQL has it, and NAME_whole on all pairs."""
-    return {f"{name}{end}": lambda s, d, f=f, k=k, a=a: f(trade(s, d, k), *a) for name, (f, *a) in found.items() for end, k in (("", 3), ("_whole", None))}
+    """Queries from (function, arguments): NAME on each nation's three strongest edges, as its SQL has it, and NAME_whole on all pairs. Edges are made once."""
+    return {f"{name}{end}": lambda s, d, f=f, k=k, a=a: f(cut(trade(s, d, k)), *a) for name, (f, *a) in found.items() for end, k in (("", 3), ("_whole", None))}
 
 
 QUERIES = {
@@ -230,15 +277,18 @@ def _reach(depth: int, edges: str = "tr", where: str = "true") -> str:
     return f""", rr AS (SELECT src AS root, dst AS node, 1 AS h FROM {edges} WHERE {where} UNION SELECT rr.root, e.dst, h + 1 FROM rr JOIN {edges} e ON rr.node = e.src WHERE h < {depth}), rc AS (SELECT root, node, CAST(min(h) AS BIGINT) AS hops FROM rr WHERE root <> node GROUP BY ALL)"""
 
 
+def _closed(edges: str = "tr") -> str:
+    return f""", rc AS (SELECT src AS root, dst AS node FROM {edges} UNION SELECT rc.root, e.dst FROM rc JOIN {edges} e ON rc.node = e.src)"""
+
+
 _ACCESS = EV + """, ac AS (SELECT us, 'u' || actor AS src, 'role' || (actor % 5) AS dst, 'permission' AS kind FROM ev WHERE action = 'purchase' UNION ALL SELECT us, 'role' || (actor % 5), resource, 'permission' FROM ev WHERE action = 'purchase' UNION ALL SELECT us, 'u' || actor, resource, 'accessed' FROM ev WHERE action NOT IN ('purchase', 'error'))"""
 _PROP = ", rk AS (SELECT node, (node % 7) / 10.0 AS base FROM (SELECT src AS node FROM tr UNION SELECT dst FROM tr)), sh AS (SELECT src, dst, weight, weight / sum(weight) OVER (PARTITION BY src) AS p FROM tr)"
 
 
-def _rounds(n: int, body: str) -> str:
-    out = ", r0 AS (SELECT node, base, CAST(base AS DOUBLE) AS risk FROM rk)"
-    for k in range(n):
-        out += f", r{k + 1} AS MATERIALIZED (" + body.replace("@", f"r{k}") + ")"
-    return out + f" SELECT node, round(risk, 6) AS risk FROM r{n}"
+def _settle(rounds: int, flow: str, new: str) -> str:
+    return f""", st AS (SELECT 0 AS k, node, CAST(base AS DOUBLE) AS base, CAST(base AS DOUBLE) AS risk, CAST(1 AS DOUBLE) AS change FROM rk
+ UNION ALL SELECT k + 1, node, base, risk, max(abs(risk - old)) OVER () FROM (SELECT k, node, base, {new} AS risk, risk AS old FROM st LEFT JOIN (SELECT dst, {flow} AS x FROM st JOIN sh ON node = src GROUP BY dst) f ON f.dst = st.node WHERE k < {rounds} AND NOT (k % 5 = 0 AND change < 1e-6)))
+ SELECT node, round(risk, 6) AS risk FROM st WHERE k = (SELECT max(k) FROM st)"""
 
 
 ORACLE = {
@@ -251,7 +301,8 @@ ORACLE = {
     "g10_density": _TRADE + _DEG + " SELECT count(*) AS nodes, CAST(sum(out_degree) AS BIGINT) AS edges, count(*) FILTER (in_degree = 0) AS no_in, count(*) FILTER (out_degree = 0) AS no_out, round(sum(out_degree) / (count(*) * (count(*) - 1.0)), 6) AS density FROM dg",
     "t1_reach": _TRADE + _reach(3) + " SELECT * FROM rc",
     "t5_paths": _TRADE + _paths(3) + " SELECT * FROM pa",
-    "t9_distances": _TRADE + """, dj AS (SELECT 0::INTEGER AS node, 0.0::DOUBLE AS cost, [0::INTEGER] AS p UNION ALL SELECT dst, cost + round(1.0 / weight, 6), list_append(p, dst) FROM dj JOIN tr ON node = src WHERE NOT list_contains(p, dst) AND len(p) <= 7) SELECT node, round(min(cost), 6) AS cost FROM dj GROUP BY node""",
+    "t9_distances": _TRADE + """, dj AS (SELECT 0 AS k, 0::INTEGER AS node, 0.0::DOUBLE AS cost UNION ALL SELECT k + 1, node, min(cost) FROM (SELECT k, node, cost FROM dj UNION ALL SELECT k, dst, cost + round(1.0 / weight, 6) FROM dj JOIN tr ON node = src)
+ WHERE k < (SELECT count(*) FROM nation) GROUP BY k, node) SELECT node, round(cost, 6) AS cost FROM dj WHERE k = (SELECT max(k) FROM dj)""",
     "t10_scored_paths": _TRADE + _paths(3, "src = 0") + " SELECT dst, path, hops, round(greatest(risk + CASE WHEN dst % 5 = 0 THEN 0.5 ELSE 0 END - 0.05 * (hops + 1), 0), 6) AS score FROM pa",
     "t11_riskiest": _TRADE + _paths(3) + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY risk DESC, path) AS place FROM pa) WHERE place <= 2",
     "t12_choke_points": _TRADE + _paths(3) + """, ip AS (SELECT unnest(p[2:len(p) - 1]) AS node FROM ps WHERE len(p) > 2), tt AS (SELECT count(*) AS total FROM pa WHERE hops > 1)
@@ -259,8 +310,8 @@ ORACLE = {
     "t13_blast_radius": _TRADE + _reach(3) + """, bl AS (SELECT root, count(*) FILTER (hops = 1) AS tier1, count(*) FILTER (hops = 2) AS tier2, count(*) FILTER (hops = 3) AS tier3, count(*) AS n, round(least(1.0, 0.6 * avg((node % 7) / 10.0) + 0.4 * max((node % 7) / 10.0)), 6)::DOUBLE AS score FROM rc GROUP BY root)
  SELECT *, CASE WHEN score >= 0.45 THEN 'high' WHEN score >= 0.35 THEN 'medium' ELSE 'low' END AS severity FROM bl""",
     "t15_containment": _TRADE + _DEG + _reach(3, where="src = 0") + " SELECT node, out_degree FROM dg WHERE node IN (SELECT node FROM rc) ORDER BY out_degree DESC, node LIMIT 5",
-    "t17_cycles": _TRADE + _reach(12) + " SELECT a.root AS node, least(a.root, min(a.node)) AS component, count(*) + 1 AS size FROM rc a JOIN rc b ON a.root = b.node AND a.node = b.root GROUP BY a.root",
+    "t17_cycles": _TRADE + _closed() + " SELECT a.root AS node, min(a.node) AS component, count(*) AS size FROM rc a JOIN rc b ON a.root = b.node AND a.node = b.root GROUP BY a.root HAVING count(*) > 1",
     "t18_exposure": _TRADE + ", bk AS (SELECT dst AS src, src AS dst FROM tr)" + _reach(8, "bk", "src = 3") + " SELECT node, hops, round(greatest(0, 1 - 0.15 * hops), 6)::DOUBLE AS risk FROM rc",
-    "r11_propagated": _TRADE + _PROP + _rounds(20, "SELECT k.node, k.base, least(1.0, 0.15 * k.base + 0.85 * coalesce(sum(q.risk * sh.p), 0)) AS risk FROM rk k LEFT JOIN sh ON sh.dst = k.node LEFT JOIN @ q ON q.node = sh.src GROUP BY 1, 2"),
-    "r14_noisy_or": _TRADE + _PROP + _rounds(3, "SELECT k.node, k.base, 1 - (1 - k.base) * exp(coalesce(sum(ln(1 - 0.8 * q.risk * sh.weight / 2)), 0)) AS risk FROM rk k LEFT JOIN sh ON sh.dst = k.node LEFT JOIN @ q ON q.node = sh.src GROUP BY 1, 2"),
+    "r11_propagated": _TRADE + _PROP + _settle(100, "sum(risk * p)", "least(1.0, 0.15 * base + 0.85 * coalesce(x, 0))"),
+    "r14_noisy_or": _TRADE + _PROP + _settle(10, "sum(ln(1 - 0.8 * risk * weight / 2))", "1 - (1 - base) * exp(coalesce(x, 0))"),
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from brinewatch.functions import predicates as P
@@ -41,15 +45,42 @@ def injections(texts: DataFrame, key: list[str]) -> DataFrame:
     return texts.select(*key, F.size(hits).cast("bigint").alias("n_hits"), F.try_element_at(hits, F.lit(1)).alias("first_hit"), F.length(F.regexp_replace("text", "[<>$]", "")).cast("bigint").alias("clean_chars")).where("n_hits > 0")
 
 
+def planted(texts: DataFrame) -> DataFrame:
+    """Texts of which every seventh conversation's even turns carry an injected phrase, so there is something to find."""
+    bad = (F.col("conv_id") % 7 == 0) & (F.col("turn") % 2 == 0)
+    phrase = F.element_at(F.array(*map(F.lit, P.INJECTIONS)), (F.col("conv_id") / 7 % len(P.INJECTIONS)).cast("int") + 1)
+    return texts.withColumn("text", F.when(bad, F.concat("text", F.lit(" "), F.upper(phrase))).otherwise(F.col("text")))
+
+
 def first_in_period(ev: DataFrame, keys: list[str], us: int) -> DataFrame:
-    """Duplicates within us of the first sight of a key go; a period begins at the first event after the last one's end.
+    """(*keys, event_id) of what stays where duplicates within us of the first sight of a key go; a period begins at the first event after the last one's end.
 
-    What stays depends on what stayed before, so each key's times are folded in order.
+    What stays depends on what stayed before, so each key's times are read in order, as a stream: a task holds a batch and the last kept time.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("us", "event_id")))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda a, e: F.when(a["last"].isNull() | (e["us"] - a["last"] > us), F.struct(e["us"].alias("last"), F.concat(a["kept"], F.array(e["event_id"])).alias("kept"))).otherwise(a)
-    return ev.groupBy(*keys).agg(F.aggregate(ordered, start, step)["kept"].alias("kept")).select(*keys, F.explode("kept").alias("event_id"))
+    schema = ev.select(*keys, F.col("us").cast("bigint").alias("us"), F.col("event_id").cast("bigint").alias("event_id"))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for b in batches:
+            columns = [b.column(k).to_pylist() for k in keys]
+            names = list(zip(*columns, strict=True))
+            times = b.column("us").to_numpy()
+            edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            chosen = []
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if s == e:
+                    continue
+                if names[s] != key:
+                    key, last = names[s], None
+                i = s if last is None else s + int(np.searchsorted(times[s:e], last + us, "right"))
+                while i < e:
+                    chosen.append(i)
+                    last = int(times[i])
+                    i = s + int(np.searchsorted(times[s:e], last + us, "right"))
+            yield b.take(pa.array(chosen, pa.int64()))
+
+    ordered = schema.repartition(*keys).sortWithinPartitions(*keys, "us", "event_id")
+    return ordered.mapInArrow(kept, schema.schema).drop("us")
 
 
 def content_duplicates(ev: DataFrame) -> DataFrame:
@@ -110,7 +141,7 @@ QUERIES = {
     "f1_validation": _p(split_validity),
     "s18_dead_letters": _p(dead_letters),
     "s18_rejected": _p(rejected),
-    "f3_injections": lambda s, d: injections(read(s, d, "conversations"), ["conv_id", "turn"]),
+    "f3_injections": lambda s, d: injections(planted(read(s, d, "conversations")), ["conv_id", "turn"]),
     "f3_nonces": lambda s, d: nonces(events(s, d)),
     "f5_suppressed": lambda s, d: suppressed(events(s, d), events(s, d).where("action = 'error' and value > 30").select("actor").distinct()).groupBy("actor").agg(F.count("*").alias("n")),
     "f10_invariants": lambda s, d: invariants(events(s, d)),
@@ -129,11 +160,11 @@ ORACLE = {
     "p11_parsed_methods": EV + " SELECT event_id, action AS method, 'p' || (k % 5) AS project, 'tok-' || '****' || right('tok-' || event_id || resource, 4) AS token FROM ev",
     "f1_validation": PLACED + f" SELECT coalesce(r, 'valid') AS reason, count(*) AS n FROM (SELECT {_REASON} AS r FROM (SELECT *, max(us) OVER () AS now FROM pl)) GROUP BY 1",
     "s18_dead_letters": PLACED + f" SELECT reason, place, event_id FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY us DESC, event_id DESC) AS place FROM (SELECT *, {_REASON} AS reason FROM (SELECT *, max(us) OVER () AS now FROM pl)) WHERE reason IS NOT NULL) WHERE place <= 2",
-    "f3_injections": f"SELECT conv_id, turn, CAST(len(h) AS BIGINT) AS n_hits, h[1] AS first_hit, CAST(length(regexp_replace(text, '[<>$]', '', 'g')) AS BIGINT) AS clean_chars FROM (SELECT *, list_filter([{_LIST}], lambda p: contains(lower(coalesce(text, '')), p)) AS h FROM conversations) WHERE len(h) > 0",
+    "f3_injections": f"SELECT conv_id, turn, CAST(len(h) AS BIGINT) AS n_hits, h[1] AS first_hit, CAST(length(regexp_replace(text, '[<>$]', '', 'g')) AS BIGINT) AS clean_chars FROM (SELECT *, list_filter([{_LIST}], lambda p: contains(lower(coalesce(text, '')), p)) AS h FROM (SELECT * REPLACE (CASE WHEN conv_id % 7 = 0 AND turn % 2 = 0 THEN text || ' ' || upper([{_LIST}][conv_id // 7 % {len(P.INJECTIONS)} + 1]) ELSE text END AS text) FROM conversations)) WHERE len(h) > 0",
     "f3_nonces": EV + f" SELECT actor, count(*) AS n_replays FROM (SELECT *, us - lag(us) OVER (PARTITION BY resource ORDER BY us, event_id) AS d FROM ev) WHERE d <= {10 * DAY} GROUP BY actor",
     "f5_suppressed": EV + " SELECT actor, count(*) AS n FROM ev WHERE actor NOT IN (SELECT actor FROM ev WHERE action = 'error' AND value > 30) GROUP BY actor",
     "f10_invariants": EV + """ SELECT 'unique_ids' AS invariant, count(*) - count(DISTINCT event_id) AS violations FROM ev UNION ALL SELECT 'few_purchases', greatest(count(*) FILTER (action = 'purchase') * 10 - count(*), 0) FROM ev
- UNION ALL SELECT 'no_negative', count(*) FILTER (value < 0) FROM ev UNION ALL SELECT 'monotonic', count(*) FROM (SELECT us, lag(us) OVER (PARTITION BY event_id // 10000 ORDER BY event_id) AS b FROM ev) WHERE us < b""",
+ UNION ALL SELECT 'no_negative', count(*) FILTER (value < 0) FROM ev UNION ALL SELECT 'monotonic', count(*) FROM (SELECT us, lag(us) OVER (ORDER BY event_id) AS b FROM ev) WHERE us < b""",
     "d1_first_in_period": EV.replace("WITH ev", "WITH RECURSIVE ev") + f""", o AS (SELECT *, row_number() OVER (PARTITION BY actor, action ORDER BY us, event_id) AS rn FROM ev),
  r AS (SELECT actor, action, event_id, us, rn, us AS last, true AS keep FROM o WHERE rn = 1 UNION ALL SELECT o.actor, o.action, o.event_id, o.us, o.rn, CASE WHEN o.us - r.last > {3 * DAY} THEN o.us ELSE r.last END, o.us - r.last > {3 * DAY} FROM r JOIN o ON o.actor = r.actor AND o.action = r.action AND o.rn = r.rn + 1)
  SELECT actor, action, event_id FROM r WHERE keep""",

@@ -23,9 +23,25 @@ def velocity(ev: DataFrame, us: int = DAY) -> DataFrame:
     return ev.select("event_id", "actor", n.alias("n_window"), F.round(F.least(n / F.lit(10.0), F.lit(1.0)), 6).alias("burst"))
 
 
+def sliding_distinct(ev: DataFrame, key: str, what: str, us: int, name: str) -> DataFrame:
+    """ev with the number of distinct values of what in the key's trailing window, as name (null values don't count).
+
+    A value comes (+1) where it wasn't in the window before, and goes (-1) when the window ends after its last sight; the running sum of
+    these is the count. So a row costs two rows of a running sum, however many values the window holds.
+    """
+    own = W.partitionBy(key, what).orderBy("us")
+    seen = ev.withColumns({"_before": F.lag("us").over(own), "_after": F.lead("us").over(own)})
+    there = F.col(what).isNotNull()
+    come = F.when(there & (F.col("_before").isNull() | (F.col("us") - F.col("_before") > us)), 1).otherwise(0)
+    rows = seen.withColumn("_d", come)
+    gone = seen.where(there & (F.col("_after").isNull() | (F.col("_after") - F.col("us") > us))).select(key, (F.col("us") + us + 1).alias("us"), F.lit(-1).alias("_d"))
+    both = rows.drop("_before", "_after").unionByName(gone, allowMissingColumns=True)
+    return both.withColumn(name, F.sum("_d").over(W.partitionBy(key).orderBy("us").rangeBetween(W.unboundedPreceding, 0))).where("event_id is not null").drop("_d")
+
+
 def distinct_in_window(ev: DataFrame, what: str = "resource", us: int = 3 * DAY) -> DataFrame:
     """Distinct values in the trailing window."""
-    return ev.select("event_id", "actor", F.size(F.collect_set(what).over(trailing(us))).cast("bigint").alias("n_distinct"))
+    return sliding_distinct(ev.select("event_id", "actor", "us", what), "actor", what, us, "n_distinct").select("event_id", "actor", "n_distinct")
 
 
 def hour_peaks(ev: DataFrame) -> DataFrame:
@@ -65,11 +81,11 @@ def top_actions(ev: DataFrame, k: int = 5) -> DataFrame:
     return n.withColumn("place", F.row_number().over(W.partitionBy("actor").orderBy(F.desc("n"), "resource")).cast("bigint")).where(F.col("place") <= k)
 
 
-def entropy_spikes(ev: DataFrame, short: int = 5 * DAY, least: float = 1.5, ratio: float = 1.2) -> DataFrame:
-    """Actors whose entropy of actions in the last window is large, and against all their events."""
-    last = F.max("us").over(W.partitionBy("actor"))
-    recent = entropy(ev.withColumn("_last", last).where(F.col("us") >= F.col("_last") - short), ["actor"], "resource").select("actor", F.col("entropy").alias("h_short"))
-    whole = entropy(ev, ["actor"], "action").select("actor", F.col("entropy").alias("h_long"))
+def entropy_spikes(ev: DataFrame, what: str = "action", short: int = 2 * DAY, long: int = 20 * DAY, least: float = 1.5, ratio: float = 0.8) -> DataFrame:
+    """Actors whose entropy of one variable in the last short window is large, in itself and against that of the last long window."""
+    ends = ev.withColumn("_last", F.max("us").over(W.partitionBy("actor")))
+    within = lambda us, name: entropy(ends.where(F.col("us") >= F.col("_last") - us), ["actor"], what).select("actor", F.col("entropy").alias(name))
+    recent, whole = within(short, "h_short"), within(long, "h_long")
     return recent.join(whole, "actor").where((F.col("h_short") > least) & (F.col("h_long") > 0) & (F.col("h_short") / F.col("h_long") >= ratio))
 
 
@@ -136,18 +152,21 @@ def summary(ev: DataFrame) -> DataFrame:
 
 
 def placed(ev: DataFrame) -> DataFrame:
-    """Events with a made-up place, subnet, region, account and token, for detectors that need them."""
+    """Events with a made-up place, subnet, region, account, token, role and network, for detectors that need them."""
     e = F.col("event_id")
     return (
         ev.withColumn("lat", ((e * 37) % 121 - 60).cast("double")).withColumn("lon", ((e * 73) % 301 - 150).cast("double"))
         .withColumn("subnet", F.concat(F.lit("10."), (F.col("k") % 4).cast("string"), F.lit("."), (e % 3).cast("string")))
         .withColumn("ip", F.concat("subnet", F.lit("."), (e % 5).cast("string"))).withColumn("region", F.concat(F.lit("r"), (F.col("k") % 3).cast("string")))
         .withColumn("account", F.concat(F.lit("acc"), (F.col("k") % 7).cast("string"))).withColumn("token", F.concat(F.lit("tok"), (F.col("actor") % 11).cast("string")))
+        .withColumn("role", F.concat(F.when(F.col("k") % 10 == 0, "AdminRole-").when(F.col("k") % 4 == 1, "svc-role-").otherwise("role-"), F.col("k").cast("string")))
+        .withColumn("asn", F.when(e % 29 == 0, "AS-tor-exit").otherwise(F.concat(F.lit("AS"), (F.col("k") % 50).cast("string"))))
     )
 
 
 PLACED = EV + """, pl AS (SELECT *, CAST((event_id * 37) % 121 - 60 AS DOUBLE) AS lat, CAST((event_id * 73) % 301 - 150 AS DOUBLE) AS lon, '10.' || (k % 4) || '.' || (event_id % 3) AS subnet,
- '10.' || (k % 4) || '.' || (event_id % 3) || '.' || (event_id % 5) AS ip, 'r' || (k % 3) AS region, 'acc' || (k % 7) AS account, 'tok' || (actor % 11) AS token FROM ev)"""
+ '10.' || (k % 4) || '.' || (event_id % 3) || '.' || (event_id % 5) AS ip, 'r' || (k % 3) AS region, 'acc' || (k % 7) AS account, 'tok' || (actor % 11) AS token,
+ CASE WHEN k % 10 = 0 THEN 'AdminRole-' WHEN k % 4 = 1 THEN 'svc-role-' ELSE 'role-' END || k AS role, CASE WHEN event_id % 29 = 0 THEN 'AS-tor-exit' ELSE 'AS' || (k % 50) END AS asn FROM ev)"""
 
 
 def _q(f, with_place: bool = False, **kw):
@@ -189,9 +208,8 @@ ORACLE = {
     "w7_anchored_velocity": EV + f" SELECT actor, count(*) AS n_recent FROM (SELECT *, max(us) OVER (PARTITION BY actor) AS last FROM ev) WHERE us >= last - {2 * DAY} GROUP BY actor",
     "w8_entropy": EV + " SELECT actor, CAST(sum(n) AS BIGINT) AS n_events, count(*) AS n_values, round(abs(-sum(p * log2(p))), 6) AS entropy FROM (SELECT actor, action, count(*) AS n, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY actor) AS p FROM ev GROUP BY actor, action) GROUP BY actor",
     "w8_top_resources": EV + " SELECT * FROM (SELECT actor, resource, count(*) AS n, row_number() OVER (PARTITION BY actor ORDER BY count(*) DESC, resource) AS place FROM ev GROUP BY actor, resource) WHERE place <= 5",
-    "w9_entropy_spikes": EV + f""", r AS (SELECT actor, round(abs(-sum(p * log2(p))), 6) AS h_short FROM (SELECT actor, resource, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY actor) AS p FROM (SELECT *, max(us) OVER (PARTITION BY actor) AS last FROM ev) WHERE us >= last - {5 * DAY} GROUP BY actor, resource) GROUP BY actor),
- a AS (SELECT actor, round(abs(-sum(p * log2(p))), 6) AS h_long FROM (SELECT actor, action, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY actor) AS p FROM ev GROUP BY actor, action) GROUP BY actor)
- SELECT actor, h_short, h_long FROM r JOIN a USING (actor) WHERE h_short > 1.5 AND h_long > 0 AND h_short / h_long >= 1.2""",
+    "w9_entropy_spikes": EV + ", en AS (SELECT *, max(us) OVER (PARTITION BY actor) AS last FROM ev), " + ", ".join(f"{n} AS (SELECT actor, round(abs(-sum(p * log2(p))), 6) AS h_{n} FROM (SELECT actor, action, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY actor) AS p FROM en WHERE us >= last - {us} GROUP BY actor, action) GROUP BY actor)" for n, us in (("short", 2 * DAY), ("long", 20 * DAY)))
+    + " SELECT actor, h_short, h_long FROM short JOIN long USING (actor) WHERE h_short > 1.5 AND h_long > 0 AND h_short / h_long >= 0.8",
     "w10_conditional_entropy": EV + f""", p AS (SELECT actor, action, lag(action) {ORD}) AS before FROM ev), n AS (SELECT actor, before, action, count(*) AS n FROM p WHERE before IS NOT NULL GROUP BY ALL),
  m AS (SELECT *, sum(n) OVER (PARTITION BY actor, before) AS m, sum(n) OVER (PARTITION BY actor) AS t FROM n) SELECT actor, round(abs(sum(-(n / t) * log2(n / m))), 6) AS h_cond FROM m GROUP BY actor""",
     "w11_impossible_travel": PLACED + f""", p AS (SELECT *, lag(lat) {ORD}) AS la, lag(lon) {ORD}) AS lo, lag(us) {ORD}) AS lu FROM pl),
