@@ -61,11 +61,6 @@ def merkle_root(leaves: DataFrame) -> DataFrame:
     return level.select(F.col("h").alias("root"))
 
 
-def daily_roots(ev: DataFrame) -> DataFrame:
-    """The Merkle root of the first 64 events, as its SQL has it; ledger_root covers all records."""
-    return merkle_root(ev.where("event_id < 64").select(F.col("event_id").alias("i"), F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "action"), 256).alias("h")))
-
-
 def ledger_root(ledger: DataFrame) -> DataFrame:
     """The Merkle root of all records; a leaf covers all that is stored of a record."""
     leaf = F.sha2(F.to_json(F.struct("seq", "us", "actor", "action", "resource", "value", "content", "record_hash")), 256)
@@ -177,7 +172,7 @@ def _e(f, *a):
 
 
 QUERIES = {
-    "l2_verified": _l(verified), "l3_merkle_root": _e(daily_roots), "l3_ledger_root": _l(ledger_root), "l7_state_at": _l(state_at, 700), "l9_gaps": _l(gaps), "l11_divergence": _l(divergence), "l13_transitions": _l(transitions), "l14_nearest_snapshots": _l(nearest_snapshots),
+    "l2_verified": _l(verified), "l3_ledger_root": _l(ledger_root), "l7_state_at": _l(state_at, 700), "l9_gaps": _l(gaps), "l11_divergence": _l(divergence), "l13_transitions": _l(transitions), "l14_nearest_snapshots": _l(nearest_snapshots),
     "l16_consensus": _l(consensus), "q4_decided": _e(decided), "q5_plans": _e(plans), "q7_streaks": _e(streaks),
 }
 
@@ -188,16 +183,8 @@ _DEC = EV + """, mt AS (SELECT *, action = 'error' AND value >= 25 AS a, regexp_
  de AS (SELECT event_id, actor, CASE WHEN a THEN 'deny_errors' WHEN b THEN 'review_resources' WHEN c THEN 'quarantine' WHEN d THEN 'watch' END AS policy, CASE WHEN a THEN 'deny' WHEN b THEN 'review' WHEN c THEN 'quarantine' WHEN d THEN 'watch' ELSE 'audit' END AS decision, CAST(a::INT + b::INT + c::INT + d::INT AS BIGINT) AS n_matches FROM mt)"""
 
 
-def _merkle() -> str:
-    sql = "WITH m0 AS (SELECT event_id AS i, sha256(event_id || '|' || event_type) AS h FROM events WHERE event_id < 64)"
-    for k in range(6):
-        sql += f", m{k + 1} AS (SELECT i // 2 AS i, sha256(min_by(h, i) || max_by(h, i)) AS h FROM m{k} GROUP BY 1)"
-    return sql + " SELECT h AS root FROM m6"
-
-
 ORACLE = {
     "l2_verified": _LED + " SELECT seq, 'SEQUENCE_GAP' AS error FROM ld WHERE seq <> before + 1 UNION ALL SELECT seq, 'HASH_MISMATCH' FROM ld WHERE sha256(content) <> record_hash",
-    "l3_merkle_root": _merkle(),
     "l7_state_at": _LED + f" SELECT actor, {_STATE} FROM ld WHERE seq <= 700 GROUP BY actor",
     "l9_gaps": _LED + " SELECT before + 1 AS first, seq - 1 AS last FROM ld WHERE seq > before + 1",
     "l11_divergence": _LED + f""", a AS (SELECT actor, {_STATE} FROM ld GROUP BY actor), b AS (SELECT actor, {_STATE} FROM ld WHERE action <> 'error' GROUP BY actor)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewatch.operators import baselines, detectors, escalation, exposure, graphs, intake, ledger, raw, series, windows
+from brinewatch.operators import baselines, detectors, escalation, exposure, graphs, intake, ledger, lifetimes, raw, records, series, windows
 from brinewatch.streaming import flows
 
-MODULES: list = [windows, intake, raw, detectors, escalation, graphs, baselines, ledger, series, flows, exposure]
+MODULES: list = [windows, intake, raw, detectors, escalation, graphs, lifetimes, baselines, ledger, records, series, flows, exposure]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
