@@ -33,10 +33,7 @@ TRAIL_RECORD = "eventID string, eventName string, userIdentity struct<arn string
 FIELDS = ("source", "service", "event_id", "action", "actor", "resource", "ip", "region", "timestamp", "severity", "actor_type")
 
 
-@pandas_udf("binary")
-def gunzipped(data: pd.Series) -> pd.Series:
-    """Payloads that begin like gzip, opened; what can't be opened is null, what isn't gzip stays."""
-
+def _gunzipped(data: pd.Series) -> pd.Series:
     def opened(b: bytes | None) -> bytes | None:
         if b is None or b[:2] != b"\x1f\x8b":
             return b
@@ -48,8 +45,12 @@ def gunzipped(data: pd.Series) -> pd.Series:
     return data.map(opened)
 
 
-@pandas_udf("binary")
-def gzipped(data: pd.Series) -> pd.Series:
+def gunzipped(payload: Column) -> Column:
+    """Payloads that begin like gzip, opened; what can't be opened is null, what isn't gzip stays."""
+    return pandas_udf(_gunzipped, "binary")(payload)
+
+
+def _gzipped(data: pd.Series) -> pd.Series:
     def closed(b: bytes) -> bytes:
         c = zlib.compressobj(wbits=31)
         return c.compress(b) + c.flush()
@@ -57,6 +58,10 @@ def gzipped(data: pd.Series) -> pd.Series:
     return data.map(closed)
 
 
+def gzipped(payload: Column) -> Column:
+    return pandas_udf(_gzipped, "binary")(payload)
+
+
 def text_of(payload: Column) -> Column:
     """JSON text of a payload: gzip opened, base64 of JSON decoded, else UTF-8."""
     t = F.decode(gunzipped(payload), "UTF-8")
