@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from brinewatch.sources.tables import shared_dir
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -64,8 +66,7 @@ def run_now(flow: DataFrame, mode: str = "append") -> DataFrame:
 
 def drained(flow: DataFrame, mode: str = "append") -> DataFrame:
     """Drains what is there into the shared folder and returns its rows with the epoch of each. For results of any size."""
-    folder = flow.sparkSession.conf.get("spark.checkpoint.dir", None) or flow.sparkSession.sparkContext.getCheckpointDir() or "/tmp/brinewatch-checkpoints"
-    path, epochs = f"{folder}/flow-{uuid.uuid4().hex}", []
+    path, epochs = f"{shared_dir(flow.sparkSession)}/flow-{uuid.uuid4().hex}", []
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")  # a batch that runs again replaces itself
@@ -93,12 +94,22 @@ def fan_out(flow: DataFrame, folder: str, checkpoint: str, valid: str = "event_t
     flow.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events through fan_out, and what each folder then holds by type."""
+    folder = f"{shared_dir(spark)}/fan-{uuid.uuid4().hex}"
+    fan_out(source(spark, sf_dir), folder, f"{folder}/checkpoint")
+    held = [spark.read.schema(SCHEMA.replace("timestamp_ntz", "timestamp")).parquet(f"{folder}/{n}").groupBy("event_type").agg(F.count("*").alias("n")).select(F.lit(n).alias("folder"), "event_type", "n") for n in ("accepted", "dead")]
+    return held[0].unionAll(held[1])
+
+
 QUERIES = {
+    "k2_fan_out": split,
     "k5_windowed_counts": lambda s, d: run_now(counts(source(s, d)), "complete"),
     "k6_unique_events": lambda s, d: drained(unique(source(s, d)).select("event_id", "user_id")).groupBy("user_id").agg(F.count("*").alias("n")),
     "s9_drift": lambda s, d: latest(drift(source(s, d)), "user_id").select("user_id", "n", F.round("mean", 5).alias("mean"), F.round("deviation", 5).alias("deviation"), F.round("worst", 4).alias("worst")),
 }
 ORACLE = {
+    "k2_fan_out": "SELECT CASE WHEN event_type = 'error' THEN 'dead' ELSE 'accepted' END AS folder, event_type, count(*) AS n FROM events GROUP BY ALL",
     "k5_windowed_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "k6_unique_events": "SELECT user_id, count(DISTINCT event_id) AS n FROM events GROUP BY user_id",
     "s9_drift": """WITH p AS (SELECT user_id, value, count(*) OVER w AS n, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
