@@ -31,6 +31,7 @@ from brinewatch.llm.words import mix, word_batches
 
 BLOCK = 1024  # classes of a list in a task, and of a cluster
 BLOCK_VALUES = 1_000_000  # shingles of a cluster's block
+MARKS = 1 << 22  # bits that say which documents' texts are asked for
 PART = 500  # texts whose sets a task holds at a time
 FACTORS = np.array([pow(0x2545F4914F6CDD1D, i + 1, 1 << 64) for i in range(64)], np.uint64)
 
@@ -277,6 +278,24 @@ def grouped(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*at, "asks", "node", *columns).repartition(*at).sortWithinPartitions(*at)
 
 
+def marked(docs: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """Rows of docs whose key may be among asked's: a bitmap of MARKS bits, of fixed size whatever the data, is set in Spark and broadcast, so that most texts that
+    nothing asks for are not shuffled. (Where more keys are asked than there are bits, more pass; none that is asked for goes.)"""
+    bit = F.pmod(F.xxhash64(key), F.lit(MARKS))
+    words = asked.select(key).distinct().select(F.floor(bit / 32).alias("w"), F.pow(F.lit(2.0), F.pmod(bit, F.lit(32))).cast("bigint").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    bits = np.zeros(MARKS // 32, np.uint32)
+    for r in words.toLocalIterator():  # MARKS / 32 rows at most
+        bits[r.w] = r.b
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("_bit").to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array((held.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)).drop_columns(["_bit"])
+
+    return docs.where(F.col(key).isNotNull()).withColumn("_bit", bit.cast("bigint")).mapInArrow(run, docs.schema)
+
+
 def two_passes(df: DataFrame, meet: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """(node, component) of the links that meet finds in groups of df(value, node, blocks, lead, ...) dealt to blocks."""
     pieces = components(meet(first_pass(df)), name)
@@ -313,7 +332,7 @@ def near_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int
     lists = lists.groupBy("n", "lead", "s1", "s2").agg(F.min("value").alias("value")).select("value", "lead", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     held = own.join(lists, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("value", "blocks", "lead"))).alias("held"))  # k - s + 1 at most
     held = saved(held, "held")
-    members = held.join(retained, "node").select("node", "n_shingles", "sketch", "held", F.posexplode("held").alias("at", "list"))
+    members = held.join(marked(retained, "node", held), "node").select("node", "n_shingles", "sketch", "held", F.posexplode("held").alias("at", "list"))
     members = members.select("node", "n_shingles", "sketch", F.slice("held.value", F.lit(1), F.col("at")).alias("earlier"), "list.*")
     least = tuple(least_shared(m, threshold, 1e-10) for m in range(2 * k + 1))
     estimated = lambda df: grouped(df, "n_shingles", "sketch", "earlier").mapInArrow(estimate_mapper(k, least, num, den), "a long, b long")
@@ -322,7 +341,8 @@ def near_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int
     chosen = saved(clusters.join(classes, "node").join(sizes, "value").select(F.col("first_doc").alias("_id"), "node", "value", "blocks", "lead"), "chosen")
 
     def confirmed(df: DataFrame) -> DataFrame:  # one doc_id of each class gives the whole set
-        texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(df, "_id").select("value", "i", "j", "asks", "node", "text")
+        own = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+        texts = marked(own, "_id", df).join(df, "_id").select("value", "i", "j", "asks", "node", "text")
         sets = texts.mapInArrow(set_mapper(width), "value long, i int, j int, asks boolean, node long, shingles array<long>")
         return grouped(sets, "shingles").mapInArrow(confirm_mapper(num, den), "a long, b long")
 
