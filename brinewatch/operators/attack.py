@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from brinewatch.operators import graphs, series
-from brinewatch.operators.windows import PLACED, placed
-from brinewatch.sources.tables import DAY, EV, HOUR, cut, events, read
+from brinewatch.sources.tables import EV, events, read
 
 # Decay rates of beliefs an hour, changes of belief by evidence, and shares of modifiers.
 RATES = {"active_attack": -0.02, "data_exfiltration": -0.03, "privilege_escalation": -0.04, "lateral_movement": 0.01}
@@ -207,19 +206,15 @@ def _e(f, *a):
     return lambda s, d: f(events(s, d), *a)
 
 
-def _t(f, *a):
-    return lambda s, d: f(cut(graphs.trade(s, d)), *a)
-
-
 def _sessions(s, d):
     pick = F.element_at(F.array(*map(F.lit, COMMANDS)), ((F.col("conv_id") * 3 + F.col("turn")) % len(COMMANDS) + 1).cast("int"))
     return session_intelligence(read(s, d, "conversations").select(F.col("conv_id").alias("session"), pick.alias("command")))
 
 
 QUERIES = {
-    "m3_evolution": _e(belief_evolution), "m3_summary": _e(belief_summary), "m5_evidence": _e(evidence), "m6_paths": _t(path_probabilities), "m7_hypotheses": _t(hypotheses), "m9_simulation": lambda s, d: simulation(s), "m10_intervals": _e(credible_intervals),
-    "m11_assessment": _e(assessment), "m23_conditional": _e(conditional), "r13_monte_carlo": _t(monte_carlo_risk), "a14_deception": _e(deception), "a15_sessions": _sessions,
-}
+    "m3_evolution": _e(belief_evolution), "m3_summary": _e(belief_summary), "m5_evidence": _e(evidence), "m9_simulation": lambda s, d: simulation(s), "m10_intervals": _e(credible_intervals),
+    "m11_assessment": _e(assessment), "m23_conditional": _e(conditional), "a14_deception": _e(deception), "a15_sessions": _sessions,
+} | graphs.on_trade({"m6_paths": (path_probabilities,), "m7_hypotheses": (hypotheses,), "r13_monte_carlo": (monte_carlo_risk,)})
 
 
 def _u(*parts: str) -> str:

@@ -262,9 +262,11 @@ QUERIES = {
     "r14_noisy_or": (noisy_or,),
 })
 
+#: What leaves each nation its three strongest edges.
+STRONGEST = " WHERE place <= 3"
 _TRADE = """WITH RECURSIVE tr AS (SELECT src, dst, round(1.0 / place, 6)::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS place FROM (SELECT c_nationkey AS src, s_nationkey AS dst,
  round(CAST(sum(CAST(l_extendedprice AS DECIMAL(20, 2))) AS DOUBLE) / any_value(n), 2) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) ON k = s_nationkey
- WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)) WHERE place <= 3)"""
+ WHERE c_nationkey <> s_nationkey GROUP BY 1, 2))""" + STRONGEST + ")"
 _DEG = """, dg AS (SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM tr UNION ALL SELECT dst, 0, 1 FROM tr) GROUP BY node)"""
 
 

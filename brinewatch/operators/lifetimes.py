@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from brinewatch.operators import escalation, graphs
 from brinewatch.operators.graphs import access_edges
-from brinewatch.operators.windows import PLACED, placed
 from brinewatch.sources.tables import DAY, EV, HOUR, cut, events
 
 
@@ -150,8 +149,8 @@ def _exported(s, d):
 QUERIES = {
     "g2_lives": _e(lives), "f6_active_at": lambda s, d: active_at(lives(events(s, d)), F.lit(NOON)).select("src", "dst", "life"), "f7_edges_in_window": lambda s, d: edges_in_window(events(s, d), NOON - DAY, NOON + DAY).select("src", "dst", "kind", "us"),
     "f7_neighbours_around": _around, "f7_sessions": _e(session_edges), "g4_closure": _e(privilege_closure), "g5_reachable": _e(reachable_privileged), "g7_stats": _e(graph_stats), "g10_hubs": _e(hubs_and_targets), "g12_deleted": _deleted,
-    "s10_imported": _imported, "s11_exported": _exported, "t14_compared": lambda s, d: compared_radius(cut(graphs.trade(s, d)), [0, 3, 7, 12]),
-}
+    "s10_imported": _imported, "s11_exported": _exported,
+} | graphs.on_trade({"t14_compared": (compared_radius, [0, 3, 7, 12])})
 _A = graphs._ACCESS
 _LIVES = EV + """, e AS (SELECT actor AS src, resource AS dst, us, event_id, action = 'error' AS rv FROM ev), f AS (SELECT *, coalesce(sum(rv::INT) OVER (PARTITION BY src, dst ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e),
  g AS (SELECT src, dst, ended, count(*) FILTER (NOT rv) AS n, min(us) FILTER (NOT rv) AS born_us, max(us) FILTER (NOT rv) AS last_us, max(us) FILTER (rv) AS revoked_us FROM f GROUP BY ALL HAVING count(*) FILTER (NOT rv) > 0), lv AS (SELECT src, dst, row_number() OVER (PARTITION BY src, dst ORDER BY ended) AS life, n, born_us, last_us, revoked_us FROM g)"""
