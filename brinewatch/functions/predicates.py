@@ -76,3 +76,16 @@ def ipv4(ip: Column) -> Column:
 def in_cidr(ip: Column, network: Column, bits: Column) -> Column:
     size = F.pow(F.lit(2.0), 32 - bits).cast("bigint")
     return F.coalesce(F.floor(ipv4(ip) / size) == F.floor(ipv4(network) / size), F.lit(False))
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The version 5 UUID of a name in a namespace (a UUID's text): SHA-1, with the version and variant set."""
+    h = F.sha1(F.concat(F.lit(bytearray.fromhex(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.element_at(F.array(*map(F.lit, "89ab")), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1)
+    part = lambda s, n: F.substring(h, s, n)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def titled(text: Column) -> Column:
+    """Words with a capital first letter, the rest small."""
+    return F.initcap(F.lower(text))

@@ -93,13 +93,16 @@ def attack_surface(edges: DataFrame) -> DataFrame:
 
 def longest_chains(edges: DataFrame, depth: int = 3) -> DataFrame:
     """The longest simple path of each node, up to depth: the least in text."""
-    return g.paths(edges, depth).groupBy("src").agg(F.max("hops").alias("hops")).join(g.paths(edges, depth), ["src", "hops"]).groupBy("src", "hops").agg(F.min("path").alias("path"))
+    best = g.paths(edges, depth).groupBy("src").agg(F.min(F.struct((-F.col("hops")).alias("h"), "path")).alias("b"))
+    return best.select("src", (-F.col("b.h")).alias("hops"), F.col("b.path").alias("path"))
 
 
 def gini(edges: DataFrame) -> DataFrame:
-    """Inequality of in degrees, by ranks, and the mean number of paths between pairs that reach each other."""
-    d = g.degrees(edges).withColumn("r", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("in_degree", "node")))  # a row a nation
-    a = d.agg(F.round(2 * F.sum(F.col("r") * F.col("in_degree")) / (F.count("*") * F.sum("in_degree")) - (F.count("*") + 1) / F.count("*"), 6).alias("gini"))
+    """Inequality of in degrees, by ranks, and the mean number of paths between pairs that reach each other. Nodes of one degree hold a run of ranks, so only different degrees are put in order."""
+    d = g.degrees(edges).groupBy("in_degree").agg(F.count("*").alias("m"))
+    d = d.withColumn("before", F.coalesce(F.sum("m").over(W.orderBy("in_degree").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ranks, n = F.col("m") * F.col("before") + F.col("m") * (F.col("m") + 1) / 2, F.sum("m")
+    a = d.agg(F.round(2 * F.sum(ranks * F.col("in_degree")) / (n * F.sum(F.col("m") * F.col("in_degree"))) - (n + 1) / n, 6).alias("gini"))
     m = g.paths(edges, 3).groupBy("src", "dst").agg(F.count("*").alias("n")).agg(F.round(F.avg("n"), 6).alias("multiplicity"))
     return a.crossJoin(F.broadcast(m))
 

@@ -62,10 +62,17 @@ def gzipped(payload: Column) -> Column:
     return pandas_udf(_gzipped, "binary")(payload)
 
 
+def utf8(data: Column) -> Column:
+    """Bytes as text, null where they aren't UTF-8."""
+    return F.try_validate_utf8(data.cast("string"))
+
+
 def text_of(payload: Column) -> Column:
-    """JSON text of a payload: gzip opened, base64 of JSON decoded, else UTF-8."""
-    t = F.decode(gunzipped(payload), "UTF-8")
-    return F.when(F.ltrim(t).rlike(r"^[\[{]"), t).otherwise(F.decode(F.try_to_binary(F.trim(t), F.lit("base64")), "UTF-8"))
+    """JSON text of a payload: gzip opened, base64 of JSON decoded, else UTF-8; null where there is none."""
+    t = utf8(gunzipped(payload))
+    inner = utf8(F.try_to_binary(F.trim(t), F.lit("base64")))
+    json = lambda c: F.when(F.ltrim(c).rlike(r"^[\[{]"), c)
+    return F.coalesce(json(t), json(inner))
 
 
 def opened(raw: DataFrame, column: str = "payload") -> DataFrame:
@@ -75,7 +82,7 @@ def opened(raw: DataFrame, column: str = "payload") -> DataFrame:
     # a queue body or a stream record holds text of its own: at most two layers are taken off
     for _ in range(2):
         body, data = F.get_json_object("_t", "$.body"), F.get_json_object("_t", "$.kinesis.data")
-        inner = F.coalesce(F.when(F.ltrim(body).startswith("{"), body), F.decode(F.try_to_binary(data, F.lit("base64")), "UTF-8"))
+        inner = F.coalesce(F.when(F.ltrim(body).startswith("{"), body), utf8(F.try_to_binary(data, F.lit("base64"))))
         t = t.withColumn("_t", F.coalesce(inner, F.col("_t")))
     cloud = F.from_json("_t", CLOUD_EVENT)
     records = F.from_json(F.get_json_object("_t", "$.Records"), f"array<struct<{TRAIL_RECORD.replace(' string', ':string').replace(' struct', ':struct')}>>")
