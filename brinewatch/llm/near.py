@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from brinewatch.llm.components import components
-from brinewatch.llm.tables import attached, saved, sorted_groups
+from brinewatch.llm.tables import attached, dropped, saved, sorted_groups
 from brinewatch.llm.words import mix, word_batches
 
 BLOCK = 1024  # classes of a list in a task, and of a cluster
@@ -332,6 +332,7 @@ def near_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int
     lists = lists.groupBy("n", "lead", "s1", "s2").agg(F.min("value").alias("value")).select("value", "lead", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     held = own.join(lists, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("value", "blocks", "lead"))).alias("held"))  # k - s + 1 at most
     held = saved(held, "held")
+    dropped(own)
     members = held.join(marked(retained, "node", held), "node").select("node", "n_shingles", "sketch", "held", F.posexplode("held").alias("at", "list"))
     members = members.select("node", "n_shingles", "sketch", F.slice("held.value", F.lit(1), F.col("at")).alias("earlier"), "list.*")
     least = tuple(least_shared(m, threshold, 1e-10) for m in range(2 * k + 1))
@@ -339,6 +340,8 @@ def near_groups(docs: DataFrame, width: int = 5, threshold: float = 0.8, k: int
     clusters = two_passes(members, estimated, "loose").withColumnRenamed("component", "value")
     sizes = clusters.join(retained.select("node", "n_shingles"), "node").groupBy("value").agg(F.min("node").alias("lead"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_VALUES)).alias("blocks"))
     chosen = saved(clusters.join(classes, "node").join(sizes, "value").select(F.col("first_doc").alias("_id"), "node", "value", "blocks", "lead"), "chosen")
+    dropped(held)
+    dropped(retained)
 
     def confirmed(df: DataFrame) -> DataFrame:  # one doc_id of each class gives the whole set
         own = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
