@@ -279,21 +279,12 @@ def grouped(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def marked(docs: DataFrame, key: str, asked: DataFrame) -> DataFrame:
-    """Rows of docs whose key may be among asked's: a bitmap of MARKS bits, of fixed size whatever the data, is set in Spark and broadcast, so that most texts that
+    """Rows of docs whose key may be among asked's: a bitmap of MARKS bits, of fixed size whatever the data, is set and broadcast as rows of 32 bits, so that most texts that
     nothing asks for are not shuffled. (Where more keys are asked than there are bits, more pass; none that is asked for goes.)"""
     bit = F.pmod(F.xxhash64(key), F.lit(MARKS))
-    words = asked.select(key).distinct().select(F.floor(bit / 32).alias("w"), F.pow(F.lit(2.0), F.pmod(bit, F.lit(32))).cast("bigint").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bits = np.zeros(MARKS // 32, np.uint32)
-    for r in words.toLocalIterator():  # MARKS / 32 rows at most
-        bits[r.w] = r.b
-    held = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column("_bit").to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array((held.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)).drop_columns(["_bit"])
-
-    return docs.where(F.col(key).isNotNull()).withColumn("_bit", bit.cast("bigint")).mapInArrow(run, docs.schema)
+    spot = {"_word": F.floor(bit / 32), "_at": F.pmod(bit, F.lit(32)).cast("int")}
+    words = asked.select(key).distinct().withColumns(spot).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _at)")).alias("_bits"))  # MARKS / 32 rows at most
+    return docs.withColumns(spot).join(F.broadcast(words), "_word").where("shiftright(_bits, _at) & 1 = 1").select(*docs.columns)
 
 
 def two_passes(df: DataFrame, meet: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
