@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from brinewatch.operators import graphs, series
-from brinewatch.sources.tables import EV, events, read
+from brinewatch.sources.tables import EV, cut, events, read
 
 # Decay rates of beliefs an hour, changes of belief by evidence, and shares of modifiers.
 RATES = {"active_attack": -0.02, "data_exfiltration": -0.03, "privilege_escalation": -0.04, "lateral_movement": 0.01}
@@ -156,6 +156,35 @@ def credible_intervals(ev: DataFrame, level: float = 0.95) -> DataFrame:
     return c.select("actor", "alpha", "beta", *(F.round(beta_quantile(F.lit(q), F.col("alpha").cast("double"), F.col("beta").cast("double")), 6).alias(n) for n, q in (("low", (1 - level) / 2), ("high", (1 + level) / 2))))
 
 
+def _two_sided(t2: pd.Series, df: pd.Series) -> pd.Series:
+    x = df.to_numpy(float) / (df.to_numpy(float) + t2.to_numpy(float))
+    return pd.Series(np.clip(_beta_below(x, df.to_numpy(float) / 2, np.full(len(x), 0.5)), 0.0, 1.0))
+
+
+def trend_significance(ev: DataFrame) -> DataFrame:
+    """Correlation of each action's daily means with the day, the two-sided p-value of Student's t for it, and how strong that is (over .7, over .4)."""
+    a = series.daily(ev).groupBy("action").agg(F.corr("x", "day").alias("r"), F.count("*").alias("n")).where("n >= 3 and r is not null")
+    df = (F.col("n") - 2).cast("double")
+    t2 = F.col("r") * F.col("r") * df / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-12))
+    strength = F.when(F.abs("r") > 0.7, "strong").when(F.abs("r") > 0.4, "moderate").otherwise("weak")
+    return a.select("action", "n", F.round("r", 6).alias("r"), F.round(pandas_udf(_two_sided, "double")(t2, df), 6).alias("p"), strength.alias("strength"))
+
+
+def children_updated(edges: DataFrame, start: int, seen: float = 0.9, depth: int = 2) -> DataFrame:
+    """Probabilities after a start node's changed to `seen`, level by level: a child not yet reached becomes 1 less the product of (1 - p e) over parents of the level before and of
+    (1 - p) over its other parents, e being .9 of the edge's weight. Nodes begin at (node mod 7) / 10."""
+    e = cut(edges.groupBy("src", "dst").agg((0.9 * F.max("weight")).alias("e")))
+    first = F.when(F.col("node") == start, F.lit(seen)).otherwise((F.col("node") % 7) / 10.0)
+    state = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().select("node", first.alias("p"), F.when(F.col("node") == start, 0).alias("level")))
+    for k in range(1, depth + 1):
+        met = e.join(state.select(F.col("node").alias("src"), F.col("p").alias("q"), F.col("level").alias("from")), "src")
+        front = F.coalesce(F.col("from") == k - 1, F.lit(False))
+        new = met.groupBy(F.col("dst").alias("node")).agg(F.max(front.cast("int")).alias("reached"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.when(front, F.col("q") * F.col("e")).otherwise(F.col("q")), F.lit(1e-12)))))).alias("new")).where("reached = 1")
+        taken = F.col("level").isNull() & F.col("new").isNotNull()
+        state = cut(state.join(new, "node", "left").select("node", F.when(taken, F.col("new")).otherwise(F.col("p")).alias("p"), F.when(taken, k).otherwise(F.col("level")).alias("level")))
+    return state.select("node", F.round("p", 6).alias("p"), F.col("level").cast("bigint").alias("level"))
+
+
 def conditional(ev: DataFrame) -> DataFrame:
     """Probability of an error of each actor (its Beta mean) under its conditions: the geometric mean of the modifiers that apply (skill, defence, time pressure, risk of detection)."""
     a = ev.groupBy("actor").agg(((F.count(F.when(F.col("action") == "error", 1)) + 2) / (F.count("*") + 7)).alias("mean"))
@@ -213,8 +242,8 @@ def _sessions(s, d):
 
 QUERIES = {
     "m3_evolution": _e(belief_evolution), "m3_summary": _e(belief_summary), "m5_evidence": _e(evidence), "m9_simulation": lambda s, d: simulation(s), "m10_intervals": _e(credible_intervals),
-    "m11_assessment": _e(assessment), "m23_conditional": _e(conditional), "a14_deception": _e(deception), "a15_sessions": _sessions,
-} | graphs.on_trade({"m6_paths": (path_probabilities,), "m7_hypotheses": (hypotheses,), "r13_monte_carlo": (monte_carlo_risk,)})
+    "m11_assessment": _e(assessment), "m12_significance": _e(trend_significance), "m23_conditional": _e(conditional), "a14_deception": _e(deception), "a15_sessions": _sessions,
+} | graphs.on_trade({"m4_children": (children_updated, 0), "m6_paths": (path_probabilities,), "m7_hypotheses": (hypotheses,), "r13_monte_carlo": (monte_carlo_risk,)})
 
 
 def _u(*parts: str) -> str:
@@ -223,6 +252,15 @@ def _u(*parts: str) -> str:
 
 _B = EV + """, bl AS (SELECT actor, round(1 / (1 + exp(-(ln(0.1 / 0.9) + sum(ln(CASE action WHEN 'error' THEN 0.8 WHEN 'purchase' THEN 0.6 ELSE 0.45 END / 0.5))))), 6) AS belief FROM ev GROUP BY actor), hy AS (SELECT *, ['active_attack', 'data_exfiltration', 'privilege_escalation', 'lateral_movement', 'other'][actor % 5 + 1] AS hypothesis FROM bl)"""
 _S = graphs._TRADE + """, tw AS (SELECT src, dst, ln(0.9 * weight * (1 - ((src + dst) % 5) / 10.0)) AS weight FROM tr)""" + graphs._paths(3, "src % 4 = 0").replace(" FROM tr ", " FROM tw ").replace("JOIN tr ON ps.dst = tr.src", "JOIN tw tr ON ps.dst = tr.src") + ", pp AS (SELECT src, dst, path, round(exp(risk), 5) AS p FROM pa)"
+
+
+def _children(depth: int) -> str:
+    sql = graphs._TRADE + ", ed AS (SELECT src, dst, 0.9 * max(weight) AS e FROM tr GROUP BY ALL), z0 AS (SELECT node, CASE WHEN node = 0 THEN 0.9 ELSE (node % 7) / 10.0 END::DOUBLE AS p, CASE WHEN node = 0 THEN 0 END AS level FROM (SELECT src AS node FROM tr UNION SELECT dst FROM tr))"
+    for k in range(1, depth + 1):
+        sql += f", y{k} AS (SELECT dst AS node, 1 - exp(sum(ln(greatest(1 - CASE WHEN level = {k - 1} THEN p * e ELSE p END, 1e-12)))) AS q FROM ed JOIN z{k - 1} ON node = src GROUP BY dst HAVING bool_or(level = {k - 1})), z{k} AS (SELECT z.node, CASE WHEN level IS NULL AND q IS NOT NULL THEN q ELSE p END AS p, CASE WHEN level IS NULL AND q IS NOT NULL THEN {k} ELSE level END AS level FROM z{k - 1} z LEFT JOIN y{k} y ON y.node = z.node)"
+    return sql + f" SELECT node, round(p, 6) AS p, CAST(level AS BIGINT) AS level FROM z{depth}"
+
+
 _RLIKE = lambda p: f"regexp_matches(c, '{p}')"
 ORACLE = {
     "m3_evolution": _B + """, x AS (SELECT actor, hypothesis, h, round(least(1.0, belief * exp(h * CASE hypothesis WHEN 'active_attack' THEN -0.02 WHEN 'data_exfiltration' THEN -0.03 WHEN 'privilege_escalation' THEN -0.04 WHEN 'lateral_movement' THEN 0.01 ELSE -0.05 END)), 6) AS p FROM hy, range(0, 25, 6) t(h))
@@ -231,6 +269,7 @@ ORACLE = {
  SELECT hypothesis, count(*) AS n, first(actor ORDER BY belief DESC, actor) AS likeliest, count(*) FILTER (confidence > 0.7) AS confident FROM hy JOIN cf USING (actor) GROUP BY hypothesis""",
     "m5_evidence": EV.replace("WITH ev", "WITH RECURSIVE ev") + """, o AS (SELECT actor, least(value / 100, 1.0) AS c, CASE action WHEN 'error' THEN 0.3 WHEN 'signup' THEN 0.2 WHEN 'view' THEN -0.1 WHEN 'click' THEN -0.4 END::DOUBLE AS d, row_number() OVER (PARTITION BY actor ORDER BY us, event_id) AS rn FROM ev),
  f AS (SELECT actor, 0::BIGINT AS n, 0.1::DOUBLE AS p FROM o WHERE rn = 1 UNION ALL SELECT f.actor, f.n + 1, CASE WHEN d IS NULL THEN p WHEN d > 0 THEN least(1.0, p + c * d) ELSE greatest(0.0, p + c * d) END FROM f JOIN o ON o.actor = f.actor AND o.rn = f.n + 1) SELECT actor, max(n) AS n, round(max_by(p, n), 6) AS p FROM f GROUP BY actor""",
+    "m4_children": _children(2),
     "m6_paths": _S + " SELECT * FROM pp WHERE p > 0.1",
     "m7_hypotheses": _S + """, a AS (SELECT count(*) FILTER (src % 3 = 1 AND dst % 3 = 1 AND weight > 0.3) AS links, count(*) FILTER (dst % 6 = 5) AS o FROM tr), n AS (SELECT count(*) AS n FROM (SELECT src AS node FROM tr UNION SELECT dst FROM tr) WHERE node % 3 = 1)
  SELECT 'targeted_attack_' || dst AS hypothesis, max(p)::DOUBLE AS p FROM pp WHERE dst % 5 = 0 GROUP BY dst UNION ALL SELECT 'lateral_movement', round(least(0.8, links / (0.5 * n)), 5)::DOUBLE FROM a, n WHERE links / (0.5 * n) > 0.3 UNION ALL SELECT 'data_exfiltration', round(least(0.9, 0.3 * o), 5)::DOUBLE FROM a WHERE 0.3 * o > 0.2""",

@@ -153,12 +153,32 @@ def jewel_access(ev: DataFrame) -> DataFrame:
     return a.select("resource", "actors", "n", F.round(score, 6).alias("exposure"))
 
 
+def multiplied_paths(edges: DataFrame, depth: int = 3, least: float = 1.5) -> DataFrame:
+    """Simple paths whose risk, the sum of weights times their relation's multiplier (1, 1.5 or 2 by (src + dst) mod 3), is at least so much."""
+    e = edges.select("src", "dst", F.round(F.col("weight") * (1 + ((F.col("src") + F.col("dst")) % 3) * 0.5), 3).alias("weight"))
+    return g.paths(e, depth).where(F.col("risk") >= least)
+
+
+def jewel_alerts(ev: DataFrame) -> DataFrame:
+    """Uses of the resources whose number ends in 0: critical for errors, high for purchases, medium where the actor is new to the resource, else low."""
+    first = F.row_number().over(W.partitionBy("resource", "actor").orderBy("us", "event_id")) == 1
+    severity = F.when(F.col("action") == "error", "critical").when(F.col("action") == "purchase", "high").when(first, "medium").otherwise("low")
+    return ev.where("k % 10 = 0").select("event_id", "resource", "actor", severity.alias("severity"))
+
+
+def jewels_ranked(ev: DataFrame, least: int = 5) -> DataFrame:
+    """Jewels found by use (a share of purchases and errors over two fifths and so many actors) with their exposure, the most exposed first."""
+    a = ev.groupBy("resource").agg(F.countDistinct("actor").alias("actors"), F.round(F.avg(F.when(F.col("action").isin("purchase", "error"), 1.0).otherwise(0.0)), 6).alias("hot"))
+    found = a.where((F.col("actors") >= least) & (F.col("hot") > 0.4))
+    return found.select("resource", "actors", "hot", F.row_number().over(W.orderBy(F.desc("hot"), "resource")).cast("bigint").alias("place"))  # a row a jewel
+
+
 def _e(f, *a):
     return lambda s, d: f(events(s, d), *a)
 
 
-QUERIES = {"a5_converging": _e(converging), "a12_jewel_access": _e(jewel_access)} | g.on_trade({
-    "t2_ancestors": (ancestors,), "t3_first_paths": (first_paths,), "t7_highest_risk": (highest_risk,), "g8_merged_edges": (merged_edges,), "g11_neighbours": (neighbours,), "g13_subgraph": (subgraph,), "t16_betweenness": (betweenness,),
+QUERIES = {"a5_converging": _e(converging), "a12_jewel_access": _e(jewel_access), "a12_alerts": _e(jewel_alerts), "a12_ranked": _e(jewels_ranked)} | g.on_trade({
+    "t2_ancestors": (ancestors,), "t3_first_paths": (first_paths,), "t6_multiplied": (multiplied_paths,), "t7_highest_risk": (highest_risk,), "g8_merged_edges": (merged_edges,), "g11_neighbours": (neighbours,), "g13_subgraph": (subgraph,), "t16_betweenness": (betweenness,),
     "t19_attack_surface": (attack_surface,), "t20_longest_chains": (longest_chains,), "t21_gini": (gini,), "a9_relays": (relays,), "r6_node_risk": (node_risk,), "r12_markov": (markov,),
 })
 
@@ -176,6 +196,9 @@ def _markov(n: int) -> str:
 
 
 ORACLE = {
+    "t6_multiplied": _T + ", tw AS (SELECT src, dst, round(weight * (1 + ((src + dst) % 3) * 0.5), 3)::DOUBLE AS weight FROM tr)" + g._paths(3).replace("FROM tr WHERE", "FROM tw WHERE").replace("JOIN tr ON ps.dst = tr.src", "JOIN tw tr ON ps.dst = tr.src") + " SELECT src, dst, path, hops, round(risk, 6)::DOUBLE AS risk FROM pa WHERE risk >= 1.5",
+    "a12_alerts": g.EV + " SELECT event_id, resource, actor, CASE WHEN action = 'error' THEN 'critical' WHEN action = 'purchase' THEN 'high' WHEN row_number() OVER (PARTITION BY resource, actor ORDER BY us, event_id) = 1 THEN 'medium' ELSE 'low' END AS severity FROM ev WHERE k % 10 = 0",
+    "a12_ranked": g.EV + ", a AS (SELECT resource, count(DISTINCT actor) AS actors, round(avg((action IN ('purchase', 'error'))::INT), 6) AS hot FROM ev GROUP BY resource) SELECT *, row_number() OVER (ORDER BY hot DESC, resource) AS place FROM a WHERE actors >= 5 AND hot > 0.4",
     "t2_ancestors": _T + ", bk AS (SELECT dst AS src, src AS dst FROM tr)" + g._reach(2, "bk") + " SELECT root AS node, node AS ancestor, hops FROM rc",
     "t3_first_paths": _T + g._paths(3) + " SELECT src, dst, hops, path FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY hops, path) AS r FROM pa) WHERE r = 1",
     "t7_highest_risk": _BEST + " SELECT src, dst, path, hops, risk FROM bp",

@@ -6,9 +6,9 @@ first rows look at the last range before that has records, through one more wind
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from brinewatch.sources.tables import DAY, EV, cut, events
+from brinewatch.sources.tables import EV, cut, events
 
 GENESIS = "0" * 64
 RANGE = 10_000

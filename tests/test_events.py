@@ -145,3 +145,9 @@ def test_uuid5_and_wildcards(spark):
     assert got == [str(uuid.uuid5(ns, n)) for n in names]
     assert spark.createDataFrame([("AN example teXt",)], "n string").select(predicates.titled(F.col("n"))).first()[0] == "An Example Text"
     assert "iam:*" in escalation.WILDCARDS
+
+
+def test_trend_p_values(spark):
+    # known values of Student's t: r = .5 of ten and r = .9 of five
+    got = spark.createDataFrame([(0.25 * 8 / 0.75, 8.0), (0.81 * 3 / 0.19, 3.0)], "t2 double, df double").select(F.pandas_udf(attack._two_sided, "double")("t2", "df").alias("p")).collect()
+    assert [round(r.p, 4) for r in got] == [0.1411, 0.0374]
