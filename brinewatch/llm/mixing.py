@@ -18,7 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from brinewatch.llm.tables import attached, saved
+from brinewatch.llm.tables import attached, coded, decoded, saved
 
 BLOCK_ROWS = 2048
 HEAP = 2048
@@ -86,8 +86,7 @@ def mixed(docs: DataFrame, entropy: float | None = None, repetition: float | Non
     identity = F.xxhash64(F.lit(seed), *[c for c in ("doc_id", "text") if c in docs.columns])
     if "doc_id" in docs.columns:  # rows without one may be equal in all they have: they are dealt by where they stand
         identity = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.monotonically_increasing_id())).otherwise(identity)
-    # the row itself is one column, so that its names can't clash with ours
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_source"), tokens(F.col("text")).alias("_tokens"), identity.alias("_deal"))
+    rows = docs.select(*coded(docs.columns), key.alias("_source"), tokens(F.col("text")).alias("_tokens"), identity.alias("_deal"))
     totals = saved(rows.groupBy("_source").agg(F.count("*").alias("_rows"), F.sum("_tokens").alias("_total")), "sources")
     whole = totals.agg(F.sum("_total")).first()[0]
     lp = F.log(F.col("_total") / F.lit(float(whole or 1)))
@@ -105,4 +104,4 @@ def mixed(docs: DataFrame, entropy: float | None = None, repetition: float | Non
     copies = F.floor("_passes") + F.when(F.col("_offset") < part, 1).otherwise(0)
     drawn = placed.withColumn("_n", copies.cast("bigint")).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
     position = (F.col("_copy") * F.col("_total") + F.col("_offset")) / (F.col("_passes") * F.col("_total"))
-    return drawn.withColumn("_position", position).select("_row.*", *ADDED)
+    return drawn.withColumn("_position", position).select(*decoded(docs.columns), *ADDED)

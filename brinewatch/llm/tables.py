@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,16 @@ def attached(df: DataFrame, small: DataFrame, key: str, salts: int = 16) -> Data
     return df.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)).cast("int")).join(salted, [key, salt], "left").drop(salt)
 
 
+def coded(names: list[str]) -> list[Column]:
+    """Columns under numbers, so that an operator's own names can't clash with them; each is still pruned where nothing asks for it."""
+    return [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)]
+
+
+def decoded(names: list[str], but: tuple[str, ...] = ()) -> list[Column]:
+    """The columns under their names again, but for some."""
+    return [F.col(f"_c{i}").alias(c) for i, c in enumerate(names) if c not in but]
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has (names don't differ by case)."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brinewatch.llm.tables import attached, saved
+from brinewatch.llm.tables import attached, coded, decoded, saved
 
 SUPPORT = 0.005
 LEAST = 10
@@ -91,10 +91,9 @@ def judged(pages: DataFrame, rules: dict[str, str], labelled: DataFrame) -> Data
     held = F.substring(F.md5("url"), 1, 1) < "5"
     index = mined(labelled.select("bad", tokens(*parts_of(F.col("url"))).alias("tokens"), F.coalesce(held, F.lit(False)).alias("held")))
     host, path = parts_of(F.col("url"))
-    # the page itself is one column, so that its names can't clash with ours
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"), host.alias("host"), path.alias("path")).withColumn("tokens", tokens(F.col("host"), F.col("path")))
+    rows = pages.select(*coded(pages.columns), host.alias("host"), path.alias("path")).withColumn("tokens", tokens(F.col("host"), F.col("path")))
     distinct = rows.select("tokens").distinct()  # pages of one host share most
     hits = saved(holding(distinct.where("size(tokens) > 0"), index).select("tokens").distinct().withColumn("_hit", F.lit(True)), "url-hits")
     rule, verdict = listed(rules, F.col("host"), F.col("path"))
     out = attached(rows, hits, "tokens").withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("_hit"), "block").otherwise("allow")))
-    return out.select(*[F.col(f"_row.`{c}`") for c in pages.columns if c not in ADDED], *ADDED)
+    return out.select(*decoded(pages.columns, ADDED), *ADDED)
