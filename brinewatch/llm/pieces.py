@@ -33,6 +33,7 @@ BLANK = "▁"
 CHUNK = 32_768
 FAN = 32  # matrices that a task combines
 KEPT_WORDS = 1_000_000
+PART = 1_000  # texts whose words a task holds
 KEPT_PAIRS = 1_000_000
 LONGEST_KEPT = 48
 START = ""  # the state before the first piece
@@ -68,7 +69,8 @@ class Pieces:
             raise ValueError("a piece spans the start of a word")
         inner = "".join(map(re.escape, sorted(joined)))
         self.word = re.compile(f"{BLANK}+[{inner}]*|[{inner}]+|[^{inner}{BLANK}]")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}  # by the first, then the second piece
+        self.n_pairs = 0
         self.known = Known(self)
 
     def merged(self, s: str, cut: int = 0) -> list[str] | None:
@@ -94,19 +96,26 @@ class Pieces:
 
     def follows(self, a: str, b: str) -> bool:
         """Whether b may come after a (START: first)."""
-        ok = self.pairs.get((a, b))
+        after = self.pairs.get(a)
+        ok = None if after is None else after.get(b)
         if ok is None:
-            if len(self.pairs) >= KEPT_PAIRS:
+            if self.n_pairs >= KEPT_PAIRS:
                 self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(a + b, len(a)) == ([a, b] if a else [b])
+                self.n_pairs = 0
+            self.n_pairs += 1
+            ok = self.pairs.setdefault(a, {})[b] = self.merged(a + b, len(a)) == ([a, b] if a else [b])
         return ok
 
     def scan(self, s: str, at: int, state: str) -> list[str | None]:
         """For every place after at, the piece that ends there on the one path of finite weight from state, or None."""
         best: list[str | None] = [None] * (len(s) + 1)
         best[at] = state
-        pieces, pairs, follows, lengths, short = self.id, self.pairs, self.follows, self.lengths, (2, 1)
-        for j in range(at + 1, len(s) + 1):
+        return self.scanned(s, at, best, at)
+
+    def scanned(self, s: str, at: int, best: list[str | None], done: int) -> list[str | None]:
+        """The same, where places up to done are known."""
+        pieces, pairs, follows, lengths, short, none = self.id, self.pairs, self.follows, self.lengths, (2, 1), {}
+        for j in range(done + 1, len(s) + 1):
             for n in lengths.get(s[j - 3 : j], short) if j > 3 else range(j, 0, -1):
                 i = j - n
                 if i < at or (came := best[i]) is None:
@@ -114,7 +123,7 @@ class Pieces:
                 t = s[i:j]
                 if n > 1 and t not in pieces:
                     continue
-                ok = pairs.get((came, t))
+                ok = pairs.get(came, none).get(t)
                 if follows(came, t) if ok is None else ok:
                     best[j] = t
                     break
@@ -142,6 +151,26 @@ class Pieces:
         """Ids of a whole text as little-endian 32-bit integers."""
         return b"".join(map(self.known.__getitem__, self.word.findall(signs(text)))) if text else b""
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of many texts. Words not known yet are scanned in order of their letters, so that each goes on where it parts from the one before."""
+        words = [self.word.findall(signs(t)) if t else [] for t in texts]
+        known = self.known
+        new = {w for ws in words for w in ws if w not in known and len(w) <= LONGEST_KEPT}
+        if len(known) + len(new) > KEPT_WORDS:
+            known.clear()
+            new = {w for ws in words for w in ws if len(w) <= LONGEST_KEPT}
+        last, best = "", [START]
+        for w in sorted(new):
+            n = 0
+            for x, y in zip(last, w, strict=False):
+                if x != y:
+                    break
+                n += 1
+            best = self.scanned(w, 0, best[: n + 1] + [None] * (len(w) - n), n)
+            known[w] = self.ids(self.trace(best, 0, len(w)))
+            last = w
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<i4").tolist()))
         return raw.decode(errors="replace")[1:]  # without the blank in front
@@ -282,10 +311,10 @@ def encode_mapper(model, text_out: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for b in batches:
-            for s in range(0, b.num_rows, 500):
-                part = b.slice(s, 500)
+            for s in range(0, b.num_rows, PART):
+                part = b.slice(s, PART)
                 texts = part.column("text").to_pylist()
-                ids = [p.encode(t) for t in texts]
+                ids = p.encode_all(texts)
                 yield _row_batch(part.column("doc_id"), ids, [(p.decode(i) if i else "") == (t or "") for i, t in zip(ids, texts, strict=True)], text_out)
 
     return run
