@@ -34,7 +34,12 @@ def rows_of(names, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+#: NAME_whole is NAME's code and SQL over more edges; these stand for all of them here.
+WHOLE = {"t1_reach_whole", "t5_paths_whole", "r14_noisy_or_whole", "t17_cycles_whole"}
+NAMES = sorted(n for n in registry.oracle_sql() if not n.endswith("_whole") or n in WHOLE)
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_matches_duckdb(spark, db, name):
     got = registry.queries()[name](spark, SF)
     want = db.execute(registry.oracle_sql()[name])
