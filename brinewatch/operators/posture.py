@@ -33,7 +33,7 @@ def composite(ev: DataFrame) -> DataFrame:
     parts = {n: w * F.col(n) for n, w in WEIGHTS.items()}
     score = sum(parts.values(), F.lit(0.0))
     top = F.array_max(F.array(*(F.struct(F.round(p, 6).alias("p"), F.lit(n).alias("n")) for n, p in parts.items())))
-    return x.select("actor", *WEIGHTS, F.round(score, 4).alias("score"), baselines.tier(F.round(score, 4)).alias("tier"), top["n"].alias("dominant"))
+    return x.select("actor", *WEIGHTS, F.round(score, 6).alias("score"), baselines.tier(F.round(score, 6)).alias("tier"), top["n"].alias("dominant"))
 
 
 def risk_report(ev: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ QUERIES = {
 _HEAD = PLACED.replace("WITH ev", "WITH RECURSIVE ev") + escalation._WAYS
 _EXPO = """, ne AS (SELECT actor, min(hops) + 1 AS hops FROM asm WHERE hops IS NOT NULL GROUP BY actor), ex AS (SELECT actor, coalesce(any_value(hops), 4) AS hops, max((k % 5 = 0)::INT)::BIGINT AS sensitive FROM pl LEFT JOIN ne USING (actor) GROUP BY actor),
  eo AS (SELECT *, round(0.5 * CASE WHEN hops <= 1 THEN 100 WHEN hops = 2 THEN 75 WHEN hops = 3 THEN 50 ELSE 25 END + 0.3 * least(60, (4 - least(hops, 4)) * 15.0) + 6.0 * sensitive, 4)::DOUBLE AS exposure FROM ex)"""
-_COMP = _HEAD + _EXPO + baselines._RISK.replace(EV, "") + """, gr AS (SELECT actor, round(0.6 * least(50, 12 * ln(1 + count(DISTINCT resource))), 4) AS graph FROM ev GROUP BY actor), co AS (SELECT actor, identity, exposure, velocity, graph, round(0.35 * identity + 0.3 * exposure + 0.2 * velocity + 0.15 * graph, 4) AS score, round(0.35 * identity, 6) AS p1, round(0.3 * exposure, 6) AS p2, round(0.2 * velocity, 6) AS p3, round(0.15 * graph, 6) AS p4
+_COMP = _HEAD + _EXPO + baselines._RISK.replace(EV, "") + """, gr AS (SELECT actor, round(0.6 * least(50, 12 * ln(1 + count(DISTINCT resource))), 4) AS graph FROM ev GROUP BY actor), co AS (SELECT actor, identity, exposure, velocity, graph, round(0.35 * identity + 0.3 * exposure + 0.2 * velocity + 0.15 * graph, 6) AS score, round(0.35 * identity, 6) AS p1, round(0.3 * exposure, 6) AS p2, round(0.2 * velocity, 6) AS p3, round(0.15 * graph, 6) AS p4
  FROM rs JOIN eo USING (actor) JOIN gr USING (actor)), cs AS (SELECT actor, identity, exposure, velocity, graph, score, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 35 THEN 'medium' WHEN score >= 15 THEN 'low' ELSE 'minimal' END AS tier, CASE greatest(p1, p2, p3, p4) WHEN p3 THEN 'velocity' WHEN p1 THEN 'identity' WHEN p4 THEN 'graph' ELSE 'exposure' END AS dominant FROM co)"""
 _DAILY = EV + f", d AS (SELECT action, us // {DAY} AS day, avg(value) AS x FROM ev GROUP BY ALL)"
 ORACLE = {

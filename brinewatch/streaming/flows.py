@@ -106,12 +106,12 @@ QUERIES = {
     "k2_fan_out": split,
     "k5_windowed_counts": lambda s, d: run_now(counts(source(s, d)), "complete"),
     "k6_unique_events": lambda s, d: drained(unique(source(s, d)).select("event_id", "user_id")).groupBy("user_id").agg(F.count("*").alias("n")),
-    "s9_drift": lambda s, d: latest(drift(source(s, d)), "user_id").select("user_id", "n", F.round("mean", 5).alias("mean"), F.round("deviation", 5).alias("deviation"), F.round("worst", 4).alias("worst")),
+    "s9_drift": lambda s, d: latest(drift(source(s, d)), "user_id").select("user_id", "n", F.round("mean", 9).alias("mean"), F.round("deviation", 7).alias("deviation"), F.round("worst", 4).alias("worst")),
 }
 ORACLE = {
     "k2_fan_out": "SELECT CASE WHEN event_type = 'error' THEN 'dead' ELSE 'accepted' END AS folder, event_type, count(*) AS n FROM events GROUP BY ALL",
     "k5_windowed_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "k6_unique_events": "SELECT user_id, count(DISTINCT event_id) AS n FROM events GROUP BY user_id",
     "s9_drift": """WITH p AS (SELECT user_id, value, count(*) OVER w AS n, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- z AS (SELECT user_id, coalesce(max(abs(value - m) / s) FILTER (n > 1 AND s > 1e-6), 0) AS worst FROM p GROUP BY user_id) SELECT e.user_id, count(*) AS n, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS deviation, round(any_value(worst), 4) AS worst FROM events e JOIN z USING (user_id) GROUP BY e.user_id""",
+ z AS (SELECT user_id, coalesce(max(abs(value - m) / s) FILTER (n > 1 AND s > 1e-6), 0) AS worst FROM p GROUP BY user_id) SELECT e.user_id, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_pop(value), 7) AS deviation, round(any_value(worst), 4) AS worst FROM events e JOIN z USING (user_id) GROUP BY e.user_id""",
 }
