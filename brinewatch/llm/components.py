@@ -20,7 +20,7 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """
 
     def written(df: DataFrame, step: str, files: int | None = None) -> tuple[DataFrame, dict]:
-        seen, df = Observation(), df.distinct()
+        seen = Observation()
         out = saved((df.coalesce(files) if files else df).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), f"{name}-{step}")
         return out, seen.get
 
@@ -30,7 +30,7 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         above = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
         large = hub_joined(e, above, "v", before["n"]).select("u", F.coalesce("m", "v").alias("v"))
         small = hub_joined(large, large.groupBy("u").agg(F.min("v").alias("m")), "u", before["n"])
-        hung, now = written(small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u >= v"), str(k), 8 + before["n"] // FILE_ROWS)
+        hung, now = written(small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u >= v").distinct(), str(k), 8 + before["n"] // FILE_ROWS)
         dropped(e)
         e = hung
         if now == before:
