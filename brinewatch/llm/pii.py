@@ -194,7 +194,7 @@ def _windows(text: str) -> Iterator[tuple[int, int]]:
     at, end = -1, -1
     for m in SIGN.finditer(text):
         s, e = max(0, m.start() - REACH), m.end() + REACH
-        s = max(text.rfind(" ", 0, s), 0) if s else 0
+        s = max(text.rfind(" ", max(end, 0), s), end, 0)  # what lies before the last stretch's end is in it already
         if s > end:
             if end >= 0:
                 yield at, end
