@@ -15,7 +15,10 @@ from brinewatch.llm.mixing import mixed
 from brinewatch.llm.near import near_groups
 from brinewatch.llm.pieces import encoded
 from brinewatch.llm.pii import personal_data
-from brinewatch.llm.tables import read
+from brinewatch.llm.ranked import build, search
+from brinewatch.llm.resample import importance
+from brinewatch.llm.shuffled import sharded
+from brinewatch.llm.tables import dropped, read
 
 #: The vocabulary file; a parameter, never part of this repository.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -82,9 +85,35 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    index = build(read(spark, sf_dir, "documents"))
+    out = search(index, read(spark, sf_dir, "benchmark"))
+    dropped(index.blocks)
+    return out
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 8 shards of equally many rows, in shuffled order; size and digest are those of the shuffled record."""
+    out, text = sharded(read(spark, sf_dir, "documents")), F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
+        F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark texts, its score, and its rank among the quarter that is drawn."""
+    return importance(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_pii_spans, op2_lm_score, op3_minhash_near, op4_kn_quality, op5_media_features, op6_url_rules, op7_mix_sources, op8_quality_rules, op9_sentencepiece, op10_main_text)
-}
+    f.__name__: f
+    for f in (
+        op1_pii_spans, op2_lm_score, op3_minhash_near, op4_kn_quality, op5_media_features, op6_url_rules, op7_mix_sources, op8_quality_rules, op9_sentencepiece, op10_main_text,
+        op11_ranked_search, op12_shards, op13_resample,
+    )
+}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,8 +143,15 @@ _OP6 = f"""WITH p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN s
  ss AS (SELECT s FROM su GROUP BY s HAVING count(*) FILTER (bad) >= (SELECT greatest(10, ceil(0.005 * count(*))) FROM lb WHERE NOT held) AND count(*) FILTER (bad) >= 0.8 * count(*)),
  ok AS (SELECT s FROM ss JOIN lb ON list_has_all(tokens, s) GROUP BY s HAVING count(*) FILTER (bad AND held) >= 1 AND count(*) FILTER (bad AND held) >= 0.8 * count(*) FILTER (held) AND count(*) FILTER (bad) >= 0.8 * (count(*) + 1))
  SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, {_listed(False)} AS rule, coalesce({_listed(True)}, CASE WHEN EXISTS (SELECT 1 FROM ok WHERE list_has_all(tokens, s)) THEN 'block' ELSE 'allow' END) AS verdict FROM tk"""
+_TERMS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_OP11 = f"""WITH t AS (SELECT doc_id, {_TERMS} AS ts FROM documents), dn AS (SELECT doc_id, len(ts) AS n FROM t WHERE len(ts) > 0),
+ s AS (SELECT count(*) AS N, CAST(sum(n) AS BIGINT) AS L FROM dn), m AS (SELECT doc_id, 50 + (50 * dn.n * s.N) // L AS m FROM dn, s),
+ tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM t) GROUP BY ALL), q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+ w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(N) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term),
+ sc AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL HAVING score > 0)
+ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM sc QUALIFY rank <= 50"""
 #: The others' models, spans, fingerprints and permutations are beyond SQL; tests/llm holds their queries against brute force.
-ORACLE = {"op3_minhash_near": _OP3, "op6_url_rules": _OP6}
+ORACLE = {"op3_minhash_near": _OP3, "op6_url_rules": _OP6, "op11_ranked_search": _OP11}
 
 
 def queries() -> dict[str, Query]:

@@ -17,6 +17,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All ASCII signs but letters and digits: what is left between them are terms.
+SIGNS = np.zeros(256, bool)
+SIGNS[[b for b in range(0x80) if not chr(b).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -70,9 +73,9 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off
 
 
-def _segment(data: np.ndarray, s: int, e: int, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segment(data: np.ndarray, s: int, e: int, breaks: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     b = LOWER[data[s:e]]
-    word = ~SPACE[b]
+    word = ~gaps[b]
     edge = np.empty(e - s, bool)
     edge[:1] = word[:1]
     edge[1:] = word[1:] & ~word[:-1]
@@ -92,8 +95,8 @@ def _segment(data: np.ndarray, s: int, e: int, breaks: np.ndarray) -> tuple[np.n
     return mix((total[ends] - total[starts]) * down[starts]), starts + s, ends + s
 
 
-def word_batches(column: pa.Array, size: int = SEGMENT) -> Iterator[Words]:
-    """All words of a text column, in runs of whole documents of about size bytes (a longer document is a run of its own)."""
+def word_batches(column: pa.Array, size: int = SEGMENT, gaps: np.ndarray = SPACE) -> Iterator[Words]:
+    """All words of a text column (parted by the bytes of gaps), in runs of whole documents of about size bytes (a longer document is a run of its own)."""
     data, off = text_buffer(column)
     n, d = len(column), 0
     while d < n:
@@ -102,10 +105,10 @@ def word_batches(column: pa.Array, size: int = SEGMENT) -> Iterator[Words]:
         parts, s, end = [], int(off[d]), int(off[e])
         while s < end:
             stop = min(end, s + SEGMENT)
-            while stop < end and not SPACE[data[stop]]:  # a word is never cut
+            while stop < end and not gaps[data[stop]]:  # a word is never cut
                 stop += 1
             marks = off[d:e]
-            parts.append(_segment(data, s, stop, marks[(marks >= s) & (marks < stop)].astype(np.int64)))
+            parts.append(_segment(data, s, stop, marks[(marks >= s) & (marks < stop)].astype(np.int64), gaps))
             s = stop
         cat = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         doc = np.searchsorted(off[d : e + 1], cat[1], "right") - 1 + d
