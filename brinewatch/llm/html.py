@@ -3,7 +3,8 @@
 Each page's containers are scored by the text they hold themselves, without links. A page votes for the generalised
 tag-class path of the smallest one around its best that holds nearly all its text; Spark counts votes by host and path, and every page is read again at its host's winning path
 (at its own best container where it has no such path or no text there, at the whole body where it has no container). Menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, dialogs and reader comments are left out wherever they stand, by tag, role, class or id.
+footers, sidebars, notices, adverts, forms, scripts, styles, dialogs and reader comments are left out wherever they stand, by tag, role, class or id; what a class or id says doesn't
+count for a container around the page's article (nor a form around it, nor words like has-sidebar), and an article's own header stays.
 
 Character references are decoded, white space is one space, blocks are joined by one space in page order. Null or empty html gives "".
 Pages without tags are one block. Unclosed and stray tags are tolerated; a page of any length and depth takes time and memory in proportion to it.
@@ -32,16 +33,24 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CONTAINERS = {"body", "main", "article", "section", "div", "td", "table", "blockquote", "center", "figure", "dl", "ul", "ol", "fieldset", "details"}
-LEFT_OUT = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "object", "audio", "video", "canvas"}
+LEFT_OUT = {"nav", "header", "footer", "aside", "menu", "dialog", "button", "select", "head", "object", "audio", "video", "canvas"}
+FIELDS = {"input", "select", "textarea", "button"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
-#: Whole words of a class or id (parted at signs and capitals) that mark what is left out.
-MARKS = re.compile(
-    r"ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|sidebars?|menus?|nav|navs|navbar|navigation|breadcrumbs?|headers?|masthead|footers?|notices?|"
-    r"cookies?|consent|gdpr|popups?|modals?|overlay|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widgets?|pagination|pager|toolbar|skip"
+#: Words of a class or id (parted at signs and capitals) that mark what is left out, whatever stands beside them.
+SURE = re.compile(r"ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotions?|sidebars?|navbar|breadcrumbs?|masthead|cookies?|consent|gdpr|popups?|modals?|newsletter|subscribe|signup|disqus|commentlist|pagination|pager|toolbar")
+#: Those that mark it where all words beside them are such words too or say no more than that it is a box, whose, or where.
+MARKS = re.compile(SURE.pattern + r"|banners?|menus?|nav|navs|navigation|headers?|footers?|notices?|overlay|comments?|replies|respond|share|sharing|social|related|recommended|login|search|widgets?|skip")
+BOXES = re.compile(
+    r"[0-9]+|[a-z]|site|page|global|main|primary|secondary|user|reader|readers|mobile|desktop|article|articles|entry|post|posts|story|stories|blog|left|right|top|bottom|upper|lower|inner|outer|sub|fixed|sticky|"
+    r"box|boxes|wrap|wrapper|container|area|block|blocks|panel|section|sections|unit|slot|bar|row|col|column|item|items|list|lists|group|holder|module|zone|region|content|body|form|field|input|btn|button|buttons|icon|icons|link|links|media|text|message|title|heading|thread|count|tools|us|to|js|id|wp|div|new|more"
 )
+#: Words that say how something else is laid out.
+MODIFIERS = {"has", "no", "not", "with", "without", "layout", "open", "closed", "is", "enabled", "disabled", "toggled", "visible"}
 HEADS = {"header", "headers"}
 #: Words beside which a header is the article's own.
 TITLED = {"article", "entry", "post", "story", "content", "main", "title", "section"}
+#: Characters of text for each field (and one more) from which on a form is no form but what stands around a page's text.
+FORM_TEXT = 200
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 NUMBERS = re.compile(r"[0-9]+")
 #: The share of a page's text without links that its main container holds at least.
@@ -49,19 +58,24 @@ NEARLY = 0.95
 
 
 def marked(name: str, whole: bool) -> bool:
-    """Whether a class or id marks what is left out: by one of its words, or by all of them; an article's own header does not count."""
+    """Whether a class or id marks what is left out (if whole: all of its words must); an article's own header does not count, nor does how a page is laid out."""
     words = [w.lower() for w in PARTS.findall(name)]
+    if not MODIFIERS.isdisjoint(words):
+        return False
     marks = [bool(MARKS.fullmatch(w)) and not (w in HEADS and not TITLED.isdisjoint(words)) for w in words]
-    return any(marks) and (all(marks) or not whole)
+    if whole or not any(marks):
+        return any(marks) and all(marks)
+    return any(SURE.fullmatch(w) for w in words) or all(m or BOXES.fullmatch(w) for m, w in zip(marks, words, strict=True))
 
 
-def left_out(tag: str, attributes: dict[str, str]) -> bool:
-    """Paragraphs, headings and parts of lines are left out only where all words of a class or id say so."""
-    if tag in LEFT_OUT or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if tag in ("body", "html", "article", "main"):
-        return False
-    return any(marked(name, tag not in CONTAINERS) for of in ("class", "id") for name in attributes.get(of, "").split())
+def left_out(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether a tag is left out for its own sake; an article's header is part of it."""
+    return tag in LEFT_OUT and not (tag == "header" and in_article) or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+
+
+def named(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a class or id says so; paragraphs, headings and parts of lines are left out only where all words of one do."""
+    return tag not in ("body", "html") and any(marked(name, tag not in CONTAINERS) for of in ("class", "id") for name in attributes.get(of, "").split())
 
 
 def attributes_of(text: str) -> dict[str, str]:
@@ -84,6 +98,8 @@ class Page:
     """A page's containers, each with its parent (0 is the page itself) and path, and its kept text in order.
 
     found holds (container, text, whether in a link); a text of one blank parts blocks. Paths are numbers, so that deep pages stay small.
+    doubtful are containers whose name or kind (a form) says that they are left out, unless they stand around the page's main one; said are articles
+    and mains whose own name says so.
     """
 
     def __init__(self) -> None:
@@ -92,6 +108,10 @@ class Page:
         self.steps: list[tuple[int, str]] = [(0, "")]  # of each path: the path before it and the last step
         self.known: dict[tuple[int, str], int] = {}
         self.found: list[tuple[int, str, bool]] = []
+        self.doubtful: set[int] = set()
+        self.said: set[int] = set()
+        self.title = -1  # the container of the first h1
+        self.fields: Counter[int] = Counter()
 
     def opened(self, inside: int, name: str) -> int:
         key = (self.path[inside], name)
@@ -165,18 +185,59 @@ def blocks(page: str) -> Page:
                 if t == tag:
                     break
             continue
+        if tag in FIELDS:
+            out.fields[inside] += 1
+        if tag == "h1" and not hidden and out.title < 0:
+            out.title = inside
         attributes = attributes_of(inner)
-        drop = left_out(tag, attributes)
-        if not drop and tag not in CONTAINERS:
+        drop = left_out(tag, attributes, open_tags["article"] > 0)
+        doubt = not drop and (tag == "form" or named(tag, attributes))
+        box = tag in CONTAINERS or tag == "form"
+        drop = drop or doubt and not box
+        if not drop and not box:
             continue  # paragraphs and inline tags need no closing
         hidden += drop
         stack.append((tag, drop, not drop))
         open_tags[tag] += 1
         if not drop:
             inside = out.opened(inside, step(tag, attributes))
+            if doubt:
+                (out.said if tag in ("article", "main") else out.doubtful).add(inside)
+    settled(out)
     return out
 
 
+def settled(page: Page) -> None:
+    """Leaves out the text of doubtful containers, but for those around the page's main container and for forms that are mostly text.
+
+    The main one is the article or main of the most text, one outside doubtful containers before others unless it has under a quarter of theirs; without any it is that of the first heading.
+    """
+    if not page.doubtful:
+        return
+    n = len(page.parent)
+    size, fields = [0] * n, [page.fields[i] for i in range(n)]
+    for inside, text, link in page.found:
+        size[inside] += 0 if link else len(text.strip())
+    for i in range(n - 1, 0, -1):
+        size[page.parent[i]] += size[i]
+        fields[page.parent[i]] += fields[i]
+    form = {i for i in page.doubtful if page.tag(i) == "form"}
+    kept = {i for i in form if size[i] >= FORM_TEXT * (fields[i] + 1)}
+    inner = [False] * n
+    for i in range(1, n):
+        inner[i] = inner[page.parent[i]] or (i in page.doubtful and i not in kept)
+    mains = [i for i in range(1, n) if page.tag(i) in ("article", "main") and not (i in page.said and inner[i])]
+    most = max((size[i] for i in mains), default=0)
+    first = max((i for i in mains if not inner[i] and 4 * size[i] >= most), key=lambda i: size[i], default=max(mains, key=lambda i: size[i], default=page.title))
+    while first > 0:
+        kept.add(first)
+        first = page.parent[first]
+    gone = [False] * n
+    for i in range(1, n):
+        gone[i] = gone[page.parent[i]] or (i in page.doubtful and i not in kept)
+    page.found = [x for x in page.found if not gone[x[0]] or x[1] == " "]
+
+
 #: Containers that don't stand alone as the main one.
 PARTIAL = {"ul", "ol", "dl", "td", "table", "blockquote", "figure", "details"}
 

@@ -36,14 +36,17 @@ NO_ID = np.iinfo(np.int64).max
 def lengths(column: pa.Array) -> np.ndarray:
     """How many terms each text has."""
     data, off = text_buffer(column)
-    first, last = int(off[0]), int(off[-1])
-    term = np.empty(last - first + 1, np.int8)
-    np.logical_not(SIGNS[data[first:last]], out=term[1:], casting="unsafe")
-    term[0] = 0
-    begins = (term[1:] > term[:-1]).astype(np.int64)
-    at = off[:-1][off[1:] > off[:-1]] - first
-    begins[at] = term[1:][at]  # a text's first term begins with it
-    return np.diff(np.append(0, np.cumsum(begins))[off - first])
+    out = np.zeros(len(column), np.int64)
+    for s in range(int(off[0]), int(off[-1]), BLOCK):
+        e = min(s + BLOCK, int(off[-1]))
+        term = ~SIGNS[data[max(s - 1, off[0]) : e]]
+        begins = term.copy()
+        begins[1:] &= ~term[:-1]
+        begins = begins[len(begins) - (e - s) :]
+        at = off[(off >= s) & (off < e)]
+        begins[at - s] = ~SIGNS[data[at]]  # a text's first term begins with it
+        out += np.bincount(np.searchsorted(off, np.flatnonzero(begins) + s, "right") - 1, minlength=len(out))
+    return out
 
 
 def impacts(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -167,13 +170,13 @@ def search(index: Index, queries: DataFrame, k: int = 50, name: str = "item_id")
     key = F.col(f"`{name}`")
     results, tables = None, []
     for g in range(groups):
-        rows = pairs.where(F.pmod(F.xxhash64(key), F.lit(groups)) == g).toPandas()  # about GROUP rows
-        if not len(rows):
+        rows = pairs.where(F.pmod(F.xxhash64(key), F.lit(groups)) == g).toArrow()  # about GROUP rows
+        if not rows.num_rows:
             continue
-        number, names = pd.factorize(rows[name], use_na_sentinel=False)
-        asks = Asked(number, rows["term"].to_numpy())
+        names = rows.column(name).combine_chunks().dictionary_encode("encode")
+        asks = Asked(names.indices.to_numpy(), rows.column("term").to_numpy())
         best = saved(_group(index, asks, k), "ranked-best")
-        known = spark.createDataFrame([(i, None if pd.isna(x) else x) for i, x in enumerate(names.tolist())], f"query int, `{name}` {pairs.schema[name].dataType.simpleString()}")
+        known = spark.createDataFrame(list(enumerate(names.dictionary.to_pylist())), f"query int, `{name}` {pairs.schema[name].dataType.simpleString()}")
         tables.append(best)
         part = best.join(F.broadcast(known), "query").select(key, F.col("place").alias("rank"), F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "score")  # known: under GROUP rows
         results = part if results is None else results.unionAll(part)

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import LongType
 
 from brinewatch.llm.tables import attached, coded, decoded, saved, sorted_groups
 
@@ -26,7 +27,7 @@ SEED = 7
 RUN = 4096
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def repeats(hashes: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """How often a hash came before in this task."""
     seen: dict[int, int] = {}

@@ -65,3 +65,47 @@ def test_very_long_pages_and_awkward_rows(spark):
     rows = [(1, "http://a.com/", f"<body><article><p>{word}</p></article></body>", "x"), (2, None, None, "x"), (None, "", "", None), (3, "http://a.com/", "no tags", "x"), (3, "http://a.com/", "no tags", "x")]
     got = html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, path string")).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, word, 3_000_000), (2, "", 0), (3, "no tags", 7), (3, "no tags", 7)]
+
+
+LONG = "<h1>The title</h1><p>" + "Words of the article. " * 26 + "</p>"
+PLAIN = "The title " + ("Words of the article. " * 26).strip()
+AROUND = "<body><nav><a href='/x'>Menu</a></nav>{}<div class='sidebar'><p>Other things to see here.</p></div><div class='comments'><p>nice</p></div><footer>foot</footer></body>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="page has-sidebar"><article>{}</article></div>',
+        '<div class="content no-sidebar">{}</div><div class="short"><p>short one</p></div>',
+        '<div id="wrapper" class="layout-sidebar-left"><div class="text">{}</div></div>',
+        '<div class="search-engines">{}</div>',
+        '<form id="aspnetForm"><input name="state"><article>{}</article></form>',
+        '<form id="aspnetForm"><input name="state"><div class="text">{}</div></form>',
+        '<div class="cookie-policy"><main>{}</main></div>',
+        '<div class="widgets menu-open"><section>{}</section></div>',
+        '<div class="search"><article class="post sponsored">{}</article></div>',
+        '<article>{}</article><div class="related-posts"><article><h3>Other</h3><p>a card of another page</p></article></div>',
+    ],
+)
+def test_marked_wrappers_keep_the_whole_article(page):
+    assert text_of(AROUND.format(page.format(LONG))) == PLAIN
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ('<p>one</p><div class="related-work"><p>two</p></div>', "one two"),
+        ('<p>one</p><ul class="social-policy"><li>two</li></ul>', "one two"),
+        ('<p>one</p><table class="menu-prices"><tr><td>two</td></tr></table>', "one two"),
+        ("<header><h1>Title</h1></header><p>one</p>", "Title one"),
+        ('<p>one</p><form class="signup"><label>Mail</label><input name="m"><button>Go</button></form><p>two</p>', "one two"),
+        ('<p>one</p><div class="related-posts"><p>no</p></div><div class="social-share-buttons">no</div><section id="comments"><article class="comment-body"><p>no</p></article></section>', "one"),
+    ],
+)
+def test_parts_of_an_article(inner, text):
+    assert text_of(BODY.format(inner)) == text
+
+
+def test_probed_pages_through_the_operator(spark):
+    rows = [(i, "http://a.com/", AROUND.format(f'<div class="page has-sidebar"><article>{LONG}</article></div>')) for i in range(10)]
+    assert [(r.text, r.n_chars) for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()] == [(PLAIN, len(PLAIN))] * 10

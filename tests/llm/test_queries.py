@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import duckdb
@@ -23,7 +24,7 @@ LOWER = {i: i + 32 for i in range(65, 91)}
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -47,16 +48,33 @@ def test_matches_duckdb(spark, db, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
-def test_op6_mined_rules_match_duckdb(spark, tmp_path):
-    rows = [(i, f"http://{h}.example.fr/{p}/{i}.html", "") for i, (h, p) in enumerate((h, p) for _ in range(60) for h in ("spam", "good", "fine") for p in ("win", "news"))]
-    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    spark.createDataFrame([(i, int(not ("spam" in u and "win" in u)), 0) for i, u, _ in rows] + [(None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+def op6_of(spark, folder, rows, labels):
+    """The verdicts of op6 over made pages (id, url) and labels, and those of its SQL."""
+    spark.createDataFrame([(i, u, "") for i, u in rows], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     con = duckdb.connect()
     for t in ("pages", "labels"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     want = con.execute(f"SELECT page_id, verdict FROM ({queries.oracle_sql()['op6_url_rules']})").fetchall()
-    got = [(r.page_id, r.verdict) for r in queries.op6_url_rules(spark, str(tmp_path)).collect()]
-    assert sorted(got) == sorted(want) and collections.Counter(v for _, v in got)["block"] == 60
+    return sorted((r.page_id, r.verdict) for r in queries.op6_url_rules(spark, str(folder)).collect()), sorted(want)
+
+
+def test_op6_mined_rules_match_duckdb(spark, tmp_path):
+    rows = [(i, f"http://{h}.example.fr/{p}/{i}.html") for i, (h, p) in enumerate((h, p) for _ in range(60) for h in ("spam", "good", "fine") for p in ("win", "news"))]
+    got, want = op6_of(spark, tmp_path, rows, [(i, int(not ("spam" in u and "win" in u)), 0) for i, u in rows] + [(None, 0, 1), (5, None, None)])
+    assert got == want and collections.Counter(v for _, v in got)["block"] == 60
+
+
+@pytest.mark.parametrize("bad", ["all", "half"])
+@pytest.mark.parametrize("apart", [False, True])
+def test_op6_many_shared_tokens(spark, tmp_path, bad, apart):
+    """Forty parts that all labelled URLs share, or of which each lacks another one; unlabelled pages with one of them."""
+    parts = [f"part{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    rows = [(i, "http://h.fr/" + "/".join(p for k, p in enumerate(parts) if not apart or k != i % 40) + f"/{i}") for i in range(60)]
+    rows += [(1000 + k, f"http://{'x' if k % 2 else 'h'}.fr/{p}/x") for k, p in enumerate(parts)]
+    began = time.monotonic()
+    got, want = op6_of(spark, tmp_path, rows, [(i, int(bad == "half" and i % 3 > 0), 0) for i in range(60)])
+    assert got == want and {v for _, v in got} == ({"block"} if bad == "all" else {"allow"}) and time.monotonic() - began < 120
 
 
 def test_op1_base_and_spans(spark, texts):
