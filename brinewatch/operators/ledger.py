@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from brinewatch.functions.prefix import sums_before, value_before
 from brinewatch.sources.tables import EV, cut, events
 
 GENESIS = "0" * 64
@@ -29,15 +30,14 @@ def with_previous(df: DataFrame, column: str, name: str) -> DataFrame:
     w = W.partitionBy("_part").orderBy("seq")
     df = df.withColumn("_part", part)
     ends = df.groupBy("_part").agg(F.max_by(column, "seq").alias("_last"))  # one row a range that has records
-    ends = ends.select("_part", F.lag("_last").over(W.orderBy("_part")).alias("_end"))  # ranges without any are passed over
+    ends = value_before(ends, "_part", "_last", "_end").select("_part", "_end")  # ranges without any are passed over
     return df.join(ends, "_part", "left").withColumn(name, F.coalesce(F.lag(column).over(w), F.when(F.row_number().over(w) == 1, F.col("_end")))).drop("_part", "_end")
 
 
 def numbered(df: DataFrame, *ties: str) -> DataFrame:
     """Each record's place i from 0 in the order of seq (equal ones by ties): places within ranges, and the sizes of the ranges before."""
     df = df.withColumn("_part", F.floor(F.col("seq") / RANGE))
-    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    sizes = df.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # one row a range
+    sizes = sums_before(df.groupBy("_part").agg(F.count("*").alias("_n")), "_part", {"_before": "_n"}).select("_part", "_before")  # one row a range
     return df.join(sizes, "_part").withColumn("i", F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy("seq", *ties)) - 1).drop("_part", "_before")
 
 

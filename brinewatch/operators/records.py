@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from brinewatch.functions.prefix import sums_before
 from brinewatch.operators import ledger
 from brinewatch.sources.tables import DAY, EV, cut, events
 
@@ -99,26 +100,6 @@ def hmac_sha256(key: bytes, text: Column) -> Column:
 KEY = b"test-key"
 
 
-def tree_heads(ev: DataFrame) -> DataFrame:
-    """A signed head a day: how many records there are by then, the digest of the day's (a sum of their hashes' heads), the hash of the head before, and the signature."""
-    part = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "action"), 256), 1, 8), 16, 10).cast("bigint")
-    d = ev.groupBy(F.floor(F.col("us") / DAY).alias("day")).agg(F.count("*").alias("n"), F.sum(part).alias("digest"))
-    w = W.orderBy("day")  # a row a day
-    d = d.select("day", F.sum("n").over(w).alias("tree_size"), "digest").withColumn("text", F.concat_ws(":", F.col("tree_size").cast("string"), F.col("digest").cast("string"), F.col("day").cast("string")))
-    d = d.withColumn("previous", F.coalesce(F.sha2(F.lag("text").over(w), 256), F.lit(GENESIS)))
-    return d.select("day", "tree_size", "digest", "previous", hmac_sha256(KEY, F.concat_ws(":", "text", "previous")).alias("signature"))
-
-
-def head_errors(heads: DataFrame, now: Column) -> DataFrame:
-    """Heads whose signature doesn't fit, that shrink, or that lie in the future."""
-    w = W.orderBy("day")
-    text = F.concat_ws(":", F.col("tree_size").cast("string"), F.col("digest").cast("string"), F.col("day").cast("string"))
-    found = F.array_compact(F.array(
-        F.when(hmac_sha256(KEY, F.concat_ws(":", text, "previous")) != F.col("signature"), F.lit("BAD_SIGNATURE")), F.when(F.col("tree_size") < F.col("before"), F.lit("SHRUNK")), F.when(F.col("day") > now, F.lit("FUTURE")),
-    ))
-    return heads.withColumn("before", F.lag("tree_size").over(w)).select("day", F.explode(found).alias("error"))
-
-
 def audit_query(log: DataFrame, actor: int | None = None, action: str | None = None, since: int | None = None, until: int | None = None) -> DataFrame:
     """Records by any of actor, action and time (both ends count)."""
     for value, holds in ((actor, F.col("actor") == F.lit(actor)), (action, F.col("action") == F.lit(action)), (since, F.col("us") >= F.lit(since)), (until, F.col("us") <= F.lit(until))):
@@ -142,9 +123,9 @@ def replayed(log: DataFrame, after: int = -1, until: int | None = None) -> DataF
 def checkpoints(log: DataFrame, every: int = 200) -> DataFrame:
     """(seq, n, total): running state at every so manyth sequence number, as a store would hold it, from sums by step."""
     step = F.floor(F.col("event_id") / every)
-    s = log.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"))  # one row a checkpoint
-    w = W.orderBy("step")
-    return s.select(((F.col("step") + 1) * every - 1).alias("seq"), F.sum("n").over(w).alias("n"), F.sum("cents").over(w).alias("cents"))
+    s = log.groupBy(step.alias("step")).agg(F.count("*").alias("own"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("own_cents"))  # one row a checkpoint
+    s = sums_before(s, "step", {"n": "own", "cents": "own_cents"})
+    return s.select(((F.col("step") + 1) * every - 1).alias("seq"), (F.col("n") + F.col("own")).alias("n"), (F.col("cents") + F.col("own_cents")).alias("cents"))
 
 
 def checkpoint_errors(log: DataFrame, stored: DataFrame, every: int = 200) -> DataFrame:
@@ -190,12 +171,6 @@ def _proof(s, d):
     return inclusion_proof(tree, tree.count() // 3)
 
 
-def _heads(s, d):
-    heads = cut(tree_heads(events(s, d)))
-    bad = heads.withColumn("tree_size", F.when(F.col("day") % 7 == 3, F.col("tree_size") - 400).otherwise(F.col("tree_size")))
-    return head_errors(bad, F.lit(19_750))
-
-
 def _checkpoints(s, d):
     ev = events(s, d)
     stored = checkpoints(ev).withColumn("n", F.when(F.col("seq") % 1000 == 599, F.col("n") + 1).otherwise(F.col("n"))).where("seq % 1000 != 799")
@@ -211,20 +186,16 @@ QUERIES = {
     "l1_chained": lambda s, d: chained(events(s, d)).select("actor", "seq", "event_id", "prev_hash", "record_hash"),
     "l2_chain_errors": lambda s, d: chain_errors(damaged(chained(events(s, d)))),
     "l3_merkle_root": lambda s, d: ledger.merkle_root(leaves(events(s, d))),
-    "l3_inclusion_proof": _proof, "l4_tree_heads": _e(tree_heads), "l4_head_errors": _heads,
+    "l3_inclusion_proof": _proof,
     "l5_audit_query": lambda s, d: audit_query(events(s, d), action="error", since=1704844800000000, until=1705708800000000).select("event_id", "actor", "resource"),
     "s9_page": lambda s, d: audit_page(events(s, d), 100, 50).select("event_id", "actor", "action"),
     "l8_replayed": lambda s, d: replayed(events(s, d).unionAll(events(s, d).where("event_id % 5 = 0")), 99), "l12_replayed_range": lambda s, d: replayed(events(s, d), 199, 700),
     "l10_checkpoint_errors": _checkpoints, "s13_snapshots": _e(snapshots), "s13_snapshot_errors": _snapshot_errors,
     "l15_retention": lambda s, d: retention(events(s, d), events(s, d).where("action = 'signup' and value > 150").select("actor").distinct()),
 }
-_HEX = "('0x' || substr(sha256(event_id || '|' || action), 1, 8))::BIGINT"
 _CHAIN = EV.replace("WITH ev", "WITH RECURSIVE ev") + f""", o AS (SELECT actor, event_id, action, resource, row_number() OVER (PARTITION BY actor ORDER BY us, event_id) AS seq FROM ev), t AS (SELECT *, '{{"action":"' || action || '","actor":' || actor || ',"event_id":' || event_id || ',"resource":"' || resource || '","seq":' || seq || '}}' AS content FROM o),
  ch AS (SELECT actor, seq, event_id, content, '{GENESIS}' AS prev_hash, sha256(content || '{GENESIS}') AS record_hash FROM t WHERE seq = 1 UNION ALL SELECT t.actor, t.seq, t.event_id, t.content, ch.record_hash, sha256(t.content || ch.record_hash) FROM ch JOIN t ON t.actor = ch.actor AND t.seq = ch.seq + 1)"""
 _TREE = EV + ", n0 AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, sha256(event_id || '|' || action) AS h FROM ev)" + "".join(f", n{k + 1} AS MATERIALIZED (SELECT i // 2 AS i, CASE WHEN (SELECT count(*) FROM n{k}) = 1 THEN min(h) ELSE sha256(min_by(h, i) || max_by(h, i)) END AS h FROM n{k} GROUP BY 1)" for k in range(22))
-_HEADS = EV + f""", d AS (SELECT us // {DAY} AS day, count(*) AS n, sum({_HEX}) AS digest FROM ev GROUP BY 1), s AS (SELECT day, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS tree_size, CAST(digest AS BIGINT) AS digest FROM d), t AS (SELECT *, tree_size || ':' || digest || ':' || day AS text FROM s),
- p AS (SELECT *, coalesce(sha256(lag(text) OVER (ORDER BY day)), '{GENESIS}') AS previous FROM t)"""
-_PAD = lambda x: "from_hex('" + bytes(b ^ x for b in KEY.ljust(64, b"\0")).hex() + "')"
 _STATE = "count(*) AS n, max_by(action, event_id) AS last_action, max(event_id) AS last_seq, count(DISTINCT resource) AS resources"
 _HASHED = "SELECT *, sha256(actor || '|' || n || '|' || last_action || '|' || last_seq || '|' || resources) AS state_hash FROM a"
 _CHECK = EV + ", s AS (SELECT event_id // 200 AS step, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM ev GROUP BY 1), c AS (SELECT (step + 1) * 200 - 1 AS seq, CAST(sum(n) OVER (ORDER BY step) AS BIGINT) AS n, CAST(sum(cents) OVER (ORDER BY step) AS BIGINT) AS cents FROM s)"
@@ -237,9 +208,6 @@ ORACLE = {
     "l3_merkle_root": _TREE + " SELECT h AS root FROM n22",
     "l3_inclusion_proof": _TREE + ", cn AS (SELECT count(*) AS n, count(*) // 3 AS pos FROM n0)" + " UNION ALL ".join(
         ("" if k else " ") + f"SELECT {k}::BIGINT AS level, CASE WHEN i < pos // {1 << k} THEN 'left' ELSE 'right' END AS side, h AS hash FROM n{k}, cn WHERE (SELECT count(*) FROM n{k}) > 1 AND i = CASE WHEN xor(pos // {1 << k}, 1) < (SELECT count(*) FROM n{k}) THEN xor(pos // {1 << k}, 1) ELSE pos // {1 << k} END" for k in range(22)),
-    "l4_tree_heads": _HEADS + f" SELECT day, tree_size, digest, previous, sha256({_PAD(0x5C)} || from_hex(sha256({_PAD(0x36)} || encode(text || ':' || previous)))) AS signature FROM p",
-    "l4_head_errors": _HEADS + """, b AS (SELECT *, CASE WHEN day % 7 = 3 THEN tree_size - 400 ELSE tree_size END AS z FROM p), c AS (SELECT *, lag(z) OVER (ORDER BY day) AS before FROM b)
- SELECT day, 'BAD_SIGNATURE' AS error FROM c WHERE z <> tree_size UNION ALL SELECT day, 'SHRUNK' FROM c WHERE z < before UNION ALL SELECT day, 'FUTURE' FROM c WHERE day > 19750""",
     "l5_audit_query": EV + " SELECT event_id, actor, resource FROM ev WHERE action = 'error' AND us BETWEEN 1704844800000000 AND 1705708800000000",
     "s9_page": EV + " SELECT event_id, actor, action FROM ev WHERE event_id > 100 ORDER BY event_id LIMIT 50",
     "l8_replayed": EV + f", a AS (SELECT actor, {_STATE} FROM ev WHERE event_id > 99 GROUP BY actor) " + _HASHED,

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewatch.operators import attack, baselines, detectors, escalation, exposure, graphs, intake, ledger, lifetimes, posture, raw, records, series, windows
+from brinewatch.operators import attack, baselines, detectors, escalation, exposure, graphs, intake, ledger, lifetimes, merkle, posture, raw, records, series, windows
 from brinewatch.streaming import flows
 
-MODULES: list = [windows, intake, raw, detectors, escalation, graphs, lifetimes, baselines, ledger, records, series, attack, posture, flows, exposure]
+MODULES: list = [windows, intake, raw, detectors, escalation, graphs, lifetimes, baselines, ledger, records, merkle, series, attack, posture, flows, exposure]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
