@@ -172,7 +172,7 @@ def _e(f, *a):
 
 
 QUERIES = {
-    "l2_verified": _l(verified), "l3_ledger_root": _l(ledger_root), "l7_state_at": _l(state_at, 700), "l9_gaps": _l(gaps), "l11_divergence": _l(divergence), "l13_transitions": _l(transitions), "l14_nearest_snapshots": _l(nearest_snapshots),
+    "l2_verified": _l(verified), "l3_ledger_root": _l(ledger_root), "l9_gaps": _l(gaps), "l11_divergence": _l(divergence), "l13_transitions": _l(transitions), "l14_nearest_snapshots": _l(nearest_snapshots),
     "l16_consensus": _l(consensus), "q4_decided": _e(decided), "q5_plans": _e(plans), "q7_streaks": _e(streaks),
 }
 
@@ -185,7 +185,6 @@ _DEC = EV + """, mt AS (SELECT *, action = 'error' AND value >= 25 AS a, regexp_
 
 ORACLE = {
     "l2_verified": _LED + " SELECT seq, 'SEQUENCE_GAP' AS error FROM ld WHERE seq <> before + 1 UNION ALL SELECT seq, 'HASH_MISMATCH' FROM ld WHERE sha256(content) <> record_hash",
-    "l7_state_at": _LED + f" SELECT actor, {_STATE} FROM ld WHERE seq <= 700 GROUP BY actor",
     "l9_gaps": _LED + " SELECT before + 1 AS first, seq - 1 AS last FROM ld WHERE seq > before + 1",
     "l11_divergence": _LED + f""", a AS (SELECT actor, {_STATE} FROM ld GROUP BY actor), b AS (SELECT actor, {_STATE} FROM ld WHERE action <> 'error' GROUP BY actor)
  SELECT actor, a.n, coalesce(b.n, 0) AS shadow_n, a.last_action, b.last_action AS other FROM a LEFT JOIN b USING (actor) WHERE a.n IS DISTINCT FROM b.n OR a.last_action IS DISTINCT FROM b.last_action""",
