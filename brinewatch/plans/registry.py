@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brinewatch.operators import attack, baselines, detectors, escalation, exposure, graphs, intake, ledger, lifetimes, merkle, posture, raw, records, series, states, windows
-from brinewatch.streaming import flows
+from brinewatch.streaming import flows, stateful
 
-MODULES: list = [windows, intake, raw, detectors, escalation, graphs, lifetimes, baselines, ledger, records, merkle, states, series, attack, posture, flows, exposure]
+MODULES: list = [windows, intake, raw, detectors, escalation, graphs, lifetimes, baselines, ledger, records, merkle, states, series, attack, posture, flows, stateful, exposure]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
