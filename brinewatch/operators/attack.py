@@ -99,14 +99,16 @@ def hypotheses(edges: DataFrame) -> DataFrame:
     return targeted.unionAll(rows.where("p > t").select("hypothesis", "p"))
 
 
-ENTRIES, TARGETS = ("external_ip_1", "external_ip_2"), ("web_server", "app_server", "database")
 
 
-def simulation(spark, runs: int = 1000) -> DataFrame:
-    """Runs of an attack: one of two entries gives way with .3, each of three targets with .4 then, and is seen with .2. By target: how often taken, and seen; and the mean minutes of a run that succeeds."""
-    r = spark.range(runs).select(F.col("id").alias("run"))
-    entered = (uniform(F.col("run"), ENTRIES[0]) < 0.3) | (uniform(F.col("run"), ENTRIES[1]) < 0.3)
-    x = r.where(entered).withColumn("target", F.explode(F.array(*map(F.lit, TARGETS))))
+def simulation(ev: DataFrame, runs: int = 1000) -> DataFrame:
+    """Runs of an attack: entries are the two actors with most errors, targets the privileged resources (number mod 10 of 8 or more). One of the entries gives way with .3, each target with .4 then, and is seen with .2. By target: how often taken,
+    and seen; and the mean minutes of a run that succeeds. Draws are hashes of run and target, so targets are tried in parallel and a task that runs again draws the same."""
+    entries = ev.where("action = 'error'").groupBy("actor").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "actor").limit(2).select(F.col("actor").cast("string").alias("entry"))
+    r = ev.sparkSession.range(runs).select(F.col("id").alias("run"))
+    r = r.crossJoin(F.broadcast(entries)).where(uniform(F.col("run"), F.col("entry")) < 0.3).select("run").distinct()  # two rows
+    targets = ev.where("k % 10 >= 8").select(F.col("resource").alias("target")).distinct()
+    x = targets.crossJoin(F.broadcast(r))  # a stated number of runs of every target
     x = x.withColumns({"taken": uniform(F.col("run"), F.col("target")) < 0.4, "seen": uniform(F.col("run"), F.col("target"), "seen") < 0.2, "minutes": -45 * F.log(1 - uniform(F.col("run"), F.col("target"), "time"))})
     return x.groupBy("target").agg(F.count("*").alias("entered"), F.count(F.when(F.col("taken"), 1)).alias("taken"), F.count(F.when(F.col("taken") & F.col("seen"), 1)).alias("seen"), F.round(F.avg(F.when(F.col("taken"), F.col("minutes"))), 6).alias("minutes"))
 
@@ -241,7 +243,7 @@ def _sessions(s, d):
 
 
 QUERIES = {
-    "m3_evolution": _e(belief_evolution), "m3_summary": _e(belief_summary), "m5_evidence": _e(evidence), "m9_simulation": lambda s, d: simulation(s), "m10_intervals": _e(credible_intervals),
+    "m3_evolution": _e(belief_evolution), "m3_summary": _e(belief_summary), "m5_evidence": _e(evidence), "m9_simulation": _e(simulation), "m10_intervals": _e(credible_intervals),
     "m11_assessment": _e(assessment), "m12_significance": _e(trend_significance), "m23_conditional": _e(conditional), "a14_deception": _e(deception), "a15_sessions": _sessions,
 } | graphs.on_trade({"m4_children": (children_updated, 0), "m6_paths": (path_probabilities,), "m7_hypotheses": (hypotheses,), "r13_monte_carlo": (monte_carlo_risk,)})
 
@@ -273,7 +275,7 @@ ORACLE = {
     "m6_paths": _S + " SELECT * FROM pp WHERE p > 0.1",
     "m7_hypotheses": _S + """, a AS (SELECT count(*) FILTER (src % 3 = 1 AND dst % 3 = 1 AND weight > 0.3) AS links, count(*) FILTER (dst % 6 = 5) AS o FROM tr), n AS (SELECT count(*) AS n FROM (SELECT src AS node FROM tr UNION SELECT dst FROM tr) WHERE node % 3 = 1)
  SELECT 'targeted_attack_' || dst AS hypothesis, max(p)::DOUBLE AS p FROM pp WHERE dst % 5 = 0 GROUP BY dst UNION ALL SELECT 'lateral_movement', round(least(0.8, links / (0.5 * n)), 5)::DOUBLE FROM a, n WHERE links / (0.5 * n) > 0.3 UNION ALL SELECT 'data_exfiltration', round(least(0.9, 0.3 * o), 5)::DOUBLE FROM a WHERE 0.3 * o > 0.2""",
-    "m9_simulation": f"""WITH r AS (SELECT run FROM range(1000) t(run) WHERE {_u('run', "'external_ip_1'")} < 0.3 OR {_u('run', "'external_ip_2'")} < 0.3), x AS (SELECT run, target, {_u('run', 'target')} < 0.4 AS taken, {_u('run', 'target', "'seen'")} < 0.2 AS seen, -45 * ln(1 - {_u('run', 'target', "'time'")}) AS minutes FROM r, (VALUES ('web_server'), ('app_server'), ('database')) t(target))
+    "m9_simulation": f"""{EV}, en AS (SELECT actor::VARCHAR AS entry FROM ev WHERE action = 'error' GROUP BY actor ORDER BY count(*) DESC, actor LIMIT 2), r AS (SELECT DISTINCT run FROM range(1000) t(run), en WHERE {_u('run', 'entry')} < 0.3), x AS (SELECT run, target, {_u('run', 'target')} < 0.4 AS taken, {_u('run', 'target', "'seen'")} < 0.2 AS seen, -45 * ln(1 - {_u('run', 'target', "'time'")}) AS minutes FROM r, (SELECT DISTINCT resource AS target FROM ev WHERE k % 10 >= 8))
  SELECT target, count(*) AS entered, count(*) FILTER (taken) AS taken, count(*) FILTER (taken AND seen) AS seen, round(avg(minutes) FILTER (taken), 6) AS minutes FROM x GROUP BY target""",
     "m11_assessment": EV + """, a AS (SELECT resource, round(least(1.0, 0.5 * count(*) FILTER (action = 'error') / count(*) + 0.3 * count(*) FILTER (action = 'purchase') / count(*) + 0.07 * (any_value(k) % 10)), 6)::DOUBLE AS risk FROM ev GROUP BY resource), b AS (SELECT *, row_number() OVER (ORDER BY risk DESC, resource) AS r FROM a)
  SELECT resource, risk, CASE WHEN risk >= 0.8 THEN 'critical' WHEN risk >= 0.6 THEN 'high' WHEN risk >= 0.3 THEN 'medium' ELSE 'low' END AS category, CASE WHEN r <= 10 THEN r END AS place, CASE WHEN r <= 10 THEN CASE WHEN risk > 0.7 THEN 'high' ELSE 'medium' END END AS priority, CASE WHEN r <= 10 THEN round(0.6 * risk, 6) END AS reduction FROM b""",

@@ -228,13 +228,6 @@ def privileges(ev: DataFrame) -> DataFrame:
     return two.where("dst like 'res-%'").groupBy("actor").agg(F.max(level).alias("privilege"), F.count(F.when(level >= 7, 1)).alias("n_high"))
 
 
-def inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles with all they inherit: role r of 12 inherits from r / 2 and r / 3, transitively."""
-    n = spark.range(1, 13).select(F.col("id").alias("src"))
-    e = n.select("src", F.floor(F.col("src") / 2).alias("dst")).unionAll(n.select("src", F.floor(F.col("src") / 3).alias("dst"))).where("dst >= 1")
-    return reach(e, 6).select(F.col("root").alias("role"), F.col("node").alias("inherits"), "hops")
-
-
 def on_trade(found: dict[str, tuple]) -> dict:
     """Queries from (function, arguments): NAME on each nation's three strongest edges, as its SQL has it, and NAME_whole on all pairs. Edges are made once."""
     return {f"{name}{end}": lambda s, d, f=f, k=k, a=a: f(cut(trade(s, d, k)), *a) for name, (f, *a) in found.items() for end, k in (("", 3), ("_whole", None))}
@@ -243,7 +236,6 @@ def on_trade(found: dict[str, tuple]) -> dict:
 QUERIES = {
     "g1_access_edges": lambda s, d: access_edges(events(s, d)).groupBy("src", "dst", "kind").agg(F.count("*").alias("n")),
     "g2_lifecycle": lambda s, d: lifecycle(events(s, d)),
-    "g3_inherited": inherited,
     "g4_privileges": lambda s, d: privileges(events(s, d)),
 } | on_trade({
     "g9_degrees": (degrees,),
@@ -296,7 +288,6 @@ def _settle(rounds: int, flow: str, new: str) -> str:
 ORACLE = {
     "g1_access_edges": _ACCESS + " SELECT src, dst, kind, count(*) AS n FROM ac GROUP BY ALL",
     "g2_lifecycle": _ACCESS + f" SELECT src, dst, kind, count(*) AS n, min(us) AS born_us, max(us) AS last_us, max(us) + CASE WHEN kind = 'permission' THEN {18 * DAY} ELSE {9 * DAY} END >= (SELECT max(us) FROM ev) AS active FROM ac GROUP BY src, dst, kind",
-    "g3_inherited": "WITH RECURSIVE e AS (SELECT r AS src, r // 2 AS dst FROM range(1, 13) t(r) WHERE r // 2 >= 1 UNION SELECT r, r // 3 FROM range(1, 13) t(r) WHERE r // 3 >= 1)" + _reach(6, "e") + " SELECT root AS role, node AS inherits, hops FROM rc",
     "g4_privileges": _ACCESS + """, e AS (SELECT DISTINCT src, dst FROM ac), two AS (SELECT src AS actor, dst FROM e WHERE src LIKE 'u%' UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src LIKE 'u%'), l AS (SELECT actor, CAST(replace(dst, 'res-', '') AS BIGINT) % 10 AS l FROM two WHERE dst LIKE 'res-%')
  SELECT actor, max(l) AS privilege, count(*) FILTER (l >= 7) AS n_high FROM l GROUP BY actor""",
     "g9_degrees": _TRADE + _DEG + " SELECT node, out_degree, in_degree, round((out_degree + in_degree) / (2.0 * greatest((SELECT count(*) FROM dg) - 1, 1)), 6) AS centrality FROM dg",

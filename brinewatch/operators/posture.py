@@ -208,16 +208,6 @@ def stored_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.where(F.sha2("body", 256) != F.col("digest")).select("actor", "feature")
 
 
-def loaded_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Policy files of a folder, one a line: those that can be read with their conditions counted, others recorded as bad."""
-    lines = [("deny.json", '{"name":"deny","priority":1,"conditions":[{"field":"action","op":"eq"},{"field":"value","op":"gt"}]}'), ("watch.json", '{"name":"watch","priority":2,"conditions":[]}'), ("broken.json", '{"name":"broken"')]
-    folder = kept(spark.createDataFrame(lines, "file string, value string").select("value"), "policies", "text")
-    raw = spark.read.text(folder)
-    p = F.from_json("value", "name string, priority int, conditions array<struct<field string, op string>>", {"mode": "PERMISSIVE"})
-    ok = F.try_parse_json("value").isNotNull()
-    return raw.select(F.when(ok, p["name"]).otherwise("bad file").alias("name"), F.when(ok, F.size(p["conditions"]).cast("bigint")).alias("conditions"))
-
-
 def exported_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An audit log exported as JSON lines and read back, its digest by actor."""
     ev = events(spark, sf_dir)
@@ -240,7 +230,7 @@ def _vectors(s, d):
 
 QUERIES = {
     "r2_exposure": _p(exposure), "r5_composite": _p(composite), "r5_report": _p(risk_report), "r16_metrics": _e(risk_metrics), "r10_signals": _e(aggregated_signals), "bl11_distance": _e(feature_distance), "bl10_stale": _e(stale_baselines), "bl8_soft_limits": _e(soft_limits), "bl7_adapted": _vectors,
-    "q3_typed": _p(typed_decisions), "q7_governed": _e(governed), "l17_witnesses": _e(witnesses), "m21_features": _e(node_features), "m20_cycles": _e(series_cycles), "s3_appended": appended, "s12_baselines": stored_baselines, "s14_policies": loaded_policies, "s19_exported": exported_audit,
+    "q3_typed": _p(typed_decisions), "q7_governed": _e(governed), "l17_witnesses": _e(witnesses), "m21_features": _e(node_features), "m20_cycles": _e(series_cycles), "s3_appended": appended, "s12_baselines": stored_baselines, "s19_exported": exported_audit,
 }
 _HEAD = PLACED.replace("WITH ev", "WITH RECURSIVE ev") + escalation._WAYS
 _EXPO = """, ne AS (SELECT actor, min(hops) + 1 AS hops FROM asm WHERE hops IS NOT NULL GROUP BY actor), ex AS (SELECT actor, coalesce(any_value(hops), 4) AS hops, max((k % 5 = 0)::INT)::BIGINT AS sensitive FROM pl LEFT JOIN ne USING (actor) GROUP BY actor),
@@ -270,6 +260,5 @@ ORACLE = {
  SELECT action, coalesce(string_agg(lag::VARCHAR, ',' ORDER BY lag) FILTER (abs(c) > 0.5), '') AS cycles, round((avg(abs(c)) FILTER (lag <= 4) + 1 / (1 + any_value(v))) / 2, 6) AS predictability FROM c JOIN (SELECT action, var_pop(x) AS v FROM d GROUP BY action) USING (action) GROUP BY action""",
     "s3_appended": EV + " SELECT action, count(*) AS n, count(DISTINCT event_id) AS d FROM ev GROUP BY action",
     "s12_baselines": baselines._LONG + " SELECT DISTINCT actor, feature FROM lf WHERE actor % 13 = 5",
-    "s14_policies": "SELECT * FROM (VALUES ('deny', 2::BIGINT), ('watch', 0), ('bad file', NULL)) t(name, conditions)",
     "s19_exported": EV + " SELECT actor, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event FROM ev GROUP BY actor",
 }

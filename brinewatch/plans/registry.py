@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewatch.operators import attack, baselines, detectors, escalation, exposure, graphs, intake, ledger, lifetimes, logs, merkle, posture, raw, reconstruct, records, series, states, windows
+from brinewatch.operators import attack, baselines, detectors, escalation, exposure, graphs, intake, ledger, lifetimes, logs, merkle, posture, raw, reconstruct, records, rules, series, states, windows
 from brinewatch.streaming import flows, stateful
 
-MODULES: list = [windows, intake, raw, detectors, escalation, graphs, lifetimes, baselines, ledger, records, merkle, states, reconstruct, logs, series, attack, posture, flows, stateful, exposure]
+MODULES: list = [windows, intake, raw, detectors, escalation, graphs, lifetimes, baselines, ledger, records, merkle, states, reconstruct, logs, series, attack, posture, rules, flows, stateful, exposure]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
