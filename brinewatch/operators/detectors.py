@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from brinewatch.functions import periods
 from brinewatch.operators import escalation, windows as win
 from brinewatch.operators.escalation import alerts, joined
 from brinewatch.operators.intake import first_in_period
@@ -14,7 +15,7 @@ from brinewatch.sources.tables import DAY, cut, events
 def lateral_movement(ev: DataFrame, us: int = 3 * DAY) -> DataFrame:
     """Crowded roles, fast role changes, account hops, service accounts in other roles, and new regions. Purchases stand for assumed roles; every seventh actor is a service account."""
     roles = ev.where("action = 'purchase'").select("event_id", "actor", "us", "role", "account", "region")
-    x = sliding_distinct(sliding_distinct(sliding_distinct(roles, "role", "actor", us, "crowd"), "actor", "role", us, "many"), "actor", "account", us, "hops")
+    x = cut(sliding_distinct(sliding_distinct(sliding_distinct(roles, "role", "actor", us, "crowd"), "actor", "role", us, "many"), "actor", "account", us, "hops"))  # three rules read it
     first = roles.withColumn("_r", F.row_number().over(W.partitionBy("actor", "region").orderBy("us", "event_id"))).withColumn("_n", F.row_number().over(in_order()))
     return joined(
         alerts(x.where("crowd > 3"), "lateral", "role_overcrowding", "medium", "role"), alerts(x.where("many > 2"), "lateral", "role_velocity", "high", "role"),
@@ -26,12 +27,11 @@ def lateral_movement(ev: DataFrame, us: int = 3 * DAY) -> DataFrame:
 def token_abuse(ev: DataFrame, us: int = DAY) -> DataFrame:
     """Tokens from many addresses, impossibly far away, after revocation (an error of value over 100), from suspicious networks, used often, from outside their network; many tokens from one address."""
     rows = ev.select("event_id", "actor", "us", "action", "value", "token", "ip", "lat", "lon", "asn")
-    own = W.partitionBy("token").orderBy("us", "event_id")
-    km = win.haversine(F.lag("lat").over(own), F.lag("lon").over(own), F.col("lat"), F.col("lon"))
-    hours = F.greatest((F.col("us") - F.lag("us").over(own)) / float(win.HOUR), F.lit(1e-6))
-    revoked = F.min(F.when((F.col("action") == "error") & (F.col("value") > 100), F.col("us"))).over(own.rowsBetween(W.unboundedPreceding, -1))
-    uses = F.count("*").over(W.partitionBy("token").orderBy("us").rangeBetween(-us, 0))
-    x = sliding_distinct(rows.withColumns({"kmh": F.round(km / hours, 3), "revoked": revoked, "uses": uses}), "token", "ip", us, "ips")
+    x = periods.neighbours(periods.cut_up(rows, 8 * us), ["token"], ["us", "lat", "lon"])
+    km = win.haversine(F.col("_before.lat"), F.col("_before.lon"), F.col("lat"), F.col("lon"))
+    hours = F.greatest((F.col("us") - F.col("_before.us")) / float(win.HOUR), F.lit(1e-6))
+    x = periods.least_before(x.withColumn("kmh", F.round(km / hours, 3)).drop("_before", "_after"), ["token"], F.when((F.col("action") == "error") & (F.col("value") > 100), F.col("us")), "revoked")
+    x = cut(sliding_distinct(periods.sliding_count(cut(x.drop("_p")), ["token"], us, "uses"), "token", "ip", us, "ips"))  # four rules read it
     y = sliding_distinct(rows, "ip", "token", us, "tokens")
     network = F.concat(F.lit("10."), (F.col("actor") % 4).cast("string"), F.lit(".0.0"))
     outside = ~escalation.in_cidr(F.col("ip"), network, F.lit(16))

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from brinewatch.sources.tables import DAY, EV, HOUR, events
+from brinewatch.functions import periods
+from brinewatch.sources.tables import DAY, EV, HOUR, cut, events
 
 def in_order() -> W:
     return W.partitionBy("actor").orderBy("us", "event_id")
@@ -27,16 +28,15 @@ def sliding_distinct(ev: DataFrame, key: str, what: str, us: int, name: str) ->
     """ev with the number of distinct values of what in the key's trailing window, as name (null values don't count).
 
     A value comes (+1) where it wasn't in the window before, and goes (-1) when the window ends after its last sight; the running sum of
-    these is the count. So a row costs two rows of a running sum, however many values the window holds.
+    these is the count. So a row costs two rows of a running sum, however many values the window holds; sums run within periods of eight
+    windows, so a key's history is many tasks.
     """
-    own = W.partitionBy(key, what).orderBy("us")
-    seen = ev.withColumns({"_before": F.lag("us").over(own), "_after": F.lead("us").over(own)})
+    x = cut(periods.neighbours(periods.cut_up(ev, 8 * us), [key, what], ["us"]))  # read four times
     there = F.col(what).isNotNull()
-    come = F.when(there & (F.col("_before").isNull() | (F.col("us") - F.col("_before") > us)), 1).otherwise(0)
-    rows = seen.withColumn("_d", come)
-    gone = seen.where(there & (F.col("_after").isNull() | (F.col("_after") - F.col("us") > us))).select(key, (F.col("us") + us + 1).alias("us"), F.lit(-1).alias("_d"))
-    both = rows.drop("_before", "_after").unionByName(gone, allowMissingColumns=True)
-    return both.withColumn(name, F.sum("_d").over(W.partitionBy(key).orderBy("us").rangeBetween(W.unboundedPreceding, 0))).where("event_id is not null").drop("_d")
+    rows = x.withColumn("_d", F.when(there & (F.col("_before").isNull() | (F.col("us") - F.col("_before.us") > us)), 1).otherwise(0))
+    gone = x.where(there & (F.col("_after").isNull() | (F.col("_after.us") - F.col("us") > us))).select(key, (F.col("us") + us + 1).alias("us"), F.lit(-1).alias("_d"))
+    both = rows.drop("_before", "_after", "_p").unionByName(gone, allowMissingColumns=True)
+    return periods.running_sum(periods.cut_up(both, 8 * us), [key], "_d", name).where("event_id is not null").drop("_d", "_p")
 
 
 def distinct_in_window(ev: DataFrame, what: str = "resource", us: int = 3 * DAY) -> DataFrame:
