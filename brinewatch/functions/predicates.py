@@ -89,3 +89,11 @@ def uuid5(namespace: str, name: Column) -> Column:
 def titled(text: Column) -> Column:
     """Words with a capital first letter, the rest small."""
     return F.initcap(F.lower(text))
+
+
+def char_entropy(text: Column) -> Column:
+    """Shannon entropy of a text's characters, in bits; 0 for an empty one."""
+    chars = F.split(text, "")
+    n = F.size(chars)
+    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+    return F.when(text == "", 0.0).otherwise(F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from brinewatch.functions import periods
+from brinewatch.functions.predicates import char_entropy
 from brinewatch.operators import escalation, windows as win
 from brinewatch.operators.escalation import alerts, joined
 from brinewatch.operators.intake import first_in_period
@@ -12,33 +13,41 @@ from brinewatch.operators.windows import PLACED, in_order, placed, sliding_disti
 from brinewatch.sources.tables import DAY, cut, events
 
 
-def lateral_movement(ev: DataFrame, us: int = 3 * DAY) -> DataFrame:
+SECOND = 1_000_000
+#: Windows and thresholds for the test events, which are minutes apart; the defaults are those for live ones.
+SPARSE = {
+    "lateral_movement": {"us": 3 * DAY, "crowd": 3, "many": 2, "hops": 2}, "token_abuse": {"ips_us": DAY, "uses_us": DAY, "tokens_us": DAY, "ips": 3, "uses": 4, "tokens": 2}, "rate_spikes": {"us": DAY, "least": 4},
+    "identity_anomalies": {"z": 1.2, "busy": 2, "kinds": 5}, "movement_velocity": {"us": 2 * DAY, "least": 4}, "composite_anomaly": {"us": DAY, "least": 4},
+}
+
+
+def lateral_movement(ev: DataFrame, us: int = 300 * SECOND, crowd: int = 5, many: int = 4, hops: int = 3) -> DataFrame:
     """Crowded roles, fast role changes, account hops, service accounts in other roles, and new regions. Purchases stand for assumed roles; every seventh actor is a service account."""
     roles = ev.where("action = 'purchase'").select("event_id", "actor", "us", "role", "account", "region")
     x = cut(sliding_distinct(sliding_distinct(sliding_distinct(roles, "role", "actor", us, "crowd"), "actor", "role", us, "many"), "actor", "account", us, "hops"))  # three rules read it
     first = roles.withColumn("_r", F.row_number().over(W.partitionBy("actor", "region").orderBy("us", "event_id"))).withColumn("_n", F.row_number().over(in_order()))
     return joined(
-        alerts(x.where("crowd > 3"), "lateral", "role_overcrowding", "medium", "role"), alerts(x.where("many > 2"), "lateral", "role_velocity", "high", "role"),
-        alerts(x.where("hops > 2"), "lateral", "cross_account_hop", "high", "role"), alerts(roles.where("actor % 7 = 0 and role not like 'svc-%'"), "lateral", "service_account_pivot", "high", "role"),
+        alerts(x.where(F.col("crowd") > crowd), "lateral", "role_overcrowding", "medium", "role"), alerts(x.where(F.col("many") > many), "lateral", "role_velocity", "high", "role"),
+        alerts(x.where(F.col("hops") > hops), "lateral", "cross_account_hop", "high", "role"), alerts(roles.where("actor % 7 = 0 and role not like 'svc-%'"), "lateral", "service_account_pivot", "high", "role"),
         alerts(first.where("_r = 1 and _n > 1"), "lateral", "new_region_activity", "medium", "role"),
     )
 
 
-def token_abuse(ev: DataFrame, us: int = DAY) -> DataFrame:
+def token_abuse(ev: DataFrame, ips_us: int = 120 * SECOND, uses_us: int = 60 * SECOND, tokens_us: int = 60 * SECOND, ips: int = 3, uses: int = 30, tokens: int = 10, kmh: float = 900.0) -> DataFrame:
     """Tokens from many addresses, impossibly far away, after revocation (an error of value over 100), from suspicious networks, used often, from outside their network; many tokens from one address."""
     rows = ev.select("event_id", "actor", "us", "action", "value", "token", "ip", "lat", "lon", "asn")
-    x = periods.neighbours(periods.cut_up(rows, 8 * us), ["token"], ["us", "lat", "lon"])
+    x = periods.neighbours(periods.cut_up(rows, 8 * ips_us), ["token"], ["us", "lat", "lon"])
     km = win.haversine(F.col("_before.lat"), F.col("_before.lon"), F.col("lat"), F.col("lon"))
     hours = F.greatest((F.col("us") - F.col("_before.us")) / float(win.HOUR), F.lit(1e-6))
     x = periods.least_before(x.withColumn("kmh", F.round(km / hours, 3)).drop("_before", "_after"), ["token"], F.when((F.col("action") == "error") & (F.col("value") > 100), F.col("us")), "revoked")
-    x = cut(sliding_distinct(periods.sliding_count(cut(x.drop("_p")), ["token"], us, "uses"), "token", "ip", us, "ips"))  # four rules read it
-    y = sliding_distinct(rows, "ip", "token", us, "tokens")
+    x = cut(sliding_distinct(periods.sliding_count(cut(x.drop("_p")), ["token"], uses_us, "uses"), "token", "ip", ips_us, "ips"))  # four rules read it
+    y = sliding_distinct(rows, "ip", "token", tokens_us, "tokens")
     network = F.concat(F.lit("10."), (F.col("actor") % 4).cast("string"), F.lit(".0.0"))
     outside = ~escalation.in_cidr(F.col("ip"), network, F.lit(16))
     return joined(
-        alerts(x.where("ips > 3"), "token", "multi_ip_usage", "high", "token"), alerts(x.where("kmh > 900"), "token", "impossible_travel", "high", "token"),
+        alerts(x.where(F.col("ips") > ips), "token", "multi_ip_usage", "high", "token"), alerts(x.where(F.col("kmh") > kmh), "token", "impossible_travel", "high", "token"),
         alerts(x.where("us > revoked"), "token", "revoked_token_reuse", "critical", "token"), alerts(rows.where("asn like '%tor%'"), "token", "suspicious_network_origin", "medium", "token"),
-        alerts(x.where("uses > 4"), "token", "high_frequency", "medium", "token"), alerts(rows.where(outside), "token", "out_of_cidr", "high", "token"), alerts(y.where("tokens > 2"), "token", "credential_stuffing", "critical", "token"),
+        alerts(x.where(F.col("uses") > uses), "token", "high_frequency", "medium", "token"), alerts(rows.where(outside), "token", "out_of_cidr", "high", "token"), alerts(y.where(F.col("tokens") > tokens), "token", "credential_stuffing", "critical", "token"),
     )
 
 
@@ -59,36 +68,38 @@ def dormant_identity(ev: DataFrame) -> DataFrame:
     )
 
 
-def rate_spikes(ev: DataFrame, us: int = DAY, least: int = 4) -> DataFrame:
+def rate_spikes(ev: DataFrame, us: int = 60 * SECOND, least: int = 20) -> DataFrame:
     """1 for events of actors with at least so many events in the window, else 0."""
     return ev.select("event_id", "actor", F.when(F.count("*").over(trailing(us)) >= least, 1.0).otherwise(0.0).alias("score"))
 
 
-def composite_anomaly(ev: DataFrame) -> DataFrame:
-    """Weighted signals of each event: rarity, sensitive, high risk, new subnet, entropy of the agent, rate."""
-    n = F.count("*").over(trailing(DAY))
+def composite_anomaly(ev: DataFrame, us: int = 60 * SECOND, least: int = 20) -> DataFrame:
+    """Weighted signals of each event: rarity .20, sensitive .15, high risk .25, new subnet .15, entropy of the agent .10, rate .15."""
+    n = F.count("*").over(trailing(us))
     all_before, same = (F.count("*").over(W.partitionBy(*k).orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, -1)) for k in (["actor"], ["actor", "action"]))
     first = F.row_number().over(W.partitionBy("actor", "subnet").orderBy("us", "event_id"))
-    x = ev.select("event_id", "actor", "us", "k", "action", "subnet").withColumns({"_n": all_before, "_m": same, "_rate": F.when(n >= 4, 1.0).otherwise(0.0), "_first": first})
+    x = ev.select("event_id", "actor", "us", "k", "action", "subnet", "agent").withColumns({"_n": all_before, "_m": same, "_rate": F.when(n >= least, 1.0).otherwise(0.0), "_first": first})
     rarity = F.round(F.when(F.col("_m") == 0, 1.0).otherwise(1 - F.pow(F.col("_m") / F.col("_n"), 0.3)), 6)
     subnet = F.when((F.col("_first") == 1) & (F.col("_n") > 0), 0.8).otherwise(0.0)
-    sensitive, risky = F.when(F.col("k") % 10 == 0, 0.5).otherwise(0.0), F.when(F.col("action").isin("purchase", "error"), 0.8).otherwise(0.0)
-    score = 0.20 * rarity + 0.15 * sensitive + 0.25 * risky + 0.15 * subnet + 0.15 * F.col("_rate")
+    sensitive, risky = F.when(F.col("k") % 10 == 0, 0.4).otherwise(0.0), F.when(F.col("action").isin("purchase", "error"), 0.5).otherwise(0.0)
+    entropy = F.when(F.col("agent") == "", 9.0).otherwise(F.round(char_entropy(F.col("agent")), 9))
+    scripted = F.when(entropy < 2.5, 0.6).when((entropy < 3.5) | (F.col("agent") == ""), 0.3).otherwise(0.0)  # few kinds of characters, or none
+    score = 0.20 * rarity + 0.15 * sensitive + 0.25 * risky + 0.15 * subnet + 0.10 * scripted + 0.15 * F.col("_rate")
     return x.select("event_id", "actor", F.round(score, 6).alias("score"))
 
 
-def identity_anomalies(ev: DataFrame, z: float = 1.2) -> DataFrame:
+def identity_anomalies(ev: DataFrame, z: float = 3.0, busy: int = 200, resources: int = 30, kinds: int = 16) -> DataFrame:
     """Busy hours, many resources, many actions, privileged shares, and distance from the role's peers (moments of each peer group, joined back: no group is one window)."""
     peak = ev.groupBy("actor", F.date_trunc("hour", "ts")).agg(F.count("*").alias("n")).groupBy("actor").agg(F.max("n").alias("peak"))
     a = ev.groupBy("actor").agg(F.count("*").alias("n"), F.countDistinct("resource").alias("resources"), F.countDistinct("action").alias("actions"), F.count(F.when(F.col("action") == "purchase", 1)).alias("privileged")).join(peak, "actor")
     a = a.withColumn("peer", F.col("actor") % 5)
     peers = a.groupBy("peer").agg(F.count("*").alias("peers"), F.avg("n").alias("m"), F.stddev_pop("n").alias("s"))  # five rows
     a = a.join(F.broadcast(peers), "peer").withColumn("z", F.when(F.col("s") == 0, 0.0).otherwise((F.col("n") - F.col("m")) / F.col("s")))
-    flags = F.array_compact(F.array(F.when(F.col("peak") > 2, F.lit("velocity_spike")), F.when(F.col("resources") > 30, F.lit("unusual_resource")), F.when(F.col("actions") >= 5, F.lit("action_diversity")), F.when(F.col("privileged") > 0, F.lit("privileged")), F.when((F.col("peers") >= 3) & (F.abs("z") > z), F.lit("peer_deviation"))))
+    flags = F.array_compact(F.array(F.when(F.col("peak") > busy, F.lit("velocity_spike")), F.when(F.col("resources") > resources, F.lit("unusual_resource")), F.when(F.col("actions") >= kinds, F.lit("action_diversity")), F.when(F.col("privileged") > 0, F.lit("privileged")), F.when((F.col("peers") >= 3) & (F.abs("z") > z), F.lit("peer_deviation"))))
     return a.select("actor", "n", "resources", "actions", "privileged", "peak", F.round("z", 6).alias("z"), F.array_join(flags, ",").alias("flags"))
 
 
-def movement_velocity(ev: DataFrame, us: int = 2 * DAY, least: int = 4) -> DataFrame:
+def movement_velocity(ev: DataFrame, us: int = 600 * SECOND, least: int = 6) -> DataFrame:
     """Moments at which an actor has touched many different resources within the window."""
     return win.distinct_in_window(ev, "resource", us).where(F.col("n_distinct") >= least)
 
@@ -97,8 +108,8 @@ def engine(ev: DataFrame) -> DataFrame:
     """All five detectors; high becomes critical where the event's anomaly is large; repeats of a detector, actor and subject within a day go."""
     ev = cut(ev)
     ways = escalation.ways_up(ev)
-    found = joined(lateral_movement(ev), token_abuse(ev), dormant_identity(ev), escalation.privilege_escalation(ev, ways), escalation.privilege_chain(ev, ways))
-    scored = composite_anomaly(ev).select("event_id", "score").join(ev.select("event_id", "us"), "event_id")
+    found = joined(lateral_movement(ev, **SPARSE["lateral_movement"]), token_abuse(ev, **SPARSE["token_abuse"]), dormant_identity(ev), escalation.privilege_escalation(ev, ways), escalation.privilege_chain(ev, ways))
+    scored = composite_anomaly(ev, **SPARSE["composite_anomaly"]).select("event_id", "score").join(ev.select("event_id", "us"), "event_id")
     x = found.join(scored, "event_id")
     x = cut(x.withColumn("severity", F.when((F.col("severity") == "high") & (F.col("score") > 0.5), "critical").otherwise(F.col("severity"))))
     key = ["actor", "detector", "subject"]
@@ -114,7 +125,7 @@ def copy_gate(ev: DataFrame) -> DataFrame:
 
 
 def _p(f):
-    return lambda s, d: f(placed(events(s, d)))
+    return lambda s, d: f(placed(events(s, d)), **SPARSE.get(f.__name__, {}))
 
 
 QUERIES = {
@@ -150,8 +161,8 @@ _DORMANT = f""", hx AS (SELECT *, CAST(hour(ts) AS DOUBLE) AS h, us - lag(us) {_
     ("first_high_priv_action", "high", "''", f"(SELECT *, row_number() {_ORD}) AS r FROM pl WHERE action = 'purchase') WHERE r = 1"), ("disabled_identity_active", "critical", "''", "hx WHERE us > disabled"), ("scope_explosion", "high", "''", "sx WHERE old >= 1 AND now > 2 * old"),
 ])
 _SCORE = f""", cx AS (SELECT *, CASE WHEN {_range('actor', DAY, 'count(*)')} >= 4 THEN 1.0 ELSE 0.0 END AS rate, row_number() OVER (PARTITION BY actor, subnet ORDER BY us, event_id) AS f, row_number() {_ORD}) AS a, count(*) {_ORD} {_BEFORE} AS n,
- count(*) OVER (PARTITION BY actor, action ORDER BY us, event_id {_BEFORE} AS m FROM pl), score_rows AS (SELECT event_id, actor, us, round(0.20 * round(CASE WHEN m = 0 THEN 1.0 ELSE 1 - pow(m * 1.0 / n, 0.3) END, 6)
- + 0.15 * CASE WHEN k % 10 = 0 THEN 0.5 ELSE 0 END + 0.25 * CASE WHEN action IN ('purchase', 'error') THEN 0.8 ELSE 0 END + 0.15 * CASE WHEN f = 1 AND a > 1 THEN 0.8 ELSE 0 END + 0.15 * rate, 6)::DOUBLE AS score FROM cx)"""
+ count(*) OVER (PARTITION BY actor, action ORDER BY us, event_id {_BEFORE} AS m, list_sum(list_transform(list_distinct(string_split(agent, '')), lambda c: -(len(list_filter(string_split(agent, ''), lambda x: x = c)) / len(string_split(agent, ''))) * log2(len(list_filter(string_split(agent, ''), lambda x: x = c)) / len(string_split(agent, ''))))) AS bits FROM pl), score_rows AS (SELECT event_id, actor, us, round(0.20 * round(CASE WHEN m = 0 THEN 1.0 ELSE 1 - pow(m * 1.0 / n, 0.3) END, 6)
+ + 0.15 * CASE WHEN k % 10 = 0 THEN 0.4 ELSE 0 END + 0.25 * CASE WHEN action IN ('purchase', 'error') THEN 0.5 ELSE 0 END + 0.10 * CASE WHEN agent = '' THEN 0.3 WHEN bits < 2.5 THEN 0.6 WHEN bits < 3.5 THEN 0.3 ELSE 0 END + 0.15 * CASE WHEN f = 1 AND a > 1 THEN 0.8 ELSE 0 END + 0.15 * rate, 6)::DOUBLE AS score FROM cx)"""
 ORACLE = {
     "a2_lateral_movement": PLACED + _LATERAL + " SELECT * FROM lateral_rows",
     "a3_token_abuse": PLACED + _TOKEN + " SELECT * FROM token_rows",

@@ -58,11 +58,17 @@ def subgraph(edges: DataFrame) -> DataFrame:
     return edges.join(keep, edges.src == keep.node, "left_semi").join(keep, F.col("dst") == keep.node, "left_semi")
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """Share of shortest paths between others that pass each node (exact): counts of shortest paths forward by level, dependencies back."""
+def betweenness(edges: DataFrame, roots: int | None = None) -> DataFrame:
+    """Share of shortest paths between others that pass each node: counts of shortest paths forward by level, dependencies back.
+
+    Exact from all nodes. With a number of roots only paths from so many (those of the least hashes) are followed, and sums are scaled up by the share of nodes left
+    out: work is in proportion to roots. Of n nodes an estimate is off by more than e * n * (n - 2) with a probability of at most 2 * exp(-2 * roots * e * e) (Hoeffding: a root's part of a node is between 0 and n - 2).
+    """
     step = cut(edges.select("src", "dst").distinct())
     nodes = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()
-    level = nodes.select(F.col("node").alias("root"), "node", F.lit(1.0).alias("sigma"))
+    chosen = nodes if roots is None else cut(nodes.orderBy(F.xxhash64("node"), "node").limit(roots))
+    scale = 1.0 if roots is None else nodes.count() / max(chosen.count(), 1)
+    level = chosen.select(F.col("node").alias("root"), "node", F.lit(1.0).alias("sigma"))
     seen, k = level.withColumn("d", F.lit(0)), 0
     while True:  # a level is empty at last: no pair is seen twice
         new = level.join(step, F.col("node") == F.col("src")).groupBy("root", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma")).join(seen.select("root", "node"), ["root", "node"], "left_anti")
@@ -80,7 +86,7 @@ def betweenness(edges: DataFrame) -> DataFrame:
         got = seen.where(f"d = {d}").join(step, F.col("node") == F.col("src")).join(below, ["root", "dst"]).groupBy("root", "node").agg(F.sum(F.col("sigma") / F.col("s2") * (1 + F.col("delta"))).alias("x"))
         part = cut(seen.where(f"d = {d}").join(got, ["root", "node"], "left").select("root", "node", "sigma", F.coalesce("x", F.lit(0.0)).alias("delta")))
         total = total.unionAll(part.select("root", "node", "delta"))
-    return nodes.join(total.where("root != node").groupBy("node").agg(F.sum("delta").alias("x")), "node", "left").select("node", F.round(F.coalesce("x", F.lit(0.0)), 5).alias("betweenness"))
+    return nodes.join(total.where("root != node").groupBy("node").agg(F.sum("delta").alias("x")), "node", "left").select("node", F.round(scale * F.coalesce("x", F.lit(0.0)), 5).alias("betweenness"))
 
 
 def attack_surface(edges: DataFrame) -> DataFrame:
@@ -119,15 +125,18 @@ def relays(edges: DataFrame) -> DataFrame:
     return g.degrees(edges).where("in_degree >= 2 and out_degree >= 2").select("node", "in_degree", "out_degree")
 
 
-def node_risk(edges: DataFrame) -> DataFrame:
-    """Reach, riskiest path, degree and cycles of each node as one score of at most 1."""
-    n = g.degrees(edges)
-    r = g.reach(edges, 3).groupBy("root").agg(F.count("*").alias("reached"))
-    p = highest_risk(edges).groupBy("src").agg(F.max("risk").alias("risk"))
+def node_risk(edges: DataFrame, depth: int = 3) -> DataFrame:
+    """Each node's risk: .25 of its reach, .20 of what is reached by kind (number mod 5), .20 of its paths of risk .5 or more, .15 of the critical nodes reached (every seventh), .10 of its degree, and .25 if it is in a cycle; and the tier."""
+    n = g.degrees(edges).select("node", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
+    r = g.reach(edges, depth).groupBy("root").agg(F.count("*").alias("reached"), F.sum(F.col("node") % 5).alias("weighted"), F.count(F.when(F.col("node") % 7 == 0, 1)).alias("critical"))
+    p = g.paths(edges, depth).where("risk >= 0.5").groupBy("src").agg(F.count("*").alias("paths"))
     c = g.cycles(edges).select("node", F.lit(1).alias("cyclic"))
-    x = n.join(r, n.node == r.root, "left").join(p, n.node == p.src, "left").join(c, "node", "left").fillna(0)
-    score = 0.25 * F.least(F.col("reached") / 20.0, F.lit(1.0)) + 0.25 * F.least(F.col("risk") / 3.0, F.lit(1.0)) + 0.2 * F.col("centrality") + 0.25 * F.col("cyclic")
-    return x.select("node", "reached", F.round(F.least(score, F.lit(1.0)), 6).alias("score"))
+    size = n.agg(F.count("*").alias("size"))
+    x = n.join(r, n.node == r.root, "left").join(p, n.node == p.src, "left").join(c, "node", "left").fillna(0).crossJoin(F.broadcast(size))  # one row
+    share = lambda c, most: F.least(F.col(c) / most, F.lit(1.0))
+    score = 0.25 * share("reached", F.greatest(F.col("size") * 0.1, F.lit(10.0))) + 0.20 * share("weighted", F.lit(50.0)) + 0.20 * share("paths", F.lit(30.0)) + 0.15 * share("critical", F.lit(10.0)) + 0.10 * share("degree", F.greatest(F.col("size") * 0.05, F.lit(5.0))) + 0.25 * F.col("cyclic")
+    x = x.withColumn("score", F.least(F.round(score, 4), F.lit(1.0)))
+    return x.select("node", "reached", "paths", "score", F.when(F.col("score") >= 0.8, "CRITICAL").when(F.col("score") >= 0.6, "HIGH").when(F.col("score") >= 0.35, "MEDIUM").otherwise("LOW").alias("tier"))
 
 
 def markov(edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -177,7 +186,7 @@ def _e(f, *a):
     return lambda s, d: f(events(s, d), *a)
 
 
-QUERIES = {"a5_converging": _e(converging), "a12_jewel_access": _e(jewel_access), "a12_alerts": _e(jewel_alerts), "a12_ranked": _e(jewels_ranked)} | g.on_trade({
+QUERIES = {"a5_converging": _e(converging), "a12_jewel_access": _e(jewel_access), "a12_alerts": _e(jewel_alerts), "a12_ranked": _e(jewels_ranked), "t16_sampled": lambda s, d: betweenness(cut(g.access_edges(events(s, d)).select("src", "dst").distinct()), 40)} | g.on_trade({
     "t2_ancestors": (ancestors,), "t3_first_paths": (first_paths,), "t6_multiplied": (multiplied_paths,), "t7_highest_risk": (highest_risk,), "g8_merged_edges": (merged_edges,), "g11_neighbours": (neighbours,), "g13_subgraph": (subgraph,), "t16_betweenness": (betweenness,),
     "t19_attack_surface": (attack_surface,), "t20_longest_chains": (longest_chains,), "t21_gini": (gini,), "a9_relays": (relays,), "r6_node_risk": (node_risk,), "r12_markov": (markov,),
 })
@@ -211,10 +220,12 @@ ORACLE = {
     "t21_gini": _T + g._DEG + g._paths(3) + """, rn AS (SELECT *, row_number() OVER (ORDER BY in_degree, node) AS r FROM dg) SELECT round(2 * sum(r * in_degree) / (count(*) * sum(in_degree)) - (count(*) + 1.0) / count(*), 6)::DOUBLE AS gini, (SELECT round(avg(n), 6) FROM (SELECT count(*) AS n FROM pa GROUP BY src, dst)) AS multiplicity FROM rn""",
     "a5_converging": g._ACCESS + ", e AS (SELECT DISTINCT src, dst FROM ac) SELECT b.dst, count(DISTINCT a.src) AS actors, count(DISTINCT b.src) AS roles FROM e a JOIN e b ON a.dst = b.src WHERE a.src LIKE 'u%' AND b.src LIKE 'role%' GROUP BY b.dst HAVING count(DISTINCT a.src) >= 3",
     "a9_relays": _T + g._DEG + " SELECT node, in_degree, out_degree FROM dg WHERE in_degree >= 2 AND out_degree >= 2",
-    "r6_node_risk": _BEST + g._DEG + g._reach(3) + """, rd AS (SELECT root, count(*) AS reached FROM rc GROUP BY root), r2 AS (SELECT src AS root, dst AS node FROM tr UNION SELECT r2.root, e.dst FROM r2 JOIN tr e ON r2.node = e.src), cy AS (SELECT DISTINCT a.root AS node FROM r2 a JOIN r2 b ON a.root = b.node AND a.node = b.root WHERE a.root <> a.node)
- SELECT dg.node, coalesce(reached, 0) AS reached, round(least(1.0, 0.25 * least(coalesce(reached, 0) / 20.0, 1) + 0.25 * least(coalesce(risk, 0) / 3.0, 1) + 0.2 * round((out_degree + in_degree) / (2.0 * greatest((SELECT count(*) FROM dg) - 1, 1)), 6) + 0.25 * (dg.node IN (SELECT node FROM cy))::INT), 6)::DOUBLE AS score FROM dg LEFT JOIN rd ON root = dg.node LEFT JOIN bp ON bp.src = dg.node""",
+    "r6_node_risk": _T + g._DEG + g._reach(3) + g._paths(3) + """, rd AS (SELECT root, count(*) AS reached, sum(node % 5) AS weighted, count(*) FILTER (node % 7 = 0) AS critical FROM rc GROUP BY root), pn AS (SELECT src, count(*) AS paths FROM pa WHERE risk >= 0.5 GROUP BY src), r2 AS (SELECT src AS root, dst AS node FROM tr UNION SELECT r2.root, e.dst FROM r2 JOIN tr e ON r2.node = e.src), cy AS (SELECT DISTINCT a.root AS node FROM r2 a JOIN r2 b ON a.root = b.node AND a.node = b.root WHERE a.root <> a.node),
+ sz AS (SELECT count(*) AS z FROM dg), sc AS (SELECT dg.node, coalesce(reached, 0) AS reached, coalesce(paths, 0) AS paths, least(1.0, round(0.25 * least(coalesce(reached, 0) / greatest(z * 0.1, 10), 1) + 0.2 * least(coalesce(weighted, 0) / 50, 1) + 0.2 * least(coalesce(paths, 0) / 30, 1) + 0.15 * least(coalesce(critical, 0) / 10, 1) + 0.1 * least((out_degree + in_degree) / greatest(z * 0.05, 5), 1) + 0.25 * (dg.node IN (SELECT node FROM cy))::INT, 4))::DOUBLE AS score FROM sz, dg LEFT JOIN rd ON root = dg.node LEFT JOIN pn ON pn.src = dg.node)
+ SELECT *, CASE WHEN score >= 0.8 THEN 'CRITICAL' WHEN score >= 0.6 THEN 'HIGH' WHEN score >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM sc""",
     "r12_markov": _markov(10),
-    "t16_betweenness": _T + _N + g._paths(8) + """, sh AS (SELECT src, dst, p FROM (SELECT *, min(len(p)) OVER (PARTITION BY src, dst) AS m FROM ps) WHERE len(p) = m), ct AS (SELECT src, dst, count(*) AS c FROM sh GROUP BY ALL), ii AS (SELECT src, dst, unnest(p[2:len(p) - 1]) AS node FROM sh WHERE len(p) > 2),
- bt AS (SELECT node, sum(n * 1.0 / c) AS x FROM (SELECT src, dst, node, count(*) AS n FROM ii GROUP BY ALL) JOIN ct USING (src, dst) GROUP BY node) SELECT nd.node, round(coalesce(x, 0), 5)::DOUBLE AS betweenness FROM nd LEFT JOIN bt USING (node)""",
+    "t16_betweenness": _T + _N + """, st AS (SELECT DISTINCT src, dst FROM tr), rr AS (SELECT node AS s, node AS t, 0 AS h FROM nd UNION SELECT s, dst, h + 1 FROM rr JOIN st ON t = src WHERE h < 24), ds AS (SELECT s, t, min(h) AS d FROM rr GROUP BY ALL),
+ sg AS (SELECT s, t, 0 AS d, 1.0::DOUBLE AS c FROM ds WHERE s = t UNION ALL SELECT sg.s, st.dst, sg.d + 1, sum(c) FROM sg JOIN st ON sg.t = st.src JOIN ds ON ds.s = sg.s AND ds.t = st.dst AND ds.d = sg.d + 1 GROUP BY ALL),
+ bt AS (SELECT a.t AS node, sum(a.c * b.c / e.c) AS x FROM sg a JOIN sg b ON b.s = a.t JOIN sg e ON e.s = a.s AND e.t = b.t AND e.d = a.d + b.d WHERE a.s <> a.t AND b.s <> b.t AND a.s <> b.t GROUP BY a.t) SELECT nd.node, round(coalesce(x, 0), 5)::DOUBLE AS betweenness FROM nd LEFT JOIN bt USING (node)""",
     "a12_jewel_access": g.EV + " SELECT resource, count(DISTINCT actor) AS actors, count(*) AS n, round(0.3 * least(count(DISTINCT actor) / 20.0, 1) + 0.2 * least(count(*) / 100.0, 1) + 0.3 * avg((action = 'error')::INT) + 0.1, 6)::DOUBLE AS exposure FROM ev WHERE k % 10 = 0 GROUP BY resource",
 }

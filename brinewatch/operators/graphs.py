@@ -229,8 +229,14 @@ def privileges(ev: DataFrame) -> DataFrame:
 
 
 def on_trade(found: dict[str, tuple]) -> dict:
-    """Queries from (function, arguments): NAME on each nation's three strongest edges, as its SQL has it, and NAME_whole on all pairs. Edges are made once."""
-    return {f"{name}{end}": lambda s, d, f=f, k=k, a=a: f(cut(trade(s, d, k)), *a) for name, (f, *a) in found.items() for end, k in (("", 3), ("_whole", None))}
+    """Queries from (function, arguments) on all pairs of nations. Edges are made once. SMALL has them on each nation's three strongest edges, as a fixture."""
+    made = lambda k: {name: lambda s, d, f=f, a=a: f(cut(trade(s, d, k)), *a) for name, (f, *a) in found.items()}
+    SMALL.update(made(3))
+    return made(None)
+
+
+#: For tests.
+SMALL: dict = {}
 
 
 QUERIES = {

@@ -135,13 +135,13 @@ def enriched(ev: DataFrame, identities: DataFrame, threats: DataFrame) -> DataFr
     return x.select("event_id", F.coalesce("department", F.lit("unknown")).alias("department"), F.coalesce("threat", F.lit("none")).alias("threat"), kind.alias("resource_class"), session.alias("session"))
 
 
-def guarded(ev: DataFrame) -> DataFrame:
-    """The guard's action on each event: halt on more than five privileged events of the actor in a row of a day, drop on impossible speed, flag on service accounts with interactive events."""
+def guarded(ev: DataFrame, us: int = 3 * DAY, most: int = 5, fastest: float = 900.0) -> DataFrame:
+    """The guard's action on each event: halt on more than so many privileged events of the actor within us (and on what follows while they are), drop on impossible speed, flag on service accounts with interactive events."""
     w = in_order()
-    runs = F.count(F.when(F.col("action") == "purchase", 1)).over(W.partitionBy("actor").orderBy("us").rangeBetween(-DAY * 3, 0))
+    runs = F.count(F.when(F.col("action") == "purchase", 1)).over(W.partitionBy("actor").orderBy("us").rangeBetween(-us, 0))
     km = haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
     kmh = F.round(km / F.greatest((F.col("us") - F.lag("us").over(w)) / float(HOUR), F.lit(1e-6)), 3)
-    rule = F.when(runs > 5, "rapid_escalation").when(kmh > 900, "impossible_geo").when((F.col("actor") % 7 == 0) & (F.col("action") == "click"), "service_interactive")
+    rule = F.when(runs > most, "rapid_escalation").when(kmh > fastest, "impossible_geo").when((F.col("actor") % 7 == 0) & (F.col("action") == "click"), "service_interactive")
     act = F.when(F.col("rule") == "rapid_escalation", "halt").when(F.col("rule") == "impossible_geo", "drop").when(F.col("rule").isNotNull(), "flag").otherwise("pass")
     return ev.select("event_id", rule.alias("rule")).select("event_id", "rule", act.alias("guard"))
 

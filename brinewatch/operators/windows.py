@@ -151,8 +151,12 @@ def summary(ev: DataFrame) -> DataFrame:
     return ev.groupBy("action").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
 
 
+#: User agents for test events: none, a script's, a library's, a browser's.
+AGENTS = ("", "curl", "python-requests", "Mozilla/5.0 (X11; Linux x86_64)")
+
+
 def placed(ev: DataFrame) -> DataFrame:
-    """Events with a made-up place, subnet, region, account, token, role and network, for detectors that need them."""
+    """Events with a made-up place, subnet, region, account, token, role, network and agent, for detectors that need them."""
     e = F.col("event_id")
     return (
         ev.withColumn("lat", ((e * 37) % 121 - 60).cast("double")).withColumn("lon", ((e * 73) % 301 - 150).cast("double"))
@@ -160,13 +164,13 @@ def placed(ev: DataFrame) -> DataFrame:
         .withColumn("ip", F.concat("subnet", F.lit("."), (e % 5).cast("string"))).withColumn("region", F.concat(F.lit("r"), (F.col("k") % 3).cast("string")))
         .withColumn("account", F.concat(F.lit("acc"), (F.col("k") % 7).cast("string"))).withColumn("token", F.concat(F.lit("tok"), (F.col("actor") % 11).cast("string")))
         .withColumn("role", F.concat(F.when(F.col("k") % 10 == 0, "AdminRole-").when(F.col("k") % 4 == 1, "svc-role-").otherwise("role-"), F.col("k").cast("string")))
-        .withColumn("asn", F.when(e % 29 == 0, "AS-tor-exit").otherwise(F.concat(F.lit("AS"), (F.col("k") % 50).cast("string"))))
+        .withColumn("agent", F.element_at(F.array(*map(F.lit, AGENTS)), (e % 4 + 1).cast("int"))).withColumn("asn", F.when(e % 29 == 0, "AS-tor-exit").otherwise(F.concat(F.lit("AS"), (F.col("k") % 50).cast("string"))))
     )
 
 
 PLACED = EV + """, pl AS (SELECT *, CAST((event_id * 37) % 121 - 60 AS DOUBLE) AS lat, CAST((event_id * 73) % 301 - 150 AS DOUBLE) AS lon, '10.' || (k % 4) || '.' || (event_id % 3) AS subnet,
  '10.' || (k % 4) || '.' || (event_id % 3) || '.' || (event_id % 5) AS ip, 'r' || (k % 3) AS region, 'acc' || (k % 7) AS account, 'tok' || (actor % 11) AS token,
- CASE WHEN k % 10 = 0 THEN 'AdminRole-' WHEN k % 4 = 1 THEN 'svc-role-' ELSE 'role-' END || k AS role, CASE WHEN event_id % 29 = 0 THEN 'AS-tor-exit' ELSE 'AS' || (k % 50) END AS asn FROM ev)"""
+ CASE WHEN k % 10 = 0 THEN 'AdminRole-' WHEN k % 4 = 1 THEN 'svc-role-' ELSE 'role-' END || k AS role, CASE WHEN event_id % 29 = 0 THEN 'AS-tor-exit' ELSE 'AS' || (k % 50) END AS asn, [""" + ", ".join(f"'{a}'" for a in AGENTS) + "][event_id % 4 + 1] AS agent FROM ev)"
 
 
 def _q(f, with_place: bool = False, **kw):

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from brinewatch.operators import graphs, intake, ledger
+from brinewatch.operators import exposure, graphs, intake, ledger
 from brinewatch.operators.windows import placed
 from brinewatch.plans import registry
 from brinewatch.sources.tables import events
@@ -51,12 +52,22 @@ def test_every_rejected_row_is_there(spark):
 def test_the_whole_graph_has_all_pairs(spark):
     pairs = {(r.c, r.s) for r in spark.sql(f"SELECT DISTINCT c_nationkey c, s_nationkey s FROM parquet.`{SF}/lineitem.parquet` JOIN parquet.`{SF}/orders.parquet` ON l_orderkey = o_orderkey JOIN parquet.`{SF}/customer.parquet` ON o_custkey = c_custkey JOIN parquet.`{SF}/supplier.parquet` ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey").collect()}
     assert {(r.src, r.dst) for r in graphs.trade(spark, SF, None).collect()} == pairs and len(pairs) > 75
-    assert registry.queries()["g10_density_whole"](spark, SF).first().edges == len(pairs)
+    assert registry.queries()["g10_density"](spark, SF).first().edges == len(pairs)
 
 
-def test_every_trade_query_is_there_for_the_whole_graph():
-    q = registry.queries()
-    assert all(f"{n}_whole" in q for n, sql in registry.oracle_sql().items() if sql.startswith(graphs._TRADE))
+def test_graph_queries_are_registered_on_all_pairs():
+    assert graphs.SMALL and set(graphs.SMALL) <= set(registry.queries()) and not any(graphs.STRONGEST in sql for sql in registry.oracle_sql().values())
+
+
+def test_sampled_betweenness_stays_within_its_bound(spark):
+    draw = random.Random(4)
+    edges = spark.createDataFrame(sorted({(a, b) for a in range(60) for b in draw.sample(range(60), 3) if a != b}), "src long, dst long")
+    exact = {r.node: r.betweenness for r in exposure.betweenness(edges).collect()}
+    some = {r.node: r.betweenness for r in exposure.betweenness(edges, 30).collect()}
+    n, e = 60, 0.25  # further off with a probability of 2 * exp(-2 * 30 / 16) = 0.05 each; betweenness is far below its bound in practice
+    assert set(some) == set(exact) and max(abs(some[v] - exact[v]) for v in exact) < e * n * (n - 2)
+    assert sum(abs(some[v] - exact[v]) for v in exact) < 0.5 * sum(exact.values())
+    assert exposure.betweenness(edges, 60).orderBy("node").collect() == exposure.betweenness(edges).orderBy("node").collect()
 
 
 def chain(spark, seqs):
