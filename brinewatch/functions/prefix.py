@@ -27,7 +27,7 @@ def sums_before(df: DataFrame, place: str, sums: dict[str, str | Column]) -> Dat
 def value_before(df: DataFrame, place: str, column: str, name: str) -> DataFrame:
     """df with the column's value in the row of the next smaller place that there is (null in the first)."""
     x = df.withColumn("_g", F.expr(f"`{place}` div {WIDTH}"))
-    ends = x.groupBy("_g").agg(F.max_by(column, place).alias("_last"))
-    ends = ends.select("_g", F.lag("_last").over(W.orderBy("_g")).alias("_end"))
+    ends = x.groupBy("_g").agg(F.max_by(column, place).alias("_g_last"))
+    ends = ends.select("_g", F.lag("_g_last").over(W.orderBy("_g")).alias("_g_end"))
     w = W.partitionBy("_g").orderBy(place)
-    return x.join(ends, "_g").withColumn(name, F.when(F.row_number().over(w) == 1, F.col("_end")).otherwise(F.lag(column).over(w))).drop("_g", "_end")
+    return x.join(ends, "_g").withColumn(name, F.when(F.row_number().over(w) == 1, F.col("_g_end")).otherwise(F.lag(column).over(w))).drop("_g", "_g_end")
