@@ -129,14 +129,60 @@ def _spread(labels: DataFrame, step: DataFrame) -> DataFrame:
     return labels
 
 
+def followed(step: DataFrame, inner: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where each of inner(node), which have one way out each over step (src, dst), comes out: (node, end), and rings: (node, least), of those that never do.
+
+    Ways are doubled each round, and only those that are still inside go on, so a way of n nodes takes about log2(n) rounds.
+    """
+    n, inside = inner.count(), inner.select(F.col("node").alias("end"), F.lit(True).alias("open"))
+    told = lambda rows: cut(rows.join(inside, "end", "left").select("node", "end", "least", F.coalesce("open", F.lit(False)).alias("open")))
+    moving = told(step.join(inner, step.src == inner.node, "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("end"), F.col("src").alias("least")))
+    out = moving.where("not open")
+    for _ in range(n.bit_length()):
+        on = out.unionAll(moving.where("open")).select(F.col("node").alias("end"), F.col("end").alias("next"), F.col("least").alias("other"))
+        moving = told(moving.where("open").join(on, "end").select("node", F.col("next").alias("end"), F.least("least", "other").alias("least")))
+        out = out.unionAll(moving.where("not open"))
+        if moving.where("open").isEmpty():
+            break
+    return out.select("node", "end"), moving.where("open").select("node", "least")
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """Strong components of more than one node, of any width: (node, component: its least node, size).
 
-    Colouring: every node takes the smallest node that reaches it as its colour; going backwards within a colour from that node
+    Nodes with one way in and one way out are followed to where their way begins and ends (by doubling), and an edge stands for the way; so long chains and
+    rings cost few rounds. They belong to a component if both its ends do.
+    """
+    step = cut(edges.where("src != dst").select("src", "dst").distinct())
+    ins, outs = step.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")), step.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+    inner = cut(ins.where("n = 1").join(outs.where("n = 1"), "node", "left_semi").select("node"))
+    if inner.isEmpty():
+        return _coloured(step)
+    ends, rings = followed(step, inner)
+    begins, _ = followed(step.select(F.col("dst").alias("src"), F.col("src").alias("dst")), inner)
+    ends = cut(ends)
+    ways = cut(begins.select("node", F.col("end").alias("begin")).join(ends, "node"))
+    outer = step.join(inner.select(F.col("node").alias("src")), "src", "left_anti")
+    short = outer.join(ends.select(F.col("node").alias("dst"), "end"), "dst", "left").select("src", F.coalesce("end", "dst").alias("dst"))
+    short = cut(short.join(rings.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    found = cut(_coloured(short.where("src != dst")).select("node", "component"))
+    loops = short.where("src = dst").select(F.col("src").alias("node")).join(found, "node", "left_anti").distinct()
+    found = found.unionAll(loops.select("node", F.col("node").alias("component")))
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+    between = ways.join(of("begin"), "begin").join(of("end"), "end").where("begin_component = end_component").select("node", F.col("begin_component").alias("component"))
+    all_found = cut(found.unionAll(between).unionAll(rings.select("node", F.col("least").alias("component"))))
+    sizes = all_found.groupBy("component").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
+    return all_found.join(sizes, "component").select("node", F.col("least").alias("component"), "size")
+
+
+def _coloured(step: DataFrame) -> DataFrame:
+    """Strong components of step (src, dst) by colouring.
+
+    Every node takes the smallest node that reaches it as its colour; going backwards within a colour from that node
     gives that node's component. What is found goes, and edges between colours, which no component crosses; the rest is coloured again.
     No closure of all pairs is ever written.
     """
-    step = cut(edges.where("src != dst").select("src", "dst").distinct())
+    edges = step
     found: list[DataFrame] = []
     while not step.isEmpty():
         nodes = step.select(F.col("src").alias("node")).union(step.select("dst")).distinct()

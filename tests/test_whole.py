@@ -70,6 +70,53 @@ def test_sampled_betweenness_stays_within_its_bound(spark):
     assert exposure.betweenness(edges, 60).orderBy("node").collect() == exposure.betweenness(edges).orderBy("node").collect()
 
 
+def components(pairs):
+    """Strong components of more than one node, by reach both ways."""
+    ways = {}
+    for a, b in pairs:
+        ways.setdefault(a, set()).add(b)
+    reach = {}
+    for a in {x for p in pairs for x in p}:
+        seen, todo = set(), [a]
+        while todo:
+            for b in ways.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        reach[a] = seen
+    out = {}
+    for a, seen in reach.items():
+        same = {b for b in seen if a in reach[b]} | {a}
+        if len(same) > 1:
+            out[a] = (min(same), len(same))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cycles_of_graphs_with_chains_and_rings(spark, seed):
+    draw = random.Random(seed)
+    pairs = {(draw.randint(0, 15), draw.randint(0, 15)) for _ in range(14 + 3 * seed)}
+    for k, n in enumerate((1, 2, 5, 9)):  # chains between nodes, from one to itself, into nothing; rings
+        a, b = draw.randint(0, 15), draw.choice([draw.randint(0, 15), 900 + k])
+        way = [a, *range(100 + 20 * k, 100 + 20 * k + n), b if k % 2 else a]
+        pairs |= set(zip(way, way[1:], strict=False))
+        ring = [*range(300 + 20 * k, 302 + 20 * k + n)]
+        pairs |= set(zip(ring, [*ring[1:], ring[0]], strict=True))
+    got = {r.node: (r.component, r["size"]) for r in graphs.cycles(spark.createDataFrame(sorted(pairs), "src long, dst long")).collect()}
+    assert got == components({p for p in pairs if p[0] != p[1]})
+
+
+def test_a_chain_of_a_hundred_thousand_nodes(spark, monkeypatch):
+    rounds = []
+    cut = graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: (rounds.append(1), cut(df))[1])
+    n = 100_000
+    line = spark.range(n).selectExpr("id AS src", "id + 1 AS dst")
+    ring = spark.range(n).selectExpr(f"id + {2 * n} AS src", f"(id + 1) % {n} + {2 * n} AS dst")
+    got = graphs.cycles(line.unionAll(ring)).groupBy("component", "size").agg(F.count("*").alias("n")).collect()
+    assert [tuple(r) for r in got] == [(2 * n, n, n)] and len(rounds) < 90  # two tables a round, 18 rounds each way
+
+
 def chain(spark, seqs):
     return ledger.records(spark.createDataFrame([(s, s, 1, "view", "r", 1, 1.0) for s in seqs], "event_id long, us long, actor long, action string, resource string, k long, value double"))
 
