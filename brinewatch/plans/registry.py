@@ -17,7 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql.replace(graphs.STRONGEST, "") for name, sql in small_sql().items()}
+    return {name: sql.replace(graphs.STRONGEST, "") if sql.startswith(graphs._TRADE) else sql for name, sql in small_sql().items()}
 
 
 def small_sql() -> dict[str, str]:
