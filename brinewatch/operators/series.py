@@ -89,13 +89,28 @@ def rolling(ev: DataFrame) -> DataFrame:
     return m.select("action", "day", F.round("m", 5).alias("mean"), F.round(F.col("m") - F.lag("m").over(w), 5).alias("move"))
 
 
+def forecast(ev: DataFrame, hours: int = 24, decay: float = 0.99, band: float = 0.2) -> DataFrame:
+    """(actor, step, risk, low, high): each actor's risk in the hours after its last event, by trend and hour of day.
+
+    The trend is the last centred mean of min(7, n / 2) events' risks (a 300th of the value, 1 at most), falling by 1 % an hour; nine to five adds a tenth, other hours take one off. Under seven events there is none.
+    """
+    last = W.partitionBy("actor").orderBy(F.desc("us"), F.desc("event_id"))
+    x = ev.select("actor", "us", "ts", F.least(F.col("value") / 300, F.lit(1.0)).alias("risk"), F.row_number().over(last).alias("r"), F.count("*").over(W.partitionBy("actor")).alias("n"))
+    x = x.where((F.col("n") >= 7) & (F.col("r") <= F.least(F.lit(7), F.expr("n div 2"))))
+    a = x.groupBy("actor").agg(F.avg("risk").alias("trend"), F.hour(F.max("ts")).alias("hour"))
+    a = a.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(hours))))
+    busy = F.when(((F.col("hour") + F.col("step")) % 24).between(9, 17), 1.1).otherwise(0.9)
+    risk = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("trend") * F.pow(F.lit(decay), F.col("step")) * busy))
+    return a.withColumn("risk", risk).select("actor", "step", *(F.round(c, 6).alias(n) for n, c in (("risk", F.col("risk")), ("low", F.greatest(F.lit(0.0), F.col("risk") - band)), ("high", F.least(F.lit(1.0), F.col("risk") + band)))))
+
+
 def _e(f):
     return lambda s, d: f(events(s, d))
 
 
 QUERIES = {
     "m1_beliefs": _e(beliefs), "m2_confidence": _e(confidence), "m8_conjugate": _e(conjugate), "m24_likelihood_grid": _e(likelihood_grid), "m12_trends": _e(trends), "m13_seasonality": _e(seasonality), "m14_anomalies": _e(anomalies),
-    "m15_smoothed": _e(smoothed), "m19_acceleration": _e(acceleration), "m18_rolling": _e(rolling),
+    "m15_smoothed": _e(smoothed), "m19_acceleration": _e(acceleration), "m18_rolling": _e(rolling), "m18_forecast": _e(forecast),
 }
 
 _D = EV + f", dd AS (SELECT action, us // {DAY} AS day, avg(value) AS x FROM ev GROUP BY ALL)"
@@ -110,5 +125,8 @@ ORACLE = {
     "m14_anomalies": _D + ", z AS (SELECT *, count(*) OVER (PARTITION BY action) AS n, abs(x - avg(x) OVER (PARTITION BY action)) / stddev_pop(x) OVER (PARTITION BY action) AS z FROM dd) SELECT action, day, round(least(1.0, z / 3), 5) AS score FROM z WHERE n >= 5",
     "m15_smoothed": _D + ", s AS (SELECT action, list(x ORDER BY day) AS v FROM dd GROUP BY action) SELECT action, round(list_reduce(v, lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a), 5) AS level, round(v[-1] * pow(0.7, 2), 5) AS ar2 FROM s",
     "m19_acceleration": _D + ", d AS (SELECT action, day, lead(x) OVER w - 2 * x + lag(x) OVER w AS d2 FROM dd WINDOW w AS (PARTITION BY action ORDER BY day)), r AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY day DESC) AS r FROM d WHERE d2 IS NOT NULL) SELECT action, round(avg(d2), 5) AS acceleration, avg(d2) > 0.2 AS accelerating FROM r WHERE r <= 5 GROUP BY action",
+    "m18_forecast": EV + """, x AS (SELECT actor, ts, least(value / 300, 1.0) AS risk, row_number() OVER (PARTITION BY actor ORDER BY us DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY actor) AS n FROM ev),
+ a AS (SELECT actor, avg(risk) AS trend, hour(max(ts)) AS h FROM x WHERE n >= 7 AND r <= least(7, n // 2) GROUP BY actor), f AS (SELECT actor, step::INT AS step, greatest(0.0, least(1.0, trend * pow(0.99, step) * CASE WHEN (h + step) % 24 BETWEEN 9 AND 17 THEN 1.1 ELSE 0.9 END)) AS risk FROM a, range(1, 25) t(step))
+ SELECT actor, step, round(risk, 6) AS risk, round(greatest(0.0, risk - 0.2), 6) AS low, round(least(1.0, risk + 0.2), 6) AS high FROM f""",
     "m18_rolling": _D + ", m AS (SELECT action, day, avg(x) OVER (PARTITION BY action ORDER BY day ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS m FROM dd) SELECT action, day, round(m, 5) AS mean, round(m - lag(m) OVER (PARTITION BY action ORDER BY day), 5) AS move FROM m",
 }
