@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from brinewatch.operators import baselines, escalation, series
 from brinewatch.operators.windows import PLACED, placed
-from brinewatch.sources.tables import DAY, EV, HOUR, cut, events, shared_dir
+from brinewatch.sources.tables import DAY, EV, HOUR, cut, events, read, shared_dir
 
 # The weights of the composite's dimensions.
 WEIGHTS = {"identity": 0.35, "exposure": 0.30, "velocity": 0.20, "graph": 0.15}
@@ -93,6 +95,36 @@ def adapted(vectors: DataFrame, alpha: float = 0.05, limit: float = 1.05) -> Dat
     return m.groupBy("label").agg(F.count("*").alias("dimensions"), F.round(F.sqrt(F.sum(F.col("m") * F.col("m"))), 4).alias("norm"))
 
 
+def moving_baseline(vectors: DataFrame, alpha: float = 0.05, limit: float = 0.35, metric: str = "l2", overrides: Mapping[int, float] | None = None) -> DataFrame:
+    """(label, vec_id, distance, drifting): each vector against its label's baseline as it stands before it. The first vector is the first baseline; one within the limit (or the label's override) moves it by
+    alpha, rounded to six digits, one beyond it does not. Whether a vector counts hangs on those before it, so a label is a stream in order that holds one vector."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, base = None, np.zeros(0)
+        for b in batches:
+            distances, drifts = [], []
+            for k, e in zip(b.column("label").to_pylist(), b.column("e").to_pylist(), strict=True):
+                v = np.array(e, float)
+                if label is None or k != label:
+                    label, base = k, v
+                    distances.append(0.0)
+                    drifts.append(False)
+                    continue
+                if metric == "l2":
+                    d = float(np.sqrt(((base - v) ** 2).sum()))
+                else:
+                    size = float(np.sqrt((base @ base) * (v @ v)))
+                    d = 1 - max(-1.0, min(1.0, float(base @ v) / size)) if size else 1.0
+                distances.append(d)
+                drifts.append(d > (overrides or {}).get(k, limit))
+                if not drifts[-1]:
+                    base = np.round((1 - alpha) * base + alpha * v, 6)
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("vec_id"), pa.array(distances, pa.float64()), pa.array(drifts, pa.bool_())], ["label", "vec_id", "distance", "drifting"])
+
+    x = vectors.where("label is not null and embedding is not null").select(F.col("label").cast("long").alias("label"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    return x.repartition("label").sortWithinPartitions("label", "vec_id").mapInArrow(stream, "label long, vec_id long, distance double, drifting boolean")
+
+
 OPERATORS = {
     "eq": lambda c, v: c == F.lit(v), "neq": lambda c, v: c != F.lit(v), "gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v, "in": lambda c, v: c.isin(*v),
     "not_in": lambda c, v: ~c.isin(*v), "contains": lambda c, v: c.contains(v), "starts_with": lambda c, v: c.startswith(v), "exists": lambda c, v: c.isNotNull(), "not_exists": lambda c, v: c.isNull(),
@@ -229,7 +261,7 @@ def _vectors(s, d):
 
 
 QUERIES = {
-    "r2_exposure": _p(exposure), "r5_composite": _p(composite), "r5_report": _p(risk_report), "r16_metrics": _e(risk_metrics), "r10_signals": _e(aggregated_signals), "bl11_distance": _e(feature_distance), "bl10_stale": _e(stale_baselines), "bl8_soft_limits": _e(soft_limits), "bl7_adapted": _vectors,
+    "r2_exposure": _p(exposure), "r5_composite": _p(composite), "r5_report": _p(risk_report), "r16_metrics": _e(risk_metrics), "r10_signals": _e(aggregated_signals), "bl11_distance": _e(feature_distance), "bl10_stale": _e(stale_baselines), "bl8_soft_limits": _e(soft_limits), "bl7_adapted": _vectors, "bl7_moving": lambda s, d: moving_baseline(read(s, d, "embeddings"), limit=1.38, overrides={1: 1.45, 2: 1.3}).select("label", "vec_id", F.round("distance", 4).alias("distance"), "drifting"),
     "q3_typed": _p(typed_decisions), "q7_governed": _e(governed), "l17_witnesses": _e(witnesses), "m21_features": _e(node_features), "m20_cycles": _e(series_cycles), "s3_appended": appended, "s12_baselines": stored_baselines, "s19_exported": exported_audit,
 }
 _HEAD = PLACED.replace("WITH ev", "WITH RECURSIVE ev") + escalation._WAYS
@@ -238,7 +270,12 @@ _EXPO = """, ne AS (SELECT actor, min(hops) + 1 AS hops FROM asm WHERE hops IS N
 _COMP = _HEAD + _EXPO + baselines._RISK.replace(EV, "") + """, gr AS (SELECT actor, round(0.6 * least(50, 12 * ln(1 + count(DISTINCT resource))), 4) AS graph FROM ev GROUP BY actor), co AS (SELECT actor, identity, exposure, velocity, graph, round(0.35 * identity + 0.3 * exposure + 0.2 * velocity + 0.15 * graph, 6) AS score, round(0.35 * identity, 6) AS p1, round(0.3 * exposure, 6) AS p2, round(0.2 * velocity, 6) AS p3, round(0.15 * graph, 6) AS p4
  FROM rs JOIN eo USING (actor) JOIN gr USING (actor)), cs AS (SELECT actor, identity, exposure, velocity, graph, score, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 35 THEN 'medium' WHEN score >= 15 THEN 'low' ELSE 'minimal' END AS tier, CASE greatest(p1, p2, p3, p4) WHEN p3 THEN 'velocity' WHEN p1 THEN 'identity' WHEN p4 THEN 'graph' ELSE 'exposure' END AS dominant FROM co)"""
 _DAILY = EV + f", d AS (SELECT action, us // {DAY} AS day, avg(value) AS x FROM ev GROUP BY ALL)"
+_LIMIT = "CASE o.label WHEN 1 THEN 1.45 WHEN 2 THEN 1.3 ELSE 1.38 END"
 ORACLE = {
+    "bl7_moving": f"""WITH RECURSIVE o AS (SELECT label::BIGINT AS label, vec_id::BIGINT AS vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+ w AS (SELECT label, vec_id, r, e AS base, 0.0::DOUBLE AS distance, false AS drifting FROM o WHERE r = 1
+  UNION ALL SELECT o.label, o.vec_id, o.r, CASE WHEN list_distance(w.base, o.e) > {_LIMIT} THEN w.base ELSE list_transform(list_zip(w.base, o.e), lambda x: round(0.95 * x[1] + 0.05 * x[2], 6)) END, list_distance(w.base, o.e), list_distance(w.base, o.e) > {_LIMIT} FROM w JOIN o ON o.label = w.label AND o.r = w.r + 1)
+ SELECT label, vec_id, round(distance, 4) AS distance, drifting FROM w""",
     "r2_exposure": _HEAD + _EXPO + " SELECT actor, hops, sensitive, exposure FROM eo",
     "r5_composite": _COMP + " SELECT * FROM cs",
     "r5_report": _COMP + " SELECT tier, count(*) AS n, round(avg(score), 4) AS mean, min(score) AS least, max(score) AS most FROM cs GROUP BY tier",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from brinewatch.functions import periods
+from brinewatch.operators import posture
 from brinewatch.operators.windows import sliding_distinct
 
 
@@ -26,6 +28,29 @@ def test_sliding_distinct_and_count(rows):
     assert got == {e: sum(k2 == k and us - 40 <= u2 <= us for _, k2, _, u2 in plain) for e, k, _, us in plain}
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_baselines_that_move(spark, metric):
+    draw = random.Random(6)
+    vectors = [(i, draw.randint(0, 2), [draw.gauss(1, 0.6) for _ in range(4)]) for i in range(90)] + [(90, None, [1.0] * 4), (91, 1, None), (92, 2, [0.0] * 4)]
+    df = spark.createDataFrame(vectors, "vec_id long, label long, embedding array<double>").repartition(3)
+    limits, base, want = {0: 0.9, 1: 0.4, 2: 0.4}, {}, {}
+    for i, k, v in vectors:
+        if k is None or v is None:
+            continue
+        b = base.get(k)
+        d = 0.0
+        if b:
+            size = math.sqrt(sum(x * x for x in b)) * math.sqrt(sum(x * x for x in v))
+            d = math.dist(b, v) if metric == "l2" else 1 - sum(x * y for x, y in zip(b, v, strict=True)) / size if size else 1.0
+        want[i] = (pytest.approx(d, abs=1e-5), d > limits[k])
+        if not b:
+            base[k] = v
+        elif d <= limits[k]:
+            base[k] = [round(0.95 * x + 0.05 * y, 6) for x, y in zip(b, v, strict=True)]
+    got = {r.vec_id: (r.distance, r.drifting) for r in posture.moving_baseline(df, limit=0.4, metric=metric, overrides={0: 0.9}).collect()}
+    assert got == want and {x for _, x in want.values()} == {True, False}
+
+
 def test_neighbours_and_least_before(rows):
     df, plain = rows
     x = periods.cut_up(df, 100)
