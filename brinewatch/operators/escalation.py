@@ -45,7 +45,8 @@ def ways_up(ev: DataFrame) -> DataFrame:
     edges = cut(trust(ev))
     roles = ev.select("k").where("k is not null").distinct()
     own = roles.select("k", F.col("k").alias("node"), F.lit(0).cast("bigint").alias("hops"))
-    led = graphs.reach(edges, DEPTH).select(F.col("root").alias("k"), "node", "hops")
+    back, high = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roles.where("k % 10 = 0").select(F.col("k").alias("root"))
+    led = graphs.reach(back, DEPTH, high).select(F.col("node").alias("k"), F.col("root").alias("node"), "hops")  # backwards: only from roles of high privilege
     up = own.unionByName(led).where("node % 10 = 0").groupBy("k").agg(F.min(F.struct("hops", "node")).alias("a"), F.max("hops").alias("far"))
     on = graphs.cycles(edges).select(F.col("node").alias("k"), F.lit(True).alias("cyclic"))
     found = roles.join(up, "k", "left").join(on, "k", "left")
