@@ -49,7 +49,7 @@ def test_stages_do_the_whole_job(spark):
 
 
 def test_every_operator_is_registered():
-    assert [q.split("_")[0] for q in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_awkward_rows_pass_all_stages(spark, awkward, nothing):
