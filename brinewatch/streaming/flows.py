@@ -41,19 +41,19 @@ def drift(events: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, mean, m2, worst = state.get if state.exists else (0, 0.0, 0.0, 0.0)
-        for b in batches:
-            for x in b.sort_values(["ts", "event_id"])["value"]:
-                if n > 1 and m2 > 1e-12:
-                    worst = max(worst, abs(x - mean) / math.sqrt(m2 / n))
-                n += 1
-                d = x - mean
-                mean += d / n
-                m2 += d * (x - mean)
+        # a user's rows may come in several Arrow batches, in any order: they are ordered over all of them
+        for x in pd.concat(batches, ignore_index=True).sort_values(["ts", "event_id"])["value"]:
+            if n > 1 and m2 > 1e-12:
+                worst = max(worst, abs(x - mean) / math.sqrt(m2 / n))
+            n += 1
+            d = x - mean
+            mean += d / n
+            m2 += d * (x - mean)
         state.update((n, mean, m2, worst))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "mean": [mean], "deviation": [math.sqrt(m2 / n)], "worst": [worst]})
 
     out = "user_id long, n long, mean double, deviation double, worst double"
-    return events.groupBy("user_id").applyInPandasWithState(step, out, "n long, mean double, m2 double, worst double", "update", GroupStateTimeout.NoTimeout)
+    return events.select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandasWithState(step, out, "n long, mean double, m2 double, worst double", "update", GroupStateTimeout.NoTimeout)
 
 
 def run_now(flow: DataFrame, mode: str = "append") -> DataFrame:

@@ -31,3 +31,23 @@ def test_rows_do_not_pass_the_driver(spark, monkeypatch):
     monkeypatch.setattr(flows, "run_now", refuse)
     for name in ("k6_unique_events", "s9_drift"):
         assert flows.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_drift_is_in_order_over_arrow_batches(spark, tmp_path):
+    rows = spark.sql("SELECT id AS event_id, timestamp_micros(1704067200000000 + (id * 37 % 101) * 1000000)::timestamp_ntz AS ts, 1L AS user_id, 'view' AS event_type, CAST((id * 37 % 101) * (id * 37 % 101 + 7) AS double) AS value, '' AS props FROM range(101)")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/0")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    try:
+        events = spark.readStream.schema(EVENT).option("recursiveFileLookup", "true").parquet(str(tmp_path)).withColumn("ts", flows.F.col("ts").cast("timestamp"))
+        got = flows.latest(flows.drift(events), "user_id").first()
+    finally:
+        spark.conf.set(name, before)
+    seen, worst = [], 0.0
+    for x in (float(i * (i + 7)) for i in range(101)):
+        if len(seen) > 1:
+            mean = sum(seen) / len(seen)
+            worst = max(worst, abs(x - mean) / (sum((y - mean) ** 2 for y in seen) / len(seen)) ** 0.5)
+        seen.append(x)
+    assert got.n == 101 and abs(got.worst - worst) < 1e-6
