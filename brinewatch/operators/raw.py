@@ -81,12 +81,13 @@ def opened(raw: DataFrame, column: str = "payload") -> DataFrame:
     t = raw.withColumn("_t", text_of(F.col(column)))
     # a queue body or a stream record holds text of its own: at most two layers are taken off
     for _ in range(2):
-        body, data = F.get_json_object("_t", "$.body"), F.get_json_object("_t", "$.kinesis.data")
+        has = lambda name: F.col("_t").contains(name) | F.col("_t").contains("\\u")  # noqa: E731, only such texts are searched for the key (which may be written in escapes)
+        body, data = F.when(has("body"), F.get_json_object("_t", "$.body")), F.when(has("kinesis"), F.get_json_object("_t", "$.kinesis.data"))
         inner = F.coalesce(F.when(F.ltrim(body).startswith("{"), body), utf8(F.try_to_binary(data, F.lit("base64"))))
         t = t.withColumn("_t", F.coalesce(inner, F.col("_t")))
     cloud = F.from_json("_t", CLOUD_EVENT)
     records = F.from_json(F.get_json_object("_t", "$.Records"), f"array<struct<{TRAIL_RECORD.replace(' string', ':string').replace(' struct', ':struct')}>>")
-    t = t.where("_t is not null").withColumns({"_c": cloud, "_r": records, "_o": F.from_json("_t", PLAIN)})
+    t = t.withColumns({"_c": cloud, "_r": records, "_o": F.from_json("_t", PLAIN)})
     none = F.lit(None).cast("string")
 
     def event(**given: Column) -> Column:
@@ -98,7 +99,8 @@ def opened(raw: DataFrame, column: str = "payload") -> DataFrame:
     of_plain = event(**{f: F.col(f"_o.{f}") for f in FIELDS}, envelope=F.lit("none"))
     is_cloud = c["specversion"].isNotNull() & c["id"].isNotNull() & c["source"].isNotNull() & c["type"].isNotNull()
     found = F.when(is_cloud, F.array(of_cloud)).when(F.get(F.col("_r"), F.lit(0))["eventName"].isNotNull(), F.transform("_r", of_trail)).otherwise(F.array(of_plain))
-    return t.select(F.explode(found).alias("_e")).select("_e.*")
+    # filters on _t or before explode would be pushed below the projections, and payloads opened and parsed again for each
+    return t.select(F.explode_outer(F.when(F.col("_t").isNotNull(), found)).alias("_e")).where("_e is not null").select("_e.*")
 
 
 def unreadable(raw: DataFrame, column: str = "payload") -> DataFrame:

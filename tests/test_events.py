@@ -151,3 +151,17 @@ def test_trend_p_values(spark):
     # known values of Student's t: r = .5 of ten and r = .9 of five
     got = spark.createDataFrame([(0.25 * 8 / 0.75, 8.0), (0.81 * 3 / 0.19, 3.0)], "t2 double, df double").select(F.pandas_udf(attack._two_sided, "double")("t2", "df").alias("p")).collect()
     assert [round(r.p, 4) for r in got] == [0.1411, 0.0374]
+
+
+def test_payloads_are_opened_once(spark):
+    from brinewatch.sources.tables import events
+
+    rows = raw.opened(raw.wrapped(events(spark, "/root/testdata/sf0.001"))).where("actor is not null")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # one closes the test's payloads, one opens them
+
+
+def test_a_body_under_an_escaped_key_is_opened(spark):
+    inner = '{\\"source\\":\\"app\\",\\"event_id\\":\\"7\\"}'
+    rows = spark.createDataFrame([(f'{{"\\u0062ody":"{inner}"}}'.encode(),), (b"no json",), (None,), (b"[]",)], "payload binary")
+    assert [(r.event_id, r.source) for r in raw.opened(rows).collect()] == [("7", "app"), (None, None)]
