@@ -1,11 +1,10 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney model of characters, and quantile thresholds by language.
 
-Trained on a bounded sample of trusted texts (labelled good and not toxic): those of the smallest hashed doc_id, at most SAMPLE and at most CHARS characters in all, none of over a
-quarter of that; less a fifth. All other trusted texts are held back. N-gram counts
+Trained on all trusted texts (labelled good and not toxic), one row a doc_id, less the fifth whose hashed doc_id is held back. A caller may bound them: sample takes so many of the smallest hashed
+doc_id, chars so many characters in all, none of over a quarter of that; what is left out then counts as held back. N-gram counts
 are summed in Spark, sharded by n-gram; continuation counts, discounts, context masses and interpolated probabilities come from
-joins of one order with the next lower one. All n-grams are kept, so the tables hold at most ORDER rows for each character of the sample (some hundred
-thousand in all on texts of one script); they are broadcast, and every whole text is scored in one pass without a shuffle. A join of
-each text's n-grams with the tables instead would shuffle ten times the input.
+joins of one order with the next lower one. All n-grams are kept. Distinct n-grams of characters grow far slower than the texts: while the tables hold at most TABLE rows together they are
+broadcast, and every whole text is scored in one pass without a shuffle. Larger ones stay distributed: each distinct n-gram of the texts gets its probability by joins, and the texts' counts are joined with those.
 
 A text's perplexity is per character, with one end. A language's threshold is its centre plus its spread, both in log perplexity. The centre is the median of its held-back texts,
 and the spread 1 + MARGIN times the distance from there to their QUANTILE; each is weighed by their number against SHRINK texts' worth of what all languages say: the median of all the language's trusted texts, corrected
@@ -28,13 +27,13 @@ from brinewatch.llm.tables import attached, dropped, saved
 from brinewatch.llm.words import mix
 
 ORDER = 4
-SAMPLE = 20_000
-CHARS = 8_000_000
+TABLE = 8_000_000
 NONE = "\x00none"
 QUANTILE = 0.99
 MARGIN = 0.5
 SHRINK = 50
 START, END = 0x110000, 0x110001
+NAMES = ("g4", "c4", "g3", "c3", "g2", "c2", "g1")
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 PIECE = 1 << 20
 
@@ -71,7 +70,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             real[s - ORDER + 1 : s] = False
         u, at, n = np.unique(k[real], return_index=True, return_counts=True)
         cols = [u, ctx[real][at], low[real][at], contexts(c, ORDER - 1)[1:][real][at], grams(c, ORDER - 2)[2:][real][at], contexts(c, ORDER - 2)[2:][real][at], grams(c, 1)[3:][real][at]]
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols] + [pa.array(n.astype(np.int64))], ["g4", "c4", "g3", "c3", "g2", "c2", "g1", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols] + [pa.array(n.astype(np.int64))], [*NAMES, "n"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -102,10 +101,9 @@ def _level(counts: DataFrame, lower: DataFrame, uniform: float) -> tuple[DataFra
     return rows.select("g", p.alias("p")), ctx.select("c", "back")
 
 
-def fit(texts: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]], float] | None:
-    """Sorted (key, probability) and (context, back-off mass) arrays of each order from 1 on, and the uniform share; None without texts."""
-    names = ("g4", "c4", "g3", "c3", "g2", "c2", "g1")
-    top = saved(texts.mapInArrow(_count, ", ".join(f"{c} long" for c in (*names, "n"))).groupBy(*names).agg(F.sum("n").alias("n")), "ngrams")
+def fit(texts: DataFrame, most: int = TABLE) -> tuple[list, list, float] | None:
+    """Sorted (key, probability) and (context, back-off mass) arrays of each order from 1 on, and the uniform share; None without texts. Tables of more than so many rows stay DataFrames."""
+    top = saved(texts.mapInArrow(_count, ", ".join(f"{c} long" for c in (*NAMES, "n"))).groupBy(*NAMES).agg(F.sum("n").alias("n")), "ngrams")
     if top.isEmpty():
         return None
     tables = {}
@@ -119,17 +117,21 @@ def fit(texts: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tup
     backs = {}
     for k in range(1, ORDER + 1):
         p, back = _level(counts[k], lower, uniform)
-        tables[k], backs[k] = saved(p, f"p{k}"), back
+        tables[k], backs[k] = saved(p, f"p{k}"), saved(back, f"back{k}")
         lower = tables[k]
 
+    dropped(top)
+    if sum(df.count() for df in (*tables.values(), *backs.values())) > most:
+        return list(tables.values()), list(backs.values()), uniform
+
     def arrays(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-        got = df.toPandas()  # bounded by the sample's characters
+        got = df.toPandas()  # at most so many rows
         key = got.iloc[:, 0].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(key)
         return key[order], got[value].to_numpy(float)[order]
 
     out = [arrays(tables[k], "p") for k in range(1, ORDER + 1)], [arrays(backs[k], "back") for k in range(1, ORDER + 1)], uniform
-    for df in (top, *tables.values()):
+    for df in (*tables.values(), *backs.values()):
         dropped(df)
     return out
 
@@ -173,6 +175,30 @@ def scored(docs: DataFrame, model) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, lang string, n_chars long, log_perplexity double")
 
 
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct top n-grams with the keys of their suffixes and contexts, and how often they occur."""
+    for b in batches:
+        for key, text in zip(b.column("_key").to_pylist(), b.column("text").to_pylist(), strict=True):
+            c, _ = symbols([text])
+            u, at, n = np.unique(grams(c, ORDER), return_index=True, return_counts=True)
+            cols = [u, contexts(c, ORDER)[at], grams(c, 3)[1:][at], contexts(c, 3)[1:][at], grams(c, 2)[2:][at], contexts(c, 2)[2:][at], grams(c, 1)[3:][at]]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(u), pa.string()), *(pa.array(x.view(np.int64)) for x in cols), pa.array(n.astype(np.int64))], ["_key", *NAMES, "n"])
+
+
+def scored_by_joins(docs: DataFrame, model) -> DataFrame:
+    """What scored gives, from tables that stay distributed; equal texts are scored once."""
+    probs, backs, uniform = model
+    docs = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_key", F.sha2("text", 256))
+    found = saved(docs.groupBy("_key").agg(F.first("text").alias("text")).mapInArrow(_grams_of, "_key string, " + ", ".join(f"{c} long" for c in (*NAMES, "n"))), "text-ngrams")
+    p = found.select(*NAMES).distinct().withColumns({"c1": F.lit(0).cast("long"), "p": F.lit(uniform)})
+    for n in range(1, ORDER + 1):  # a seen n-gram's own probability, else back-off mass times the lower order's
+        p = p.join(backs[n - 1].withColumnRenamed("c", f"c{n}"), f"c{n}", "left").join(probs[n - 1].select(F.col("g").alias(f"g{n}"), F.col("p").alias("own")), f"g{n}", "left")
+        p = p.withColumn("p", F.coalesce("own", F.coalesce("back", F.lit(1.0)) * F.col("p"))).drop("own", "back")
+    log_p = found.select("_key", "g4", "n").join(p.select("g4", F.log10("p").alias("lp")), "g4").groupBy("_key").agg(F.sum(F.col("n") * F.col("lp")).alias("lp"))
+    n_chars = F.length("text").cast("long")
+    return docs.join(log_p, "_key").select("doc_id", "lang", n_chars.alias("n_chars"), (-F.col("lp") / (n_chars + 1)).alias("log_perplexity"))
+
+
 def limits_of(rows: DataFrame) -> tuple[DataFrame, float | None]:
     """(lang, limit) from (lang, log_perplexity, _own), a row for each trusted text, _own null where the model was fitted on it; and the limit of all together."""
     at = lambda c, q: F.percentile_approx(c, q, 10_000)
@@ -189,29 +215,33 @@ def limits_of(rows: DataFrame) -> tuple[DataFrame, float | None]:
     return by.select("lang", (F.col("centre") + (1 + MARGIN) * spread).alias("limit")), whole.q + MARGIN * (whole.q - whole.own)
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, sample: int | None = None, chars: int | None = None, most: int = TABLE) -> DataFrame:
     """docs(doc_id, text, lang, ...) to (doc_id, lang, n_chars, perplexity, threshold, kept), a row for each of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit(NONE)).alias("lang"))
     said = F.when(F.col("lang") != NONE, F.col("lang")).alias("lang")
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0")
-    chosen = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    mine = docs.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang")).alias("x"))
-    # of rows that repeat a doc_id the one of the least text; texts in the order of their hash, while they fit
-    trusted = saved(mine.select("doc_id", "x.*", F.xxhash64("doc_id").alias("_h")).where(F.length("text") <= chars // 4), "trusted")
-    sizes = trusted.select("doc_id", F.sum(F.length("text") + 1).over(Window.orderBy("_h", "doc_id")).alias("_sum"))  # at most sample rows, ids and sizes only
-    trusted_ids = sizes.where(F.col("_sum") <= chars).select("doc_id")
+    chosen = good.select("doc_id")
+    if sample is not None:
+        chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    mine = docs.join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang")).alias("x"))
+    # of rows that repeat a doc_id the one of the least text
+    trusted = mine.select("doc_id", "x.*")
+    if chars is not None:  # texts in the order of their hash, while they fit
+        trusted = saved(trusted.withColumn("_h", F.xxhash64("doc_id")).where(F.length("text") <= chars // 4), "trusted")
+        sizes = trusted.select("doc_id", F.sum(F.length("text") + 1).over(Window.orderBy("_h", "doc_id")).alias("_sum"))  # ids and sizes of a bounded call only
+        trusted = trusted.join(sizes.where(F.col("_sum") <= chars).select("doc_id"), "doc_id", "left_semi")
     held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0
-    fitted = saved(trusted.join(F.broadcast(trusted_ids), "doc_id", "left_semi").where(~held), "fitted")
-    model = fit(fitted.select("text"))
+    fitted = saved(trusted.where(~held).select("doc_id", "text"), "fitted")
+    model = fit(fitted.select("text"), *(() if most == TABLE else (most,)))
     if model is None:
         return docs.select("doc_id", said, F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-    shared = spark.sparkContext.broadcast(model)
-    scores = saved(scored(docs, shared), "scores")
+    by_joins = isinstance(model[0][0], DataFrame)
+    scores = saved(scored_by_joins(docs, model) if by_joins else scored(docs, spark.sparkContext.broadcast(model)), "scores")
     # all trusted texts count, one row a doc_id; _own is null for those that the model was fitted on
     rows = scores.join(good.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("log_perplexity", "lang")).alias("x")).select("doc_id", "x.*")
-    rows = rows.join(F.broadcast(fitted.select("doc_id", F.lit(True).alias("_fitted"))), "doc_id", "left").withColumn("_own", F.when(F.col("_fitted").isNull(), F.col("log_perplexity")))
+    rows = rows.join(fitted.select("doc_id", F.lit(True).alias("_fitted")), "doc_id", "left").withColumn("_own", F.when(F.col("_fitted").isNull(), F.col("log_perplexity")))
     limits, overall = limits_of(saved(rows.select("lang", "log_perplexity", "_own"), "trusted-scores"))
-    dropped(trusted)
+    dropped(fitted)
     out = attached(scores, limits, "lang").withColumn("limit", F.coalesce("limit", F.lit(overall)))
     return out.select("doc_id", said, "n_chars", F.pow(F.lit(10.0), "log_perplexity").alias("perplexity"), F.pow(F.lit(10.0), "limit").alias("threshold"), (F.col("log_perplexity") <= F.coalesce("limit", F.lit(math.inf))).alias("kept"))

@@ -95,3 +95,27 @@ def test_two_texts_of_a_language_keep_their_centre(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
     got = kneser.perplexities(docs, labels, sample=100).collect()
     assert len({r.threshold for r in got}) == 2 and all(r.kept for r in got if r.lang == "yy")
+
+
+def test_the_model_learns_from_all_trusted_texts(spark):
+    docs = spark.range(25_000).selectExpr("id AS doc_id", "concat('w', id % 7) AS text", "'en' AS lang")
+    labels = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    seen = []
+    fit = kneser.fit
+    try:
+        kneser.fit = lambda texts: (seen.append(texts.count()), fit(texts))[1]
+        kneser.perplexities(docs, labels)
+    finally:
+        kneser.fit = fit
+    assert seen[0] == docs.selectExpr("count_if(pmod(xxhash64(doc_id, 3), 5) != 0) AS n").first().n
+
+
+def test_large_tables_stay_distributed_with_the_same_result(spark):
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("abcde é\U0001f600") for _ in range(draw.randrange(0, 40))) for _ in range(300)] + ["", None, "abab", "abab"]
+    docs = spark.createDataFrame([(i, t, ("en", "de", None)[i % 3]) for i, t in enumerate(texts)] + [(5, "zz", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    shared, joined = (sorted(kneser.perplexities(docs, labels, most=m).collect(), key=lambda r: (r.doc_id, r.n_chars)) for m in (kneser.TABLE, 0))
+    assert len(shared) == len(joined) == len(texts) + 1
+    for a, b in zip(shared, joined, strict=True):
+        assert a[:3] == b[:3] and a.kept == b.kept and a[3:5] == pytest.approx(b[3:5], rel=1e-9)
