@@ -32,8 +32,8 @@ from brinewatch.llm.tables import saved, sorted_groups
 BLANK = "▁"
 CHUNK = 32_768
 FAN = 32  # matrices that a task combines
-KEPT_WORDS = 1_000_000
-PART = 1_000  # texts whose words a task holds
+KEPT_WORDS = 150_000  # of each of two generations
+PART = 250  # texts whose words a task holds
 KEPT_PAIRS = 1_000_000
 LONGEST_KEPT = 48
 START = ""  # the state before the first piece
@@ -156,18 +156,15 @@ class Pieces:
         words = [self.word.findall(signs(t)) if t else [] for t in texts]
         known = self.known
         new = {w for ws in words for w in ws if w not in known and len(w) <= LONGEST_KEPT}
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            new = {w for ws in words for w in ws if len(w) <= LONGEST_KEPT}
         last, best = "", [START]
-        for w in sorted(new):
+        for w in sorted(known.asked(new)):
             n = 0
             for x, y in zip(last, w, strict=False):
                 if x != y:
                     break
                 n += 1
             best = self.scanned(w, 0, best[: n + 1] + [None] * (len(w) - n), n)
-            known[w] = self.ids(self.trace(best, 0, len(w)))
+            known.keep(w, self.ids(self.trace(best, 0, len(w))))
             last = w
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
@@ -239,18 +236,35 @@ class Pieces:
 
 
 class Known(dict):
-    """Ids of words, found when first asked for."""
+    """Ids of words, found when first asked for, in two generations of at most KEPT_WORDS: once the young one is full it becomes the old one.
+
+    A word of the old one that is asked for again comes into the young one, so frequent words stay and memory is bounded.
+    """
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
+        self.old: dict[str, bytes] = {}
+
+    def keep(self, word: str, ids: bytes) -> None:
+        if len(self) >= KEPT_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+
+    def asked(self, words: set[str]) -> set[str]:
+        """Those of the words that neither generation has; the old one's become young."""
+        for w in words & self.old.keys():
+            if (ids := self.old.get(w)) is not None:
+                self.keep(w, ids)
+        return {w for w in words if w not in self and w not in self.old}
 
     def __missing__(self, word: str) -> bytes:
         p = self.pieces
-        out = p.ids(p.trace(p.scan(word, 0, START), 0, len(word)))
+        out = self.old.get(word)
+        if out is None:
+            out = p.ids(p.trace(p.scan(word, 0, START), 0, len(word)))
         if len(word) <= LONGEST_KEPT:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = out
+            self.keep(word, out)
         return out
 
 
