@@ -97,8 +97,11 @@ def registered(*more: dict[str, list[Change]], aliases: dict[str, str] | None =
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """raw(seq, payload JSON) as (seq, fields as text)."""
-    return raw.select("seq", F.from_json("payload", ", ".join(f"{f} string" for f in FIELDS)).alias("p")).select("seq", "p.*")
+    """raw(seq, payload JSON) as (seq, fields as text).
+
+    A payload is parsed once: the explosion of its one row keeps the parser from being copied into every expression over a field.
+    """
+    return raw.select("seq", F.explode(F.array(F.from_json("payload", ", ".join(f"{f} string" for f in FIELDS)))).alias("p")).select("seq", "p.*")
 
 
 def changes(raw: DataFrame, reducers: dict[str, list[Change]] = REDUCERS) -> DataFrame:
