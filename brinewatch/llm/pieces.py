@@ -32,13 +32,14 @@ from brinewatch.llm.tables import saved, sorted_groups
 BLANK = "▁"
 CHUNK = 32_768
 FAN = 32  # matrices that a task combines
-KEPT_WORDS = 150_000  # of each of two generations
-PART = 250  # texts whose words a task holds
+KEPT_WORDS = 250_000  # of each of two generations
+PART = 500  # texts whose words a task holds
 KEPT_PAIRS = 1_000_000
 LONGEST_KEPT = 48
 START = ""  # the state before the first piece
 
 Matrix = dict[tuple[str, str], float]
+Edge = tuple[tuple[float, str], ...]  # tuples all through: the garbage collector passes over them
 
 
 class Pieces:
@@ -55,6 +56,8 @@ class Pieces:
         self.id = {p.piece: i for i, p in enumerate(m.pieces) if p.type == 1}
         self.score = {p.piece: p.score for p in m.pieces if p.type == 1}
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
+        self.code = Codes({t: struct.pack("<i", i) for t, i in self.id.items()})
+        self.code.byte = [struct.pack("<i", self.byte[b]) for b in range(256)]
         self.raw = [p.piece.replace(BLANK, " ").encode() if p.type == 1 else b"" for p in m.pieces]
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
@@ -71,28 +74,56 @@ class Pieces:
         self.word = re.compile(f"{BLANK}+[{inner}]*|[{inner}]+|[^{inner}{BLANK}]")
         self.pairs: dict[str, dict[str, bool]] = {}  # by the first, then the second piece
         self.n_pairs = 0
+        self.edges: dict[int, dict[str, Edge | None]] = {0: {}, -1: {}}  # of the model's pieces and single characters only
         self.known = Known(self)
 
-    def merged(self, s: str, cut: int = 0) -> list[str] | None:
-        """BPE by definition: the best-scored neighbours join first, the leftmost of equals. None as soon as a join crosses cut."""
-        parts, score, none = list(s), self.score, float("-inf")
+    def merged(self, s: str) -> list[str]:
+        """BPE by definition: the best-scored neighbours join first, the leftmost of equals."""
+        return list(self.joins(s)[-1][1])
+
+    def joins(self, s: str) -> list[tuple[float, list[str]]]:
+        """The parts of a string before each of its joins, with that join's score, and those that stay (score -inf)."""
+        parts, score, none, out = list(s), self.score, float("-inf"), []
         gains = [score.get(x + y, none) for x, y in zip(parts[:-1], parts[1:], strict=True)]
-        border = cut - 1 if cut else len(parts)  # the neighbours that must not join
         while gains:
             best = max(gains)
             if best == none:
                 break
+            out.append((best, parts[:]))
             i = gains.index(best)
-            if i == border:
-                return None
-            border -= i < border
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del gains[i]
             if i:
                 gains[i - 1] = score.get(parts[i - 1] + parts[i], none)
             if i < len(gains):
                 gains[i] = score.get(parts[i] + parts[i + 1], none)
-        return parts
+        return [*out, (none, parts)]
+
+    def edge(self, t: str, place: int) -> Edge | None:
+        """The first (place 0) or last (-1) part of a piece before each of its own joins, with that join's score; None if it is not its own encoding."""
+        edges = self.edges[place]
+        if t not in edges:
+            steps = self.joins(t)
+            edges[t] = tuple((gain, parts[place]) for gain, parts in steps) if len(steps[-1][1]) == 1 else None
+        return edges[t]
+
+    def apart(self, a: str, b: str) -> bool:
+        """Whether a and b are the encoding of a + b. Each one's own joins don't hang on the other until one crosses the border, so both run side by side."""
+        left, right, get, none = self.edge(a, -1), self.edge(b, 0), self.score.get, float("-inf")
+        if left is None or right is None:
+            return False
+        i = j = 0
+        while True:
+            (gain, x), (other, y) = left[i], right[j]
+            across = get(x + y, none)
+            if across > gain and across >= other:  # of equals the leftmost joins
+                return False
+            if gain >= other:
+                if gain == none:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def follows(self, a: str, b: str) -> bool:
         """Whether b may come after a (START: first)."""
@@ -103,7 +134,7 @@ class Pieces:
                 self.pairs.clear()
                 self.n_pairs = 0
             self.n_pairs += 1
-            ok = self.pairs.setdefault(a, {})[b] = self.merged(a + b, len(a)) == ([a, b] if a else [b])
+            ok = self.pairs.setdefault(a, {})[b] = self.apart(a, b) if a else self.edge(b, 0) is not None
         return ok
 
     def scan(self, s: str, at: int, state: str) -> list[str | None]:
@@ -141,11 +172,7 @@ class Pieces:
         return out[::-1]
 
     def ids(self, parts: list[str]) -> bytes:
-        out = []
-        for t in parts:
-            i = self.id.get(t)
-            out += [self.byte[b] for b in t.encode()] if i is None else [i]
-        return struct.pack(f"<{len(out)}i", *out)
+        return b"".join(map(self.code.__getitem__, parts))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
@@ -235,6 +262,15 @@ class Pieces:
         return self.ids(head) + b"".join(map(self.known.__getitem__, self.word.findall(s, stop)))
 
 
+class Codes(dict):
+    """Ids of pieces as bytes; a character that the model lacks has those of its bytes, which aren't kept."""
+
+    byte: list[bytes]
+
+    def __missing__(self, t: str) -> bytes:
+        return b"".join(map(self.byte.__getitem__, t.encode()))
+
+
 class Known(dict):
     """Ids of words, found when first asked for, in two generations of at most KEPT_WORDS: once the young one is full it becomes the old one.
 
