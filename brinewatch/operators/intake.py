@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from brinewatch.functions import predicates as P
@@ -52,30 +53,44 @@ def planted(texts: DataFrame) -> DataFrame:
     return texts.withColumn("text", F.when(bad, F.concat("text", F.lit(" "), F.upper(phrase))).otherwise(F.col("text")))
 
 
-def first_in_period(ev: DataFrame, keys: list[str], us: int) -> DataFrame:
+def first_in_period(ev: DataFrame, keys: list[str], us: int, more: list[str] | None = None) -> DataFrame:
     """(*keys, event_id) of what stays where duplicates within us of the first sight of a key go; a period begins at the first event after the last one's end.
 
+    With more, these columns come along, and all rows of a key and event that stays stay.
     What stays depends on what stayed before, so each key's times are read in order, as a stream: a task holds a batch and the last kept time.
     """
-    schema = ev.select(*keys, F.col("us").cast("bigint").alias("us"), F.col("event_id").cast("bigint").alias("event_id"))
+    schema = ev.select(*keys, F.col("us").cast("bigint").alias("us"), F.col("event_id").cast("bigint").alias("event_id"), *(more or ()))
+
+    def changes(c: pa.Array) -> np.ndarray:
+        a, b = c.slice(1), c.slice(0, len(c) - 1)
+        return pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last = None, None
+        key, last, event = None, None, None
         for b in batches:
-            columns = [b.column(k).to_pylist() for k in keys]
-            names = list(zip(*columns, strict=True))
-            times = b.column("us").to_numpy()
-            edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            if not b.num_rows:
+                continue
+            columns, times = [b.column(k) for k in keys], b.column("us").to_numpy()
+            events = b.column("event_id").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.logical_or.reduce([changes(c) for c in columns])) + 1).tolist(), b.num_rows]
             chosen = []
+
+            def same(i: int, e: int, times: np.ndarray = times, events: np.ndarray = events, chosen: list[int] = chosen) -> None:
+                """The further rows from i on of the event kept last."""
+                while more is not None and i < e and times[i] == last and events[i] == event:
+                    chosen.append(i)
+                    i += 1
+
             for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if s == e:
-                    continue
-                if names[s] != key:
-                    key, last = names[s], None
+                if (name := tuple(c[s].as_py() for c in columns)) != key:
+                    key, last = name, None
+                if last is not None:
+                    same(s, e)
                 i = s if last is None else s + int(np.searchsorted(times[s:e], last + us, "right"))
                 while i < e:
                     chosen.append(i)
-                    last = int(times[i])
+                    last, event = int(times[i]), events[i]
+                    same(i + 1, e)
                     i = s + int(np.searchsorted(times[s:e], last + us, "right"))
             yield b.take(pa.array(chosen, pa.int64()))
 
