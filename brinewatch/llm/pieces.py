@@ -8,7 +8,8 @@ weight of the best path between. Only finite entries are stored. Matrices combin
 down it again, which fixes the state at every cut; then each chunk is traced by itself, wherever it lies.
 
 No piece holds a blank sign after another sign, and some characters are in no longer piece: paths there are independent,
-so words repeat and their paths are kept (a bounded number of them) within a task.
+so words repeat and their paths are kept (a bounded number of them) within a task. Words not known yet are scanned together in numpy:
+a step goes one place on in all of them.
 
 Null and empty texts have no pieces. Characters that the model lacks become byte pieces. The blank sign itself (U+2581) decodes to a
 blank, as in the library. Texts of any length work: memory is bounded by one text, which is in one row of the input and of the result. Rows that repeat,
@@ -36,6 +37,9 @@ KEPT_WORDS = 250_000  # of each of two generations
 PART = 500  # texts whose words a task holds
 KEPT_PAIRS = 1_000_000
 LONGEST_KEPT = 48
+WAVE = 16_384  # words that are scanned together, of at most LONGEST_KEPT characters
+CHUNKS = 16  # chunks whose words are scanned together
+SIGNS = 0x110000  # code points
 START = ""  # the state before the first piece
 
 Matrix = dict[tuple[str, str], float]
@@ -76,6 +80,16 @@ class Pieces:
         self.n_pairs = 0
         self.edges: dict[int, dict[str, Edge | None]] = {0: {}, -1: {}}  # of the model's pieces and single characters only
         self.known = Known(self)
+        self.names = [p.piece for p in m.pieces]
+        nodes = {"": 0}  # of a tree of the pieces' beginnings
+        for t in self.id:
+            for n in range(1, len(t) + 1):
+                nodes.setdefault(t[:n], len(nodes))
+        self.steps = Table(len(nodes))
+        self.steps.put(np.array([nodes[t[:-1]] * SIGNS + ord(t[-1]) for t in nodes if t]), np.array([i for t, i in nodes.items() if t]))
+        self.at_node = np.array([self.id.get(t, -1) for t in nodes])
+        self.size = np.array([len(t) for t in self.names])
+        self.neighbours = Table(KEPT_PAIRS)
 
     def merged(self, s: str) -> list[str]:
         """BPE by definition: the best-scored neighbours join first, the leftmost of equals."""
@@ -134,9 +148,12 @@ class Pieces:
                 self.pairs.clear()
                 self.n_pairs = 0
             self.n_pairs += 1
-            ok = self.pairs.setdefault(a, {})[b] = self.apart(a, b) if a else self.edge(b, 0) is not None
+            ok = self.pairs.setdefault(a, {})[b] = self.fits(a, b)
         return ok
 
+    def fits(self, a: str, b: str) -> bool:
+        return self.apart(a, b) if a else self.edge(b, 0) is not None
+
     def scan(self, s: str, at: int, state: str) -> list[str | None]:
         """For every place after at, the piece that ends there on the one path of finite weight from state, or None."""
         best: list[str | None] = [None] * (len(s) + 1)
@@ -179,21 +196,97 @@ class Pieces:
         return b"".join(map(self.known.__getitem__, self.word.findall(signs(text)))) if text else b""
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of many texts. Words not known yet are scanned in order of their letters, so that each goes on where it parts from the one before."""
+        """The ids of many texts."""
         words = [self.word.findall(signs(t)) if t else [] for t in texts]
+        self.learn(words)
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+
+    def learn(self, words: list[list[str]]) -> None:
+        """The words that aren't known yet become known, many in one scan."""
         known = self.known
-        new = {w for ws in words for w in ws if w not in known and len(w) <= LONGEST_KEPT}
-        last, best = "", [START]
-        for w in sorted(known.asked(new)):
-            n = 0
-            for x, y in zip(last, w, strict=False):
-                if x != y:
-                    break
-                n += 1
-            best = self.scanned(w, 0, best[: n + 1] + [None] * (len(w) - n), n)
-            known.keep(w, self.ids(self.trace(best, 0, len(w))))
-            last = w
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        new = known.asked({w for w in set().union(*words) if len(w) <= LONGEST_KEPT})
+        for s in range(0, len(new), WAVE):
+            part = new[s : s + WAVE]
+            for w, ids in zip(part, self.waves(part), strict=True):
+                known.keep(w, ids)
+
+    def waves(self, words: list[str]) -> list[bytes]:
+        """The ids of words: the scan from START in all of them at once, place by place.
+
+        A piece has its id's number, any other character its code point's beyond those. Each beginning of a word has one path of
+        finite weight, so of the pieces that end at a place one fits.
+        """
+        other, start = len(self.names), len(self.names) + SIGNS
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+        long = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(long + 1) - long - 1  # the place before each word
+        offset = np.arange(len(codes)) - np.repeat(np.cumsum(long) - long, long)
+        left, place = np.repeat(long, long) - offset, np.repeat(first, long) + offset
+        at, node, n, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0, []
+        while len(at):
+            node = self.steps.get(node * SIGNS + codes[at + n])
+            piece = np.where(node >= 0, self.at_node[node], -1)
+            if n == 0:
+                piece = np.where(piece >= 0, piece, other + codes)
+            n += 1
+            ends = piece >= 0
+            found.append((at[ends], piece[ends], np.full(np.count_nonzero(ends), n)))
+            on = (node >= 0) & (left[at] > n)
+            at, node = at[on], node[on]
+        at, piece, n = map(np.concatenate, zip(*found, strict=True))
+        end = (offset[at] + n).astype(np.uint16)  # a short type, which is sorted in one pass
+        order = np.argsort(end, kind="stable")
+        at, piece, n = at[order], piece[order], n[order]
+        before = place[at]
+        best = np.full(len(codes) + len(words), -1)
+        best[first] = start
+        bounds = np.cumsum(np.bincount(end)).tolist()
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            t, i = piece[s:e], before[s:e]
+            ok = self.fit(best[i], t)
+            best[i[ok] + n[s:e][ok]] = t[ok]
+        return self.followed(best, first, long)
+
+    def fit(self, came: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Whether each t may come after came."""
+        if came.size and came.min() < 0:
+            raise ValueError("no path")
+        base = len(self.names) + SIGNS + 1
+        pairs = came * base + t
+        ok = self.neighbours.get(pairs)
+        if (asked := ok < 0).any():
+            new, back = np.unique(pairs[asked], return_inverse=True)
+            fits = np.array([self.fits(self.named(a), self.named(b)) for a, b in zip(*(x.tolist() for x in np.divmod(new, base)), strict=True)], np.int64)
+            ok[asked] = fits[back]
+            self.neighbours.put(new, fits)
+        return ok > 0
+
+    def named(self, number: int) -> str:
+        n = number - len(self.names)
+        return self.names[number] if n < 0 else START if n == SIGNS else chr(n)
+
+    def followed(self, best: np.ndarray, first: np.ndarray, long: np.ndarray) -> list[bytes]:
+        """The ids of all words' paths, from their ends back."""
+        at, rows, steps = first + long, np.arange(len(first)), []
+        count = np.zeros(len(first), np.int64)
+        while len(rows):
+            t = best[at]
+            if t.min() < 0:
+                raise ValueError("no path")
+            steps.append((rows, t))
+            count[rows] += 1
+            at = at - np.where(t < len(self.names), self.size[np.minimum(t, len(self.names) - 1)], 1)
+            on = at > first[rows]
+            rows, at = rows[on], at[on]
+        ends = np.cumsum(count)
+        ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        for k, (rows, t) in enumerate(steps):
+            ids[ends[rows] - 1 - k] = t
+        raw, bounds = ids.astype("<i4").tobytes(), [0, *(4 * ends).tolist()]
+        out = [raw[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        for w in np.unique(np.searchsorted(ends, np.flatnonzero(ids >= len(self.names)), side="right")).tolist():  # with characters that the model lacks
+            out[w] = self.ids(list(map(self.named, ids[bounds[w] // 4 : bounds[w + 1] // 4].tolist())))
+        return out
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<i4").tolist()))
@@ -253,13 +346,59 @@ class Pieces:
 
     def traced(self, left: str, core: str, right: str, entry: str, leave: str) -> bytes:
         """Ids of the pieces that begin in a chunk, between two known states."""
+        head, words = self.between(left, core, right, entry, leave)
+        return head + b"".join(map(self.known.__getitem__, words))
+
+    def between(self, left: str, core: str, right: str, entry: str, leave: str) -> tuple[bytes, list[str]]:
+        """The same up to where a word begins, and the words from there."""
         (t, k), (e, n) = unkey(entry), unkey(leave)
         at = len(t) - k if t else 0
         s = core + right[: len(e) - n] if e else core
-        words = self.begins(left, s)
-        stop = min((w for w in words if w >= at), default=len(s))
-        head = self.trace(self.scan(s[:stop], at, t), at, stop)
-        return self.ids(head) + b"".join(map(self.known.__getitem__, self.word.findall(s, stop)))
+        stop = next((w for m in self.word.finditer(left + s) if (w := m.start() - len(left)) >= at), len(s))
+        return self.ids(self.trace(self.scan(s[:stop], at, t), at, stop)), self.word.findall(s, stop)
+
+    def traced_all(self, rows: list[dict]) -> list[bytes]:
+        """traced for many chunks."""
+        parts = [self.between(*(r[c] for c in ("left", "core", "right", "entry", "exit"))) for r in rows]
+        self.learn([words for _, words in parts])
+        return [head + b"".join(map(self.known.__getitem__, words)) for head, words in parts]
+
+
+class Table:
+    """Numbers from 0 on by non-negative keys, in numpy; -1 where there is none. Of at most so many keys: before it would hold more it is emptied."""
+
+    def __init__(self, most: int) -> None:
+        self.bits, self.most, self.n = max(4, (2 * most).bit_length()), most, 0
+        self.keys, self.values = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1, np.int32)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slots(keys)
+        there = self.keys[at]
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[open_]]
+            open_ = open_[(there != keys[open_]) & (there >= 0)]
+        return self.values[at].astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that differ from one another and aren't held yet."""
+        if self.n + len(keys) > self.most:
+            self.keys.fill(-1)
+            self.values.fill(-1)
+            self.n = 0
+            keys, values = keys[: self.most], values[: self.most]
+        self.n += len(keys)
+        at = self.slots(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of several for one slot the last stays
+            mine = self.keys[at] == keys
+            self.values[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], (at[~mine] + 1) & ((1 << self.bits) - 1)
 
 
 class Codes(dict):
@@ -287,12 +426,16 @@ class Known(dict):
             self.clear()
         self[word] = ids
 
-    def asked(self, words: set[str]) -> set[str]:
+    def asked(self, words: set[str]) -> list[str]:
         """Those of the words that neither generation has; the old one's become young."""
-        for w in words & self.old.keys():
-            if (ids := self.old.get(w)) is not None:
-                self.keep(w, ids)
-        return {w for w in words if w not in self and w not in self.old}
+        new = []
+        for w in words:
+            if w not in self:
+                if (ids := self.old.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.keep(w, ids)
+        return new
 
     def __missing__(self, word: str) -> bytes:
         p = self.pieces
@@ -456,9 +599,10 @@ def trace_mapper(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for b in batches:
-            for r in b.to_pylist():
-                ids = p.traced(r["left"], r["core"], r["right"], r["entry"], r["exit"])
-                yield pa.RecordBatch.from_pydict({"row": pa.array([r["row"]], pa.int64()), "doc_id": pa.array([r["doc_id"]], pa.int64()), "part": pa.array([r["part"]], pa.int32()), "core": [r["core"]], "ids": [ids]})
+            for s in range(0, b.num_rows, CHUNKS):
+                rows = b.slice(s, CHUNKS).to_pylist()
+                for r, ids in zip(rows, p.traced_all(rows), strict=True):
+                    yield pa.RecordBatch.from_pydict({"row": pa.array([r["row"]], pa.int64()), "doc_id": pa.array([r["doc_id"]], pa.int64()), "part": pa.array([r["part"]], pa.int32()), "core": [r["core"]], "ids": [ids]})
 
     return run
 
